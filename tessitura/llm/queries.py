@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontamination, packing
+from tessitura.llm import decontamination, ngram_join, packing
 
-QUERIES = {f.__name__: f for f in (decontamination.op5_benchmark_decontamination, packing.op10_best_fit_packing)}
-SQL = {"op5_benchmark_decontamination": decontamination.OP5_SQL}
+QUERIES = {f.__name__: f for f in (decontamination.op5_benchmark_decontamination, ngram_join.op7_ngram_jaccard_join, packing.op10_best_fit_packing)}
+SQL = {"op5_benchmark_decontamination": decontamination.OP5_SQL, "op7_ngram_jaccard_join": ngram_join.OP7_SQL}
