@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontamination, ngram_join, packing
+from tessitura.llm.decontamination import OP5_SQL, op5_benchmark_decontamination
+from tessitura.llm.line_quality import op6_quality_classifier
+from tessitura.llm.ngram_join import OP7_SQL, op7_ngram_jaccard_join
+from tessitura.llm.packing import op10_best_fit_packing
+from tessitura.llm.suffix_dedup import OP8_SQL, op8_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (decontamination.op5_benchmark_decontamination, ngram_join.op7_ngram_jaccard_join, packing.op10_best_fit_packing)}
-SQL = {"op5_benchmark_decontamination": decontamination.OP5_SQL, "op7_ngram_jaccard_join": ngram_join.OP7_SQL}
+_ALL = (op5_benchmark_decontamination, op6_quality_classifier, op7_ngram_jaccard_join, op8_suffix_array_dedup, op10_best_fit_packing)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op5_benchmark_decontamination": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL}
