@@ -10,8 +10,9 @@ from tessitura.llm.ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from tessitura.llm.packing import op10_best_fit_packing
 from tessitura.llm.secrets import op1_secret_scan
 from tessitura.llm.suffix_dedup import OP8_SQL, op8_suffix_array_dedup
+from tessitura.llm.token_counts import op9_token_counts
 from tessitura.llm.warc import OP2_SQL, op2_warc_zstandard
 
-_ALL = (op1_secret_scan, op2_warc_zstandard, op3_line_dedup, op4_embedding_near_dedup, op5_benchmark_decontamination, op6_quality_classifier, op7_ngram_jaccard_join, op8_suffix_array_dedup, op10_best_fit_packing)
+_ALL = (op1_secret_scan, op2_warc_zstandard, op3_line_dedup, op4_embedding_near_dedup, op5_benchmark_decontamination, op6_quality_classifier, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_token_counts, op10_best_fit_packing)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op2_warc_zstandard": OP2_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL}
