@@ -33,7 +33,7 @@ WIDTH, PERCENT = 5, 80
 #: Ratio of a band's limits.
 BAND = 1.6
 #: Index entries in a task that joins them, about.
-TASK_ENTRIES = 3_000_000
+TASK_ENTRIES = 1_500_000
 
 
 def limits(largest: int, percent: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blob in batch.column(1):
             waiting.append(_unpacked(blob.as_buffer().to_pybytes()))
             held += len(waiting[-1][0])
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield flush()
     if held:
         yield flush()
@@ -252,7 +252,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     docs = written(classes(documents, width), "classes")
     total = docs.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, 1 + int(total * 0.6) // TASK_ENTRIES)
-    shared = indexed(documents, parts, width, percent).repartition(parts, "part").mapInArrow(_shared, "key long, class long, n long")
+    shared = indexed(documents, parts, width, percent).repartitionById(parts, F.col("part")).mapInArrow(_shared, "key long, class long, n long")
     shared = written(shared, "entries")
 
     # Each entry's classes against its smallest.
