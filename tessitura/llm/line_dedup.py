@@ -188,6 +188,16 @@ def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS, near_word
     return made.select(*[F.col(f"_{k}").alias(n) for k, n in enumerate(names)], *[F.col(f"_{x}").alias(x) for x in extra if counts])
 
 
+def without_repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """The documents without repeated lines, n_chars counted anew. Those of which nothing but white space is left go."""
+    out = deduplicated(documents, least_words, near_words, counts=True)
+    touched = F.col("n_equal") + F.col("n_near") > 0
+    out = out.where(~touched | (F.trim(F.translate("text", "\t\n\r", "   ")) != ""))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{n}`") for n in documents.columns])
+
+
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     source = columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     out = deduplicated(source, counts=True)

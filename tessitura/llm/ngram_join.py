@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document."""
+    """doc_id, mark (xxhash64 of the text), n_shingles, component_id for each document."""
     spark = documents.sparkSession
     docs = written(classes(documents, width), "classes")
     total = docs.agg(F.sum("n_shingles")).first()[0] or 0
@@ -294,11 +294,20 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     by_class = by_class.join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("c"))
     by_component = by_class.groupBy("c").agg(F.min("least").alias("component_id"))
     label = by_class.join(by_component, "c").select("class", "component_id")
-    return docs.join(label, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return docs.join(label, "class", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents without those that reach one of a smaller id. Texts without words stay, and so do members without id
+    of groups in which none has one."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    gone = near_duplicates(documents, width, percent).where("n_shingles > 0 and not (doc_id <=> component_id)")
+    gone = gone.select(key.alias("_k"), F.col("mark").alias("_mark")).distinct()
+    return documents.join(gone, (key == F.col("_k")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
 
 
 OP7_SQL = r"""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessitura.llm.components import components
-from tessitura.llm.ngram_join import index, near_duplicates
+from tessitura.llm.ngram_join import index, near_duplicates, one_of_each
 
 
 def test_every_linked_pair_shares_an_entry():
@@ -82,6 +82,14 @@ def test_near_duplicates_against_brute_force(spark, rows):
     assert sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got) == brute(rows)
 
 
+def test_one_of_each(spark, rows):
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, mark int")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    alone = [x for x in brute(rows) if x.split(", ")[0][1:] == x.split(", ")[2][:-1] or ", 0, " in x]
+    assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(x.split(", ")[0][1:] for x in alone)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
