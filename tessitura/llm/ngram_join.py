@@ -5,7 +5,7 @@ the shingle universe one at least is equal in both. Each document indexes its su
 empty in both documents proves nothing and is not indexed; a document with E empty segments makes up for them where it
 costs least: the first segments that hold E subsets of two or more shingles also get all their subsets with one shingle
 deleted, so there a difference of one is found as well. Pairs across a band's edge have a band of their own. Candidates
-share an entry; they are verified on the whole sets.
+share an entry; parity bitmaps rule out most that don't link, and the others are verified on the whole sets.
 
 Equal sets are one class, so copies add no pairs. Entries that occur in one class only are dropped where they meet. The
 classes of an entry are verified against its smallest; only where that leaves an entry with several components are the
@@ -238,12 +238,60 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def sketches(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit words of a parity bitmap of each set, about a bit for each shingle, and their offsets. Each shingle flips one
+    bit, so bitmaps never differ in more bits than the sets differ in shingles. The number of bits is a power of two; a
+    larger bitmap folds to a smaller one."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, np.diff(at)))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    of = np.repeat(np.arange(len(bits)), np.diff(at))
+    place = (sets & (bits[of] - 1).astype(np.uint64)).astype(np.int64) + base[of]
+    flips = np.bincount(place, minlength=base[-1]) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64), base // 64
+
+
+def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
+def _bits(x, y):
+    """differing_bits of two columns whose bitmaps are of equal size, or one twice the other's."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+
+    def half(s):
+        n = (F.size(s) / 2).cast("int")
+        return F.zip_with(F.slice(s, 1, n), F.slice(s, n + 1, n), xor)
+
+    count = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda n, k: n + k)
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) > F.size(y), count(half(x), y)).otherwise(count(x, half(y)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
-    a = sets.select(F.col("class").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("class").alias("b"), F.col("grams").alias("gb"))
+    """The pairs (a, b) of classes whose sets link. Bitmaps rule out most others before whole sets are looked up."""
+    a, b = (sets.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    told = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = differing(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            lists = []
+            for c in (4, 5):
+                column = batch.column(c)
+                at = column.offsets.to_numpy()
+                lists.append((column.values.to_numpy(), at[:-1].tolist(), at[1:].tolist()))
+            (x, xa, xb), (y, ya, yb) = lists
+            ok = [differing_bits(x[p:q], y[r:s]) <= m for p, q, r, s, m in zip(xa, xb, ya, yb, most.tolist(), strict=True)]
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    left = told.mapInArrow(close, "a long, b long")
+    a, b = (sets.select(F.col("class").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
     same = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(a, "a").join(b, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).select("a", "b")
+    return left.join(a, "a").join(b, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -272,9 +320,11 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
         for batch in batches:
             for lo, hi, data, at in text_blocks(batch.column(1)):
                 sets, to = shingles(data, at, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64)))], ["class", "grams"])
+                words, cuts = sketches(sets, to)
+                lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v)) for v, c in ((sets.view(np.int64), to), (words, cuts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(to)), *lists], ["class", "n", "grams", "sketch"])
 
-    sets = written(texts.join(one, ["_k", "mark"]).select("class", "text").mapInArrow(grams, "class long, grams array<long>"), "sets")
+    sets = written(texts.join(one, ["_k", "mark"]).select("class", "text").mapInArrow(grams, "class long, n long, grams array<long>, sketch array<long>"), "sets")
     links = written(_verified(stars, sets, percent), "links")
     found = written(components(links), "found")
 
@@ -282,8 +332,12 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     label = shared.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("component", "class").alias("c"))
     mixed = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     rest = written(label.join(mixed, "key"), "mixed")
-    x, y = (rest.select("key", *(F.col(n).alias(f"{p}_{n}") for n in ("class", "n", "c"))) for p in "xy")
-    pairs = x.join(y, "key").where((F.col("x_c") != F.col("y_c")) & (F.col("x_class") < F.col("y_class")) & alike(F.col("x_n"), F.col("y_n")))
+    rest = rest.join(sets.select("class", "sketch"), "class")
+    x, y = (rest.select(*(F.col(n).alias(f"{p}_{n}") for n in ("key", "class", "n", "c", "sketch"))) for p in "xy")
+    most = F.floor((F.col("x_n") + F.col("y_n")) * (100 - percent) / (100 + percent))
+    other = (F.col("x_c") != F.col("y_c")) & (F.col("x_class") < F.col("y_class")) & alike(F.col("x_n"), F.col("y_n"))
+    # The bitmaps are compared within the join, so what they rule out never becomes a row.
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & other & (_bits(F.col("x_sketch"), F.col("y_sketch")) <= most))
     pairs = pairs.select(F.col("x_class").alias("a"), F.col("y_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = written(_verified(pairs, sets, percent), "more")
     if more.take(1):

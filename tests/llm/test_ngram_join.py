@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessitura.llm.components import components
-from tessitura.llm.ngram_join import index, near_duplicates, one_of_each
+from tessitura.llm.ngram_join import differing_bits, index, near_duplicates, one_of_each, sketches
 
 
 def test_every_linked_pair_shares_an_entry():
@@ -28,6 +28,16 @@ def test_every_linked_pair_shares_an_entry():
     assert checked > 500
 
 
+def test_bitmaps_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        common = rng.integers(0, 2**64, rng.integers(0, 300), dtype=np.uint64).tolist()
+        a, b = ({*common, *rng.integers(0, 2**64, rng.integers(1, 80), dtype=np.uint64).tolist()} for _ in "ab")
+        words, at = sketches(np.array(sorted(a) + sorted(b), np.uint64), np.array([0, len(a), len(a) + len(b)]))
+        bits = differing_bits(words[at[0] : at[1]], words[at[1] : at[2]])
+        assert bits <= len(a ^ b) and (bits > 0 or len(a ^ b) % 2 == 0)
+
+
 def brute(rows, percent=80):
     def grams(t):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
