@@ -32,9 +32,10 @@ GROUP = 4096
 ARRAY_BYTES = 1 << 20
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes in order of their first `depth` bytes at least. Those smaller than their successor are sorted directly;
-    the others are put in place by one scan of the buckets in order, since each follows from its successor's place."""
+    the others are put in place by one scan of the buckets in order, since each follows from its successor's place.
+    With `wanted` (by suffix), only those and the successors that put them in place."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -45,7 +46,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     smaller = np.zeros(n, bool)
     inside = ahead < len(known)
     smaller[:-1][inside] = step[known[ahead[inside]]] > 0
-    direct = np.flatnonzero(smaller)
+    wanted = np.ones(n, bool) if wanted is None else wanted | _following(wanted, smaller)
+    direct = np.flatnonzero(smaller & wanted)
     raw = text.tobytes()
     keys = [raw[i : i + depth] for i in direct.tolist()]
     order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
@@ -53,7 +55,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     direct = direct[order]
     heads = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[-1]].append(np.array([n - 1], np.int64))
+    if wanted[-1]:
+        waiting[text[-1]].append(np.array([n - 1], np.int64))
+    induced = wanted & ~smaller
     out = []
     for c in range(256):
         level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
@@ -62,12 +66,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while len(level):
             bucket.append(level)
             before = level[level > 0] - 1
-            level = before[(text[before] == c) & ~smaller[before]]
+            level = before[(text[before] == c) & induced[before]]
         bucket.append(direct[heads[c] : heads[c + 1]])
         done = np.concatenate(bucket)
         out.append(done)
         before = done[done > 0] - 1
-        before = before[text[before] > c]
+        before = before[(text[before] > c) & induced[before]]
         if not len(before):
             continue
         first = text[before]
@@ -78,6 +82,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _following(wanted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """The successors that induced suffixes among the wanted ones follow from: up to the next direct one after each."""
+    here = np.arange(len(wanted))
+    last_wanted = np.maximum.accumulate(np.where(wanted, here, -1))
+    last_direct = np.maximum.accumulate(np.where(smaller, here, -1))
+    # Reached if no direct suffix lies from the last wanted one up to the one before here.
+    before = np.concatenate([[-1], last_direct[:-1]])
+    return (last_wanted >= 0) & (before < last_wanted)
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Bytes that each suffix of `order` shares with the one before it, up to `most`; 0 for the first."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -107,7 +121,7 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, keys: np.ndarray, leng
     """True for each start whose string of `length` bytes begins at another start with an equal key. Starts ascend."""
     valid = np.full(len(text), -1, np.int64)
     valid[starts] = np.arange(len(starts))
-    order = suffix_array(text, length)
+    order = suffix_array(text, length, valid >= 0)
     order = order[valid[order] >= 0]
     run = np.cumsum(common_prefixes(text, order, length) < length)
     which = valid[order]
@@ -155,7 +169,9 @@ def _inside(at: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """_k, mark, a (anchor), c (context), sides (left and right parts, 32 bits each), pos of each anchor."""
+    """_k, mark, a (anchor), c (context), sides (left and right parts, 32 bits each), pos, m (occurrences) of anchors, one
+    row for equal contexts of a block. The other occurrences are known to repeat: their joined spans are rows of m = 0,
+    with the span in pos and c, and dealt anywhere."""
     source = _keyed(documents)
     reach = length - gram
 
@@ -172,10 +188,25 @@ def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
                 c = mix(span_hashes(sums, left, right) + (place - left).astype(np.uint64))
                 half = np.uint64(32)
                 sides = ((span_hashes(sums, near, place + gram) + (place - near).astype(np.uint64)) >> half << half) | ((span_hashes(sums, place, far) + (far - place).astype(np.uint64)) >> half)
-                rows = pa.array(text + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (a, c, sides)), pa.array((place - begin).astype(np.int32))], ["_k", "mark", "a", "c", "sides", "pos"])
-
-    return source.mapInArrow(work, f"_k {dict(source.dtypes)['_k']}, mark long, a long, c long, sides long, pos int")
+                _, first, count = np.unique(mix(a + mix(c)), return_index=True, return_counts=True)
+                other = np.ones(len(place), bool)
+                other[first] = False
+                o, f = np.flatnonzero(other), text[other]
+                new = np.ones(len(o), bool)
+                new[1:] = (f[1:] != f[:-1]) | (left[o[1:]] > right[o[:-1]])
+                head = np.flatnonzero(new)
+                tail = np.append(head[1:], len(o)) - 1 if len(o) else head
+                known = o[head]
+                end_of = (right[o[tail]] - begin[known]).astype(np.uint64)
+                take = np.concatenate([first, known])
+                rows = pa.array(text[take] + lo)
+                a = np.concatenate([a[first], mix(a[known] + (left[known] + 1).astype(np.uint64))])
+                c = np.concatenate([c[first], end_of])
+                pos = np.concatenate([place[first] - begin[first], left[known] - begin[known]])
+                m = np.concatenate([count, np.zeros(len(known), np.int64)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (a, c, sides[take])), pa.array(pos.astype(np.int32)), pa.array(m.astype(np.int32))], ["_k", "mark", "a", "c", "sides", "pos", "m"])
+
+    return source.mapInArrow(work, f"_k {dict(source.dtypes)['_k']}, mark long, a long, c long, sides long, pos int, m int")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -281,18 +312,21 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     rows = _anchor_rows(documents, length, gram).repartition("a")
     whole = Window.partitionBy("a")
     equal = Window.partitionBy("a", "c")
-    rows = rows.withColumn("n", F.count("*").over(equal)).withColumn("nth", F.row_number().over(equal.orderBy("_k", "mark", "pos"))).withColumn("total", F.count("*").over(whole))
-    rows = rows.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(whole)).where("total > 1")
+    rows = rows.withColumn("n", F.sum("m").over(equal)).withColumn("nth", F.row_number().over(equal.orderBy("_k", "mark", "pos"))).withColumn("total", F.sum("m").over(whole))
+    rows = rows.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(whole)).where("total > 1 or m = 0")
     rows = written(rows, "anchors")
     # Only what agrees with a different context on a side can repeat a window of it.
-    some = rows.where("kinds > 1")
+    some = rows.where("kinds > 1 and m > 0")
     left, right = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(0xFFFFFFFF)
     some = some.withColumn("l", left).withColumn("r", right).where("nth = 1")
     some = some.withColumn("nl", F.count("*").over(Window.partitionBy("a", "l"))).withColumn("nr", F.count("*").over(Window.partitionBy("a", "r"))).where("nl > 1 or nr > 1")
     some = some.withColumn("kinds", F.count("*").over(whole))
     wanted = written(some.select("_k", "mark", "a", "pos", "kinds"), "wanted")
     contexts = written(_contexts(documents, wanted.select("_k", "mark", "a", "pos"), length, gram), "contexts") if wanted.take(1) else None
-    spans = rows.where("n > 1").select("_k", "mark", F.greatest(F.col("pos") - reach, F.lit(0)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end"))
+    known = F.col("m") == 0
+    start = F.when(known, F.col("pos")).otherwise(F.greatest(F.col("pos") - reach, F.lit(0))).cast("long")
+    end = F.when(known, F.col("c")).otherwise((F.col("pos") + length).cast("long"))
+    spans = rows.where("n > 1 or m = 0").select("_k", "mark", start.alias("start"), end.alias("end"))
     if contexts is not None:
         hot = written(wanted.where(F.col("kinds") > group).select("a").distinct(), "hot")
         spans = spans.union(_by_arrays(contexts.join(hot, "a", "left_anti"), length, gram, array_bytes).select("_k", "mark", "start", "end"))

@@ -25,6 +25,15 @@ def test_suffix_array_and_prefixes(raw):
         assert got[k] == n
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.booleans()), max_size=60))
+def test_suffix_array_of_wanted(pairs):
+    text, wanted = np.array([c for c, _ in pairs], np.uint8), np.array([w for _, w in pairs], bool)
+    raw = text.tobytes()
+    order = [i for i in suffix_array(text, 100, wanted).tolist() if wanted[i]]
+    assert order == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: raw[i:])
+
+
 def brute(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     often = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
