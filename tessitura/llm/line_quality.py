@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import columns, raw_text, text_blocks
+from tessitura.llm.shared import columns, text_blocks
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix, prefix_sums, span_hashes
 
 #: Labelled documents to learn from, at most.
@@ -252,7 +252,9 @@ def learned(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fi
     good = np.array(rows["quality"].to_pylist(), float) > 0
     if not good.any() or good.all():
         return None
-    features, weight, first = line_features(*raw_text(rows["text"]))
+    parts = [line_features(data, at) for _, _, data, at in text_blocks(rows["text"].combine_chunks())]
+    features, weight = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     return fitted(features, weight, first, good)
 
 
