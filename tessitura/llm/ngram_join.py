@@ -34,6 +34,8 @@ WIDTH, PERCENT = 5, 80
 BAND = 1.6
 #: Index entries in a task that joins them, about.
 TASK_ENTRIES = 1_500_000
+#: Entries dealt out at once.
+SENT_ENTRIES = 500_000
 
 
 def limits(largest: int, percent: int) -> np.ndarray:
@@ -152,36 +154,36 @@ _KEY = 6
 def indexed(documents: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
     """part, data: the entries of a batch's classes for one of `parts`, packed."""
 
+    def dealt(key: np.ndarray, owner: np.ndarray, name: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        part = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+        order = np.lexsort((owner, part))
+        key, owner, part = key[order], owner[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        low = key.view(np.uint8).reshape(-1, 8)[:, :_KEY]
+        found, blobs = [], []
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[p], cuts[p + 1]
+            docs, counts = np.unique(owner[a:b], return_counts=True)
+            found.append(p)
+            blobs.append(b"".join([np.array([len(docs)], np.int32).tobytes(), name[docs].tobytes(), size[docs].tobytes(), counts.astype(np.int32).tobytes(), low[a:b].tobytes()]))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners, names, sizes, n = [], [], [], [], 0
+            held: list[tuple] = []
+            n = total = 0
             seen: set[int] = set()
-            for _, _, data, at in text_blocks(batch.column(0)):
+            for _, hi, data, at in text_blocks(batch.column(0)):
                 sets, to = shingles(data, at, width)
                 own = class_ids(sets, to)
                 size = np.diff(to)
                 new = np.array([not (c in seen or seen.add(c)) for c in own.tolist()], bool)
                 k, o = index(sets[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]), percent)
-                keys.append(k)
-                owners.append(o + n)
-                names.append(own[new])
-                sizes.append(size[new])
-                n += int(new.sum())
-            if not n:
-                continue
-            key, owner, name, size = np.concatenate(keys), np.concatenate(owners), np.concatenate(names), np.concatenate(sizes).astype(np.int32)
-            part = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
-            order = np.lexsort((owner, part))
-            key, owner, part = key[order], owner[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            low = key.view(np.uint8).reshape(-1, 8)[:, :_KEY]
-            found, blobs = [], []
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                a, b = cuts[p], cuts[p + 1]
-                docs, counts = np.unique(owner[a:b], return_counts=True)
-                found.append(p)
-                blobs.append(b"".join([np.array([len(docs)], np.int32).tobytes(), name[docs].tobytes(), size[docs].tobytes(), counts.astype(np.int32).tobytes(), low[a:b].tobytes()]))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
+                held.append((k, o + n, own[new], size[new].astype(np.int32)))
+                n, total = n + int(new.sum()), total + len(k)
+                if total > SENT_ENTRIES or hi == batch.num_rows and total:
+                    yield dealt(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+                    held, n, total = [], 0, 0
 
     return columns(documents, "text").mapInArrow(work, "part int, data binary")
 

@@ -24,7 +24,7 @@ from tessitura.llm.shared import columns, text_blocks, written
 from tessitura.llm.tokens import VOCABULARY, encoded_block
 
 #: Bytes of text tokenized together.
-TEXT_BLOCK = 1 << 21
+TEXT_BLOCK = 1 << 20
 #: Salted groups of each length, within which ranks are counted.
 SALTS = 256
 PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"

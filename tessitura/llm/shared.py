@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in blocks of about this many bytes, so temporary arrays stay small.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

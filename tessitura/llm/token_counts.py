@@ -67,7 +67,7 @@ def section_tokens(documents: DataFrame, sections: DataFrame | None = None, rule
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, at in text_blocks(batch.column(1), 1 << 21):
+            for lo, _, data, at in text_blocks(batch.column(1), 1 << 20):
                 ids, to = encoded_block(vocabulary, data, at)
                 width = encoder(vocabulary).widths[ids]
                 ends = np.cumsum(width)

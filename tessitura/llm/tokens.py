@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 from tessitura.llm.shared import raw_text
 from tessitura.llm.words import prefix_sums, span_hashes
 
-#: Parts kept in a worker, about 20 bytes each; at this number the store is emptied. Longer parts aren't kept.
-STORED_PARTS, LONG_PART = 3_000_000, 64
+#: Parts kept in a worker, about 40 bytes each; at this number the store is emptied. Longer parts aren't kept.
+STORED_PARTS, LONG_PART = 1_000_000, 64
 VOCABULARY = "byte_bpe_50k"
 _MARK = "<|endoftext|>"
 _LOADED: dict[str, "Encoder"] = {}
