@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.line_quality import lines
-from tessitura.llm.shared import columns, digits, text_blocks, written
+from tessitura.llm.shared import columns, digits, discard, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, hashed_words, mix, powers, span_hashes
 
 LEAST_WORDS, NEAR_WORDS = 4, 10
@@ -98,8 +98,9 @@ def _line_rows(documents: DataFrame, least: int) -> DataFrame:
     return source.mapInArrow(work, f"doc_id {dict(source.dtypes)['doc_id']}, mark long, line int, h long, n int, k0 long, k1 long, k2 long")
 
 
-def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """doc_id, mark (hash of the text), line, near: the lines that go, `near` telling those without an equal earlier one."""
+def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, mark (hash of the text), line, near: the lines that go, `near` telling those without an equal earlier one;
+    and the written tables that this reads, for `discard` once it has been."""
     rows = written(_line_rows(documents, least_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line")
     distinct = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), *(F.min(k).alias(k) for k in ("k0", "k1", "k2")))
@@ -150,13 +151,15 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_wo
     gone = both.mapInArrow(verify, "h long").distinct().withColumn("near", F.lit(True))
     again = distinct.join(gone, "h", "left").where("times > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = rows.join(again, "h").where(F.col("near") | (place != F.col("first")))
-    return out.select("doc_id", "mark", "line", (place == F.col("first")).alias("near"))
+    return out.select("doc_id", "mark", "line", (place == F.col("first")).alias("near")), [rows, distinct, found]
 
 
 def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS, counts: bool = False) -> DataFrame:
     """The documents with their repeated lines taken out; with `counts` also n_lines, n_equal, n_near of each."""
-    gone = repeated_lines(documents, least_words, near_words)
+    gone, tables = repeated_lines(documents, least_words, near_words)
     gone = written(gone.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("line", "near")).alias("_gone")), "gone")
+    for table in tables:
+        discard(table)
     names = documents.columns
     own = documents.select(*[F.col(f"`{n}`").alias(f"_{k}") for k, n in enumerate(names)], *_keyed(documents)).join(gone, ["_k", "_mark"], "left")
     own = own.select(*[f"_{k}" for k in range(len(names))], "_gone")

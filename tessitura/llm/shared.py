@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,11 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Asks the driver for a garbage collection: Spark removes shuffle files when it finds that nothing reads them any more,
+    which may otherwise be long after a table has been written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder as Parquet and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
