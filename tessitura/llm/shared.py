@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in blocks of about this many bytes, so temporary arrays stay small.
 BLOCK_BYTES = 1 << 19
+RELEASE_SECONDS = 5
+_released = float("-inf")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Asks the driver for a garbage collection: Spark removes shuffle files when it finds that nothing reads them any more,
-    which may otherwise be long after a table has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    which may otherwise be long after a table has been written. At most once in `RELEASE_SECONDS`."""
+    global _released
+    if time.monotonic() - _released >= RELEASE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
