@@ -5,8 +5,9 @@ compared in blocks, in several tables. Rounds of NN-descent follow: every node's
 compared with each other, and lists keep their best. Lists hold `k` entries, and where these all reach the threshold
 (saturated lists) up to twice, four times ... as many of that kind. A sample of nodes, of bounded size, is compared with
 all nodes to audit recall; below the aim, further tables and rounds without a floor follow. Edges that reach the threshold
-make components, and a saturated list is at last enlarged to its whole component: the members are compared block by block
-and links counted, so no pair becomes a row.
+make components. A link that was seen is lost only if both its nodes' lists are saturated, so components are joined over
+all nodes of saturated lists: these are compared block by block, but for blocks too far apart for their radii. At last a
+component's members are compared block by block and links counted, so no pair becomes a row.
 
 Defined results: null, zero, non-finite or partly null vectors and rows without label link with nothing; vectors of
 different dimensions don't link; repeated rows are vectors of their own that link (if valid); a null vec_id is a
@@ -184,6 +185,95 @@ def _descent(lists: DataFrame, node: DataFrame, k: int, larger: int, floor: floa
     return _together(rows).mapInArrow(work, EDGE)
 
 
+def _pieces(node: DataFrame, lists: DataFrame, found: DataFrame, k: int, threshold: float) -> DataFrame:
+    """c, v, label, dim, component, piece: the nodes of saturated lists, each component's dealt into pieces of about a block."""
+    full = lists.where(F.col("s") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("node"))
+    member = found.join(full, "node", "left_semi")
+    size = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("pieces"))
+    piece = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    member = member.join(size, "component").select(F.col("node").alias("c"), "component", piece.alias("piece"))
+    return node.select("c", "v", "label", "dim").join(member, "c")
+
+
+def _balls(pieces: DataFrame) -> DataFrame:
+    """piece, component, label, dim, v (centre), radius (angle) of each piece."""
+    label = dict(pieces.dtypes)["label"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            x, norm = matrix(table["v"])
+            x = x / norm[:, None]
+            centre = x.mean(axis=0)
+            if centre @ centre < 1e-12:
+                centre = x[0]
+            radius = np.arccos(np.clip(x @ centre / np.sqrt(centre @ centre), -1, 1)).max()
+            one = table.slice(0, 1).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(one[n].chunk(0) for n in ("g", "component", "label", "dim")), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(radius)])], ["piece", "component", "label", "dim", "v", "radius"])
+
+    return _together(pieces.withColumnRenamed("piece", "g")).mapInArrow(work, f"piece long, component long, label {label}, dim int, v array<double>, radius double")
+
+
+def _close(balls: DataFrame, threshold: float) -> DataFrame:
+    """a, b (pieces), x, y (their components), angle: pieces of different components that may hold a link."""
+    size = balls.groupBy("label", "dim").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("blocks"))
+    rows = balls.join(size, ["label", "dim"]).withColumn("i", F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("piece", "component", "v", "radius", (F.col("i") <= F.col("j")).alias("first"), (F.col("i") >= F.col("j")).alias("second"), F.xxhash64("label", "dim", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            a, b = (table.filter(table[k]) for k in ("first", "second"))
+            angle = np.arccos(np.clip(cosines(matrix(a["v"]), matrix(b["v"])), -1, 1))
+            x, y = a["component"].to_numpy(), b["component"].to_numpy()
+            ok = angle <= a["radius"].to_numpy()[:, None] + b["radius"].to_numpy()[None, :] + reach
+            # Within one block each pair comes twice.
+            i, j = np.nonzero(ok & ((x[:, None] < y[None, :]) if a.num_rows == b.num_rows == table.num_rows else (x[:, None] != y[None, :])))
+            p, q = a["piece"].to_numpy()[i], b["piece"].to_numpy()[j]
+            x, y, turned = x[i], y[j], x[i] > y[j]
+            values = (np.where(turned, q, p), np.where(turned, p, q), np.where(turned, y, x), np.where(turned, x, y), angle[i, j])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["a", "b", "x", "y", "angle"])
+
+    return _together(rows).mapInArrow(work, "a long, b long, x long, y long, angle double")
+
+
+def _witnesses(pairs: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
+    """a, b: one link of each pair of pieces that has any."""
+    g = F.xxhash64("a", "b").alias("g")
+    side = pairs.select(g, F.col("a").alias("piece"), F.lit(True).alias("first")).union(pairs.select(g, F.col("b").alias("piece"), F.lit(False).alias("first")))
+    rows = side.join(pieces.select("piece", "c", "v"), "piece").select("g", "first", "c", "v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            a, b = table.filter(table["first"]), table.filter(pa.array(~table["first"].to_numpy()))
+            sim = cosines(matrix(a["v"]), matrix(b["v"]))
+            i, j = np.unravel_index(np.argmax(sim), sim.shape)
+            if sim[i, j] >= threshold:
+                yield pa.RecordBatch.from_arrays([pa.array(a["c"].to_numpy()[[i]]), pa.array(b["c"].to_numpy()[[j]])], ["a", "b"])
+
+    return _together(rows).mapInArrow(work, "a long, b long")
+
+
+def _joined(node: DataFrame, lists: DataFrame, links: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Components of the links and of those between saturated lists, exactly; and the links that tell them. Of two components
+    the nearest pieces are compared first, and all others only if these leave them apart."""
+    found = written(components(links), "found")
+    pieces = written(_pieces(node, lists, found, k, threshold), "pieces")
+    close = written(_close(_balls(pieces), threshold), "close")
+    nearest = close.groupBy("x", "y").agg(F.min(F.struct("angle", "a", "b")).alias("p")).select("p.a", "p.b")
+    for final in (False, True):
+        if final:
+            label = found.toDF("a", "c").distinct()
+            now = close.join(label.toDF("x", "cx"), "x").join(label.toDF("y", "cy"), "y").where("cx <> cy").select("a", "b")
+        else:
+            now = nearest
+        more = written(_witnesses(now, pieces, threshold), "witnesses")
+        if more.take(1):
+            links = links.union(more)
+            found = written(components(links), "found")
+    return found, links
+
+
 def recall(node: DataFrame, found: DataFrame, sample: int, threshold: float) -> float:
     """Share of a sample's links that lie within a component, against all nodes. The sample is of bounded size."""
     picked = node.select("c", "label", "dim", "v").orderBy(F.xxhash64("c"), "c").limit(sample).toArrow()
@@ -258,7 +348,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
             more = _descent(lists, node, k, k << r, FLOOR if attempt == 0 else -1.0)
             lists = written(_best(lists.union(more), k, k << (r + 1), threshold), "lists")
         links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b"))
-        found = written(components(links), "found")
+        found, links = _joined(node, lists, links, k, threshold)
         if recall(node, found, audit, threshold) >= aim:
             break
 

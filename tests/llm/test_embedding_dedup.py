@@ -58,6 +58,20 @@ def test_against_brute_force(spark):
     assert sorted(str((x.vec_id, x.n_links, x.component_id, x.kept)) for x in got) == brute(rows)
 
 
+def test_linked_families_join(spark):
+    """Two families of more members than a list holds, nearer to their own than to each other, all cross pairs linked."""
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    angle = math.acos(0.9865)
+    rows = []
+    for side, centre in enumerate((turn[0], math.cos(angle) * turn[0] + math.sin(angle) * turn[1])):
+        for k in range(130):
+            rows.append((side * 130 + k, [float(x) for x in centre + 0.003 * rng.normal(size=32)], 1))
+    got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(4)).collect()
+    assert sorted(str((x.vec_id, x.n_links, x.component_id, x.kept)) for x in got) == brute(rows)
+    assert {x.component_id for x in got} == {0} and {x.n_links for x in got} == {259}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0], 5)], [(1, None, None)]])
 def test_few_rows(spark, rows):
     got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
