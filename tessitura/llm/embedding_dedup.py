@@ -3,9 +3,10 @@
 Equal vectors are one node. The first neighbour lists come from random hyperplanes: nodes of one label and sign code are
 compared in blocks, in several tables. Rounds of NN-descent follow: every node's neighbours and those that list it are
 compared with each other, and lists keep their best. Lists hold `k` entries, and where these all reach the threshold
-(saturated lists) up to twice, four times ... as many of that kind. A sample of nodes, of bounded size, is compared with
-all nodes to audit recall; below the aim, further tables and rounds without a floor follow. Edges that reach the threshold
-make components. A link that was seen is lost only if both its nodes' lists are saturated, so components are joined over
+(saturated lists) up to twice, four times ... as many of that kind. One node in `audit` is compared with all nodes of its
+label: of those that link, the aim is the least share whose links all lie in their component; below it, further tables and
+rounds without a floor follow. Where few audited nodes link, or the aim is missed to the last, all nodes are compared with
+all of their label. Links that an audit finds are used. Edges that reach the threshold make components. A link that was seen is lost only if both its nodes' lists are saturated, so components are joined over
 all nodes of saturated lists: these are compared block by block, but for blocks too far apart for their radii. At last a
 component's members are compared block by block and links counted, so no pair becomes a row.
 
@@ -31,8 +32,8 @@ THRESHOLD, K, TABLES, ROUNDS = 0.98, 10, 6, 2
 BLOCK, BUCKET = 512, 64
 #: Neighbours below this cosine aren't followed in the first rounds.
 FLOOR = 0.9
-#: Nodes of the audit, and the recall below which more rounds follow.
-AUDIT, AIM = 300, 0.99
+#: One node in so many is audited, the recall below which more rounds follow, and the linked nodes needed to judge it.
+AUDIT, AIM, LINKED = 50, 0.99, 30
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,31 +275,37 @@ def _joined(node: DataFrame, lists: DataFrame, links: DataFrame, k: int, thresho
     return found, links
 
 
-def recall(node: DataFrame, found: DataFrame, sample: int, threshold: float) -> float:
-    """Share of a sample's links that lie within a component, against all nodes. The sample is of bounded size."""
-    picked = node.select("c", "label", "dim", "v").orderBy(F.xxhash64("c"), "c").limit(sample).toArrow()
-    if picked.num_rows == 0:
-        return 1.0
-    held = node.sparkSession.sparkContext.broadcast(picked)
+def _audited(node: DataFrame, found: DataFrame, step: int, threshold: float) -> DataFrame:
+    """c, w of every audited node c (one in `step`) that links: w null where its links lie in its component, and else for each
+    other component (and block) a node it links to there. Audited nodes and nodes of a label are compared block by block."""
+    label = found.select(F.col("node").alias("c"), "component")
+    rows = node.select("c", "label", "dim", "v").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    rows = rows.withColumn("asked", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(step)) == 0)
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    size = rows.groupBy("label", "dim").agg(blocks(F.count_if("asked"), BLOCK).alias("n"), blocks(F.count("*"), 8 * BLOCK).alias("m"))
+    rows = rows.join(size.where("n > 0"), ["label", "dim"])
+    number = lambda n: F.pmod(F.xxhash64("c", F.lit(2)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.where("asked").withColumn("i", number("n")).withColumn("j", every("m"))
+    others = rows.withColumn("asked", F.lit(False)).withColumn("j", number("m")).withColumn("i", every("n"))
+    both = asked.unionByName(others).select(F.xxhash64("label", "dim", "i", "j").alias("g"), "c", "v", "component", "asked")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(held.value["label"].to_pylist(), held.value["dim"].to_pylist(), strict=True)):
-            kinds.setdefault(key, []).append(i)
-        for batch in batches:
-            own = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            for key, which in kinds.items():
-                rows = [i for i, x in enumerate(own) if x == key]
-                if rows:
-                    query, part = held.value.take(which), batch.take(pa.array(rows))
-                    i, j = np.nonzero(cosines(matrix(query["v"]), matrix(part.column(3))) >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(query["c"].to_numpy()[i]), pa.array(part.column(0).to_numpy()[j])], ["a", "b"])
+        for table in groups(batches):
+            first = table["asked"].to_numpy()
+            a, b = table.filter(pa.array(first)), table.filter(pa.array(~first))
+            if not (a.num_rows and b.num_rows):
+                continue
+            c, d = a["c"].to_numpy(), b["c"].to_numpy()
+            i, j = np.nonzero((cosines(matrix(a["v"]), matrix(b["v"])) >= threshold) & (c[:, None] != d[None, :]))
+            x, y = a["component"].to_numpy()[i], b["component"].to_numpy()[j]
+            whole, lost = np.unique(i[x == y]), x != y
+            _, one = np.unique(np.stack([i[lost], y[lost]]), axis=1, return_index=True)
+            u = np.concatenate([c[whole], c[i[lost][one]]])
+            w = np.concatenate([np.zeros(len(whole), np.int64), d[j[lost][one]]])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w, mask=np.arange(len(w)) < len(whole))], ["c", "w"])
 
-    links = node.select("c", "label", "dim", "v").mapInArrow(work, "a long, b long").where("a <> b")
-    label = found.select(F.col("node"), F.col("component"))
-    told = links.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-    row = told.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).alias("k")).first()
-    return row["k"] / row["n"] if row["n"] else 1.0
+    return _together(both).mapInArrow(work, "c long, w long")
 
 
 def _counted(node: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -333,13 +340,19 @@ def _counted(node: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS, audit: int = AUDIT, aim: float = AIM) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each vector."""
+    """vec_id, n_links, component_id, kept of each vector. `audit` 0 is for no audit."""
     node = written(nodes(embeddings), "nodes")
     sizes = node.groupBy("label").count().orderBy(F.desc("count")).limit(10_000).collect()
     width = lambda n: int(np.clip(np.ceil(np.log2(max(1, n / BUCKET))), 0, 24))
     bits = {r["label"]: width(r["count"]) for r in sizes}
     usual = width(sizes[-1]["count"]) if sizes else 0  # of labels beyond the ten thousand largest
 
+    def audited(step: int) -> tuple[DataFrame, int, int]:
+        """The links that an audit adds, the nodes that link, and those of them that had lost any."""
+        seen = written(_audited(node, found, step, threshold), "audit")
+        row = seen.groupBy("c").agg(F.count("w").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("w") > 0).alias("k")).first()
+        return seen.where("w is not null").select(F.col("c").alias("a"), F.col("w").alias("b")), row["n"], row["k"]
+
     lists = None
     for attempt in range(3):
         fresh = _bucket_lists(_coded(node, tables, 7 + attempt, bits, usual), k)
@@ -349,7 +362,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
             lists = written(_best(lists.union(more), k, k << (r + 1), threshold), "lists")
         links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b"))
         found, links = _joined(node, lists, links, k, threshold)
-        if recall(node, found, audit, threshold) >= aim:
+        if not audit:
+            break
+        more, linked, lost = audited(audit)
+        met = linked - lost >= aim * linked
+        if linked < LINKED or (attempt == 2 and not met):
+            more, _, lost = audited(1)
+            met = True
+        if met:
+            if lost:
+                found = written(components(links.union(more)), "found")
             break
 
     counted = _counted(node, found, threshold)
