@@ -27,7 +27,10 @@ from tessitura.llm.line_quality import lines
 from tessitura.llm.shared import columns, digits, discard, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, hashed_words, mix, powers, span_hashes
 
-LEAST_WORDS, NEAR_WORDS = 4, 10
+#: At five words, one word apart is still 0.8 similar.
+LEAST_WORDS, NEAR_WORDS = 4, 5
+#: The pipeline's; its test holds that shorter lines go only if equal.
+PIPELINE_NEAR_WORDS = 10
 
 
 def sequence_sums(words: np.ndarray) -> np.ndarray:
@@ -191,7 +194,7 @@ def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS, near_word
     return made.select(*[F.col(f"_{k}").alias(n) for k, n in enumerate(names)], *[F.col(f"_{x}").alias(x) for x in extra if counts])
 
 
-def without_repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = PIPELINE_NEAR_WORDS) -> DataFrame:
     """The documents without repeated lines, n_chars counted anew. Those of which nothing but white space is left go."""
     out = deduplicated(documents, least_words, near_words, counts=True)
     touched = F.col("n_equal") + F.col("n_near") > 0

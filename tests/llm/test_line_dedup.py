@@ -86,5 +86,23 @@ def test_against_brute_force(spark):
     assert sorted(str((x.doc_id, x.text)) for x in got.collect()) == brute(rows, 3, 6)
 
 
+def test_production_values_against_brute_force(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    pool = [[r.choice(words) for _ in range(n)] for n in range(1, 14) for _ in range(3)]
+    rows = []
+    for k in range(70):
+        text = []
+        for _ in range(r.randint(1, 5)):
+            w = list(r.choice(pool))
+            for _ in range(r.choice([0, 1, 1, 2])):
+                where = r.randint(0, len(w))
+                w[where : where + r.randint(0, 1)] = r.choice([[], ["xx"], ["W3"]])
+            text.append(" ".join(w))
+        rows.append((k, "\n".join(text)))
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(str((x.doc_id, x.text)) for x in got.collect()) == brute(rows, 4, 5)
+
+
 def test_empty_table(spark):
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
