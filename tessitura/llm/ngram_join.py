@@ -296,8 +296,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(a, "a").join(b, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, mark (xxhash64 of the text), n_shingles, component_id for each document."""
+def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text), n_shingles, component_id, component (a class of it) for each document."""
     spark = documents.sparkSession
     docs = written(classes(documents, width), "classes")
     total = docs.agg(F.sum("n_shingles")).first()[0] or 0
@@ -349,17 +349,34 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     by_class = docs.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     by_class = by_class.join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("c"))
     by_component = by_class.groupBy("c").agg(F.min("least").alias("component_id"))
-    label = by_class.join(by_component, "c").select("class", "component_id")
-    return docs.join(label, "class", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = by_class.join(by_component, "c").select("class", "component_id", F.col("c").alias("component"))
+    return docs.join(label, "class", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+
+
+def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text), n_shingles, component_id for each document."""
+    return _labelled(documents, width, percent).drop("component")
 
 
 def one_of_each(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that reach one of a smaller id. Texts without words stay, and so do members without id
-    of groups in which none has one."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    gone = near_duplicates(documents, width, percent).where("n_shingles > 0 and not (doc_id <=> component_id)")
-    gone = gone.select(key.alias("_k"), F.col("mark").alias("_mark")).distinct()
-    return documents.join(gone, (key == F.col("_k")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    """One document of each group: of those with the smallest id (without id, where none has one) the one whose text has the
+    smallest hash, and one of its repeated rows. Texts without words stay."""
+    label = _labelled(documents, width, percent).where("n_shingles > 0").groupBy("doc_id", "mark", "component_id", "component").agg(F.count("*").alias("n"))
+    label = written(label, "labelled")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = label.where(own).groupBy("component").agg(F.min("mark").alias("best"))
+    label = label.join(best, "component").withColumn("stays", own & (F.col("mark") == F.col("best")))
+    # A prefix tells an empty id from none.
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    gone = label.where("not stays").select(key.alias("_k"), F.col("mark").alias("_mark"))
+    again = written(label.where("stays and n > 1").select(key.alias("_k"), F.col("mark").alias("_mark")), "repeated")
+    same = (key == F.col("_k")) & (F.xxhash64("text") == F.col("_mark"))
+    if not again.take(1):
+        return documents.join(gone, same, "left_anti")
+    alone = documents.join(gone.union(again), same, "left_anti")
+    row = F.struct(*[F.col(f"`{n}`") for n in documents.columns])
+    once = documents.join(again, same).select("_k", "_mark", row.alias("_row")).groupBy("_k", "_mark").agg(F.first("_row").alias("_row"))
+    return alone.union(once.select("_row.*"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

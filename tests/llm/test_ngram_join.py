@@ -100,6 +100,17 @@ def test_one_of_each(spark, rows):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(x.split(", ")[0][1:] for x in alone)
 
 
+def test_one_of_each_repeated_row(spark):
+    text = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcde"]
+    rows = [(1, text[0]), (1, text[0]), (1, text[0] + " more"), (2, text[0]), (3, text[1]), (3, text[2])]
+    rows += [(None, text[3]), (None, text[3]), (None, text[3] + " more"), (None, text[4]), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, component int").repartition(3)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(str((x.doc_id, (x.text or "")[:2])) for x in kept.collect())
+    assert got == sorted(str(x) for x in [(1, "a0"), (3, "b0"), (3, "c0"), (None, "d0"), (None, "e0"), (4, ""), (4, ""), (None, "")])
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
