@@ -2,8 +2,8 @@
 
 Sets of similar size share a band. In a band two sets that link differ in at most H shingles, so of H + 1 segments of
 the shingle universe one at least is equal in both. Each document indexes its subset of each segment. A segment that is
-empty in both documents proves nothing and is not indexed; a document with E empty segments makes up for them where it
-costs least: the first segments that hold E subsets of two or more shingles also get all their subsets with one shingle
+empty in both documents proves nothing and is not indexed; a document with E empty segments makes up for them
+by position, not by cost: the first segments that hold E subsets of two or more shingles also get all their subsets with one shingle
 deleted, so there a difference of one is found as well. Pairs across a band's edge have a band of their own. Candidates
 share an entry; parity bitmaps rule out most that don't link, and the others are verified on the whole sets.
 
