@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.components import components
-from tessitura.llm.shared import columns, written
+from tessitura.llm.shared import columns, groups, written
 
 THRESHOLD, K, TABLES, ROUNDS = 0.98, 10, 6, 2
 #: Nodes compared at once, and a bucket's aim.
@@ -48,25 +48,6 @@ def cosines(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return (a[0] @ b[0].T) / np.outer(a[1], b[1])
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[pa.Table]:
-    """Runs of rows with an equal key, over batches of a sorted partition."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and k[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = k[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _together(df: DataFrame) -> DataFrame:
     return df.repartition("g").sortWithinPartitions("g")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -19,9 +20,12 @@ _released = float("-inf")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir, which all executors must see. Where it is unset, a local session's driver
+    and executors are one machine and a temporary folder will do; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessitura-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/tessitura/{spark.sparkContext.applicationId}"
@@ -100,3 +104,22 @@ def digits(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for each n of `counts`, one after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[pa.Table]:
+    """Runs of rows with an equal key, over batches of a sorted partition."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and k[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = k[a]
+    if held:
+        yield pa.Table.from_batches(held)
