@@ -1,15 +1,23 @@
 """Exact Jaccard self-join of documents on word 5-grams, by partitioning the universe of shingles.
 
-Sets of similar size share a band. In a band two sets that link differ in at most H shingles, so of H + 1 segments of
-the shingle universe one at least is equal in both. Each document indexes its subset of each segment. A segment that is
-empty in both documents proves nothing and is not indexed; a document with E empty segments makes up for them
-by position, not by cost: the first segments that hold E subsets of two or more shingles also get all their subsets with one shingle
-deleted, so there a difference of one is found as well. Pairs across a band's edge have a band of their own. Candidates
-share an entry; parity bitmaps rule out most that don't link, and the others are verified on the whole sets.
+A pair belongs to the size band of its smaller set. Sets that link differ in at most H shingles, a number that the band
+bounds, so of H + 1 segments of the shingle universe one at least is equal in both. Each set indexes its subset of each
+segment. A segment that is empty in both proves nothing and is not indexed; a set with E empty segments makes up for them:
+the first segments that hold E subsets of two or more shingles also get all their subsets with one shingle deleted, so
+there a difference of one is found as well.
 
-Equal sets are one class, so copies add no pairs. Entries that occur in one class only are dropped where they meet. The
-classes of an entry are verified against its smallest; only where that leaves an entry with several components are the
-rest of its pairs verified, so no link between different texts is lost and a large group adds one pair for each member.
+Segments are taken in an order by cost that all sets of a band share: the number of deletions that all sets would index
+there, measured over all documents, so segments of frequent shingles come last. A set of which no partner can differ in H
+shingles takes only as many segments as its own partners need; those left out are the dearest. The order must be shared,
+or a pair might choose different segments.
+
+Equal sets are one class, so copies add no pairs. Entries meet by sorting; those of one class only are dropped. The
+classes of an entry are verified against its smallest. Where that leaves an entry with several components, its classes are
+compared by parity bitmaps, block by block in Arrow workers: entries with the same smallest class together, so a pair is
+compared once and not for each entry that it shares. Only pairs of different components whose bitmaps don't rule out a link
+become rows, and are verified on the whole sets. No link between different texts is lost.
+
+Classes are told apart by two 64-bit sums. Where two classes agree in the first, both are named by the second.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a text of one to
 four words is one shingle; repeated rows are copies; a null doc_id is never a component_id while another member has an
@@ -26,16 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.components import components
-from tessitura.llm.shared import columns, text_blocks, written
+from tessitura.llm.shared import columns, discard, groups, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix
 
 WIDTH, PERCENT = 5, 80
 #: Ratio of a band's limits.
 BAND = 1.6
-#: Index entries in a task that joins them, about.
-TASK_ENTRIES = 1_500_000
-#: Entries dealt out at once.
-SENT_ENTRIES = 500_000
+#: Bands of more segments than this take them in plain order, so the costs held are bounded.
+COSTED = 1 << 16
+#: Classes of entries with an equal smallest class that are compared at once.
+BLOCK = 1024
+#: Rows of an Arrow batch.
+BATCH = 1 << 16
+#: Bits of a bitmap for each shingle, at least.
+BITS = 8
+#: Classes that may agree in the first sum.
+AMBIGUOUS = 100_000
 
 
 def limits(largest: int, percent: int) -> np.ndarray:
@@ -67,184 +81,257 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.n
     return (np.concatenate(sets) if sets else words[:0]), np.cumsum(sizes)
 
 
-def class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+def class_ids(sets: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
     """One number for each set, equal for equal sets."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(seed)))])
     return mix((sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64) * np.uint64(0x9E6C63D0876A9A35)).view(np.int64)
 
 
-def entries(sets: np.ndarray, at: np.ndarray, segments: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, number of the set) of the index entries of sets in so many segments each; `scheme` tells bands apart."""
+def named(sets: np.ndarray, at: np.ndarray, ambiguous: np.ndarray) -> np.ndarray:
+    """The class of each set: its first sum, or the second where the first is ambiguous."""
+    first = class_ids(sets, at)
+    return np.where(np.isin(first, ambiguous), class_ids(sets, at, 1), first) if len(ambiguous) else first
+
+
+def memberships(size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(which sets, their band, segments of the band, segments that each set takes, the least that a partner takes): each set
+    in its own band, where it is the smaller of a pair or both are, and as the larger one in the band below if a partner may
+    lie there."""
+    edges = limits(int(size.max(initial=1)) * 2, percent)
+    own = np.searchsorted(edges, size, "right") - 1
+    for lower in (False, True):
+        band = np.maximum(own - lower, 0)
+        least, largest = edges[band], edges[band + 1] - 1  # of the smaller set of a pair
+        which = np.flatnonzero((size > 0) & ((own > 0) & (size * percent <= largest * 100) if lower else True))
+        band, least, largest, n = band[which], least[which], largest[which], size[which]
+        segments = band_segments(edges, band, percent)
+
+        def taken(a: np.ndarray) -> np.ndarray:
+            """By a smaller set: one more than it can differ from any partner in."""
+            return np.minimum(segments, differing(a, a * 100 // percent, percent) + 1)
+
+        mine = np.minimum(segments, differing(largest, n, percent) + 1) if lower else taken(n)
+        partner = np.minimum(mine, taken(np.maximum(least, -(-n * percent // 100))))
+        several = segments > 1
+        yield which[several], band[several], segments[several], mine[several], partner[several]
+
+
+def band_segments(edges: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
+    largest = edges[band + 1] - 1
+    return differing(largest, largest * 100 // percent, percent) + 1
+
+
+def dealt(sets: np.ndarray, at: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each shingle: hash ranges, so the sorted shingles of a segment stand together; and its set."""
+    of = np.repeat(np.arange(len(segments)), np.diff(at))
+    return ((sets >> np.uint64(32)) * segments[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64), of
+
+
+def _subsets(sets: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen sets and their offsets."""
     size = np.diff(at)
-    base = np.concatenate([[0], np.cumsum(segments)])
-    owner = np.repeat(np.arange(len(segments)), segments)
-    place = np.arange(base[-1]) - base[owner]
-    tag = mix(place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + scheme[owner].astype(np.uint64) * np.uint64(0xCA5A826395121157))
-    # Hash ranges are the segments, so the sorted shingles of a segment stand together.
-    of = np.repeat(np.arange(len(size)), size)
-    part = ((sets >> np.uint64(32)) * segments[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[of]
+    chosen = np.zeros(len(size), bool)
+    chosen[which] = True
+    return sets[np.repeat(chosen, size)], np.concatenate([[0], np.cumsum(size[which])])
+
+
+class Order:
+    """The place of each segment of a band in the order by cost; plain order for bands without costs."""
+
+    def __init__(self, costs: dict[int, np.ndarray] | None = None):
+        self.places: dict[int, np.ndarray] = {}
+        for band, cost in (costs or {}).items():
+            place = np.empty(len(cost), np.int64)
+            place[np.argsort(cost, kind="stable")] = np.arange(len(cost))
+            self.places[band] = place
+
+    def of(self, band: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        out = segment.copy()
+        for b in np.unique(band).tolist():
+            if b in self.places:
+                own = band == b
+                out[own] = self.places[b][segment[own]]
+        return out
+
+
+def entries(sets: np.ndarray, at: np.ndarray, segments: np.ndarray, taken: np.ndarray, partner: np.ndarray, band: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of the set) of the index entries of sets in the first `taken` of so many segments each.
+
+    Of two sets the segments count that both take, at least `partner`. If these hold no equal subset and no difference of
+    one that deletions find, then in fewer segments than are empty in both do the sets differ by more than one; so either a
+    set's first segments of two or more shingles, as many as it has empty ones, show a link, or both have fewer of them than
+    empty ones, and then their empty segments are indexed as well."""
+    place, of = dealt(sets, at, segments)
+    place = order.of(band[of], place)
+    used = place < taken[of]
+    base = np.concatenate([[0], np.cumsum(taken)])
+    part = place[used] + base[of[used]]
+    by = np.argsort(part, kind="stable")
+    sets, part = sets[used][by], part[by]
+    owner = np.repeat(np.arange(len(taken)), taken)
+    at_place = np.arange(base[-1]) - base[owner]
+    tag = mix(at_place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + band[owner].astype(np.uint64) * np.uint64(0xCA5A826395121157))
     count = np.bincount(part, minlength=base[-1])
     weight = mix(sets ^ np.uint64(0x5851F42D4C957F2D))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight)])
     ends = np.cumsum(count)
     total = sums[ends] - sums[ends - count]
-    some = count > 0
+    some, several = count > 0, count >= 2
     keys, owners = [mix(total[some] ^ tag[some])], [owner[some]]
-    empty = np.bincount(owner, weights=~some, minlength=len(segments)).astype(np.int64)
-    several = count >= 2
+    empty = np.bincount(owner, weights=~some, minlength=len(taken)).astype(np.int64)
     before = np.cumsum(several) - several
     first = np.concatenate([before, [several.sum()]])[base]
     chosen = several & (before - first[owner] < empty[owner])
     takes = chosen[part]
     keys.append(mix((total[part[takes]] - weight[takes]) ^ tag[part[takes]]))
-    owners.append(of[takes])
-    lacking = ~some & (np.diff(first) < empty)[owner]
+    owners.append(owner[part[takes]])
+    # More empty segments than such of several, among the first t for a t that a partner may have.
+    excess = np.cumsum(~some) - np.cumsum(several)
+    excess = excess - np.concatenate([[0], excess])[base[:-1]][owner]
+    short = np.flatnonzero((excess > 0) & (at_place + 1 >= partner[owner]))
+    last = np.zeros(len(taken), np.int64)
+    last[owner[short]] = at_place[short] + 1
+    lacking = ~some & (at_place < last[owner])
     keys.append(mix(tag[lacking]))
     owners.append(owner[lacking])
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def index(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, number of the set) over each set's band and the edges near it."""
-    size = np.diff(at)
-    edges = limits(int(size.max(initial=1)) * 2, percent)
-    band = np.searchsorted(edges, size, "right") - 1
-    high = edges[np.maximum(band, 0) + 1]
-    keys, owners = [], []
-
-    def add(which: np.ndarray, segments: np.ndarray, scheme: np.ndarray) -> None:
-        which = which & (segments > 1)
-        if which.any():
-            own = np.flatnonzero(which)
-            sub = np.repeat(which, size)
-            k, o = entries(sets[sub], np.concatenate([[0], np.cumsum(size[own])]), segments[own], scheme[own])
+def index(sets: np.ndarray, at: np.ndarray, percent: int, order: Order | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of the set) over each set's bands."""
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for which, band, segments, taken, partner in memberships(np.diff(at), percent):
+        if len(which):
+            k, o = entries(*_subsets(sets, at, which), segments, taken, partner, band, order or Order())
             keys.append(k)
-            owners.append(own[o])
-
-    add(size > 0, differing(high - 1, high - 1, percent) + 1, 2 * band)
-    for edge, number in ((edges[np.maximum(band, 0)], band), (high, band + 1)):
-        below, above = edge - 1, (edge - 1) * 100 // percent
-        near = (size > 0) & np.where(size < edge, size * 100 // percent >= edge, size <= above)
-        add(near, differing(below, above, percent) + 1, 2 * number + 1)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            owners.append(which[o])
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def classes(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, mark (a hash of the text), class, n_shingles for each document."""
+def costs(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band, segment, shingles that stand there beside another of their set) for bands of up to COSTED segments."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    for which, band, segments, *_ in memberships(np.diff(at), percent):
+        which, band, segments = (x[segments <= COSTED] for x in (which, band, segments))
+        if not len(which):
+            continue
+        own, to = _subsets(sets, at, which)
+        place, of = dealt(own, to, segments)
+        base = np.concatenate([[0], np.cumsum(segments)])
+        count = np.bincount(place + base[of], minlength=base[-1])
+        some = np.flatnonzero(count >= 2)
+        owner = np.searchsorted(base, some, "right") - 1
+        key, inverse = np.unique(band[owner] << 32 | some - base[owner], return_inverse=True)
+        out.append((key >> 32, key & 0xFFFFFFFF, np.bincount(inverse, weights=count[some], minlength=len(key)).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (a hash of the text), class, other (both sums), n_shingles for each document; and rows with band,
+    segment, cost instead, each batch's sums."""
     source = columns(documents, "doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    numbers = ("mark", "class", "other", "n_shingles", "band", "segment", "cost")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+
+        def told(ids: pa.Array, n: int, **values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(values[k], pa.int64()) if k in values else pa.nulls(n, pa.int64()) for k in numbers)], ["doc_id", *numbers])
+
+        def tally() -> pa.RecordBatch:
+            key = np.fromiter(seen.keys(), np.int64, len(seen))
+            cost = np.fromiter(seen.values(), np.int64, len(seen))
+            seen.clear()
+            return told(pa.nulls(len(key), kind), len(key), band=key >> 32, segment=key & 0xFFFFFFFF, cost=cost)
+
+        kind = pa.null()
         for batch in batches:
-            ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, data, at in text_blocks(batch.column(1)):
+            kind = batch.column(0).type
+            for lo, hi, data, at in text_blocks(batch.column(1)):
                 sets, to = shingles(data, at, width)
-                ids.append(class_ids(sets, to))
-                sizes.append(np.diff(to))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["doc_id", "mark", "class", "n_shingles"])
+                for b, s, c in zip(*(x.tolist() for x in costs(sets, to, percent)), strict=True):
+                    seen[b << 32 | s] = seen.get(b << 32 | s, 0) + c
+                yield told(batch.column(0).slice(lo, hi - lo), hi - lo, mark=batch.column(2).slice(lo, hi - lo), **{"class": class_ids(sets, to), "other": class_ids(sets, to, 1), "n_shingles": np.diff(to)})
+                if len(seen) > BATCH:
+                    yield tally()
+        if seen:
+            yield tally()
 
-    return source.mapInArrow(work, f"doc_id {dict(source.dtypes)['doc_id']}, mark long, class long, n_shingles long")
+    return source.mapInArrow(work, f"doc_id {dict(source.dtypes)['doc_id']}, " + ", ".join(f"{k} long" for k in numbers))
 
 
-#: An index entry on its way: 6 bytes of the key; what differs beyond is told apart on verifying.
-_KEY = 6
+def measured(docs: DataFrame, percent: int) -> Order:
+    """The order of segments from the costs in `classes`; their number is bounded by COSTED for each band."""
+    rows = docs.where("band is not null").groupBy("band", "segment").agg(F.sum("cost").alias("cost")).toArrow()
+    band, segment, cost = (rows[k].to_numpy() for k in ("band", "segment", "cost"))
+    found = np.unique(band)
+    number = band_segments(limits(1 << 40, percent), found, percent)
+    out = {b: np.zeros(n, np.int64) for b, n in zip(found.tolist(), number.tolist(), strict=True)}
+    for b in out:
+        out[b][segment[band == b]] = cost[band == b]
+    return Order(out)
 
 
-def indexed(documents: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
-    """part, data: the entries of a batch's classes for one of `parts`, packed."""
-
-    def dealt(key: np.ndarray, owner: np.ndarray, name: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        part = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
-        order = np.lexsort((owner, part))
-        key, owner, part = key[order], owner[order], part[order]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        low = key.view(np.uint8).reshape(-1, 8)[:, :_KEY]
-        found, blobs = [], []
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[p], cuts[p + 1]
-            docs, counts = np.unique(owner[a:b], return_counts=True)
-            found.append(p)
-            blobs.append(b"".join([np.array([len(docs)], np.int32).tobytes(), name[docs].tobytes(), size[docs].tobytes(), counts.astype(np.int32).tobytes(), low[a:b].tobytes()]))
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
+def indexed(documents: DataFrame, width: int, percent: int, order: Order, ambiguous: np.ndarray) -> DataFrame:
+    """key, class, n: the entries of the classes of each batch."""
+    held = documents.sparkSession.sparkContext.broadcast((order, ambiguous))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, ambiguous = held.value
         for batch in batches:
-            held: list[tuple] = []
-            n = total = 0
             seen: set[int] = set()
-            for _, hi, data, at in text_blocks(batch.column(0)):
+            for _, _, data, at in text_blocks(batch.column(0)):
                 sets, to = shingles(data, at, width)
-                own = class_ids(sets, to)
-                size = np.diff(to)
-                new = np.array([not (c in seen or seen.add(c)) for c in own.tolist()], bool)
-                k, o = index(sets[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]), percent)
-                held.append((k, o + n, own[new], size[new].astype(np.int32)))
-                n, total = n + int(new.sum()), total + len(k)
-                if total > SENT_ENTRIES or hi == batch.num_rows and total:
-                    yield dealt(*(np.concatenate([h[i] for h in held]) for i in range(4)))
-                    held, n, total = [], 0, 0
-
-    return columns(documents, "text").mapInArrow(work, "part int, data binary")
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.int32, 1)[0])
-    name = np.frombuffer(blob, np.int64, n, 4)
-    size = np.frombuffer(blob, np.int32, n, 4 + 8 * n)
-    count = np.frombuffer(blob, np.int32, n, 4 + 12 * n)
-    low = np.frombuffer(blob, np.uint8, -1, 4 + 16 * n).reshape(-1, _KEY)
-    key = np.zeros((len(low), 8), np.uint8)
-    key[:, :_KEY] = low
-    return key.view(np.uint64).ravel(), np.repeat(name, count), np.repeat(size, count)
+                own, size = named(sets, to, ambiguous), np.diff(to)
+                new = np.flatnonzero([not (c in seen or seen.add(c)) for c in own.tolist()])
+                k, o = index(*_subsets(sets, to, new), percent, order)
+                for lo in range(0, len(k), BATCH):
+                    one = new[o[lo : lo + BATCH]]
+                    yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + BATCH].view(np.int64)), pa.array(own[one]), pa.array(size[one].astype(np.int32))], ["key", "class", "n"])
 
+    return columns(documents, "text").mapInArrow(work, "key long, class long, n int")
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, class, n of entries that occur in two classes at least. Of each key one entry is kept, so memory is bounded by
-    the different keys of the task; further classes of a key pass through."""
-    kept = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, bool)]  # key, class, n, passed on already
-    waiting: list[tuple] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal kept, waiting, held
-        key, name, size = (np.concatenate([old, *(w[k] for w in waiting)]) for k, old in enumerate(kept[:3]))
-        told = np.concatenate([kept[3], np.zeros(held, bool)])
-        order = np.lexsort((~told, name, key))
-        key, name, size, told = key[order], name[order], size[order], told[order]
-        one = np.ones(len(key), bool)  # the first of each key and class
-        one[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, size, told = key[one], name[one], size[one], told[one]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        group = np.cumsum(first) - 1
-        several = np.bincount(group)[group] > 1 if len(group) else first
-        known = np.zeros(int(first.sum()), bool)
-        np.logical_or.at(known, group[told], True)
-        out = (several | known[group]) & ~told
-        keep = np.flatnonzero(first)
-        # A told entry, where a key has one, stands for it; else its first.
-        stays = keep.copy()
-        stays[group[told]] = np.flatnonzero(told)
-        kept = [key[stays], name[stays], size[stays], (several | known[group])[keep]]
-        waiting, held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(key[out].view(np.int64)), pa.array(name[out]), pa.array(size[out].astype(np.int64))], ["key", "class", "n"])
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, class, n, low, low_n (the key's smallest class) of keys with two classes at least, from rows sorted by key and
+    class. Only a run's first row is held from batch to batch, however long the run."""
+    last = None  # key, class, n of the row before; the run's low and low_n; whether its first row is out
     for batch in batches:
-        for blob in batch.column(1):
-            waiting.append(_unpacked(blob.as_buffer().to_pybytes()))
-            held += len(waiting[-1][0])
-            if held > 1_000_000:
-                yield flush()
-    if held:
-        yield flush()
+        key, name, size = (batch.column(k).to_numpy() for k in range(3))
+        if not len(key):
+            continue
+        n = len(key)
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        new[0] = last is None or (key[0], name[0]) != last[:2]
+        key, name, size = key[new], name[new], size[new]
+        if not len(key):
+            continue
+        begins = np.ones(len(key), bool)
+        begins[1:] = key[1:] != key[:-1]
+        joined = last is not None and key[0] == last[0]
+        begins[0] = not joined
+        head = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
+        low, low_n = name[np.maximum(head, 0)], size[np.maximum(head, 0)]
+        if joined:
+            old = head < 0
+            low, low_n = np.where(old, last[3], low), np.where(old, last[4], low_n)
+        follows = ~begins
+        several = follows.copy()
+        several[:-1] |= follows[1:]
+        out = [key[several], name[several], size[several], low[several], low_n[several]]
+        if joined and not last[5]:  # the run's first row waited for this
+            out = [np.concatenate([[x], y]) for x, y in zip((last[0], last[3], last[4], last[3], last[4]), out, strict=True)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, (np.int64, np.int64, np.int32, np.int64, np.int32), strict=True)], ["key", "class", "n", "low", "low_n"])
+        last = (key[-1], name[-1], size[-1], low[-1], low_n[-1], bool(follows[-1]))
 
 
 def sketches(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit words of a parity bitmap of each set, about a bit for each shingle, and their offsets. Each shingle flips one
-    bit, so bitmaps never differ in more bits than the sets differ in shingles. The number of bits is a power of two; a
-    larger bitmap folds to a smaller one."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, np.diff(at)))).astype(np.int64))
+    """64-bit words of a parity bitmap of each set, BITS bits for each shingle at least, and their offsets. Each shingle
+    flips one bit, so bitmaps never differ in more bits than the sets differ in shingles. The number of bits is a power of
+    two; a larger bitmap folds to a smaller one."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, BITS * np.diff(at)))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(bits)])
     of = np.repeat(np.arange(len(bits)), np.diff(at))
     place = (sets & (bits[of] - 1).astype(np.uint64)).astype(np.int64) + base[of]
@@ -252,24 +339,20 @@ def sketches(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64), base // 64
 
 
-def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows) brought down to `size` words."""
+    while words.shape[1] > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
-def _bits(x, y):
-    """differing_bits of two columns whose bitmaps are of equal size, or one twice the other's."""
-    xor = lambda p, q: p.bitwiseXOR(q)
-
-    def half(s):
-        n = (F.size(s) / 2).cast("int")
-        return F.zip_with(F.slice(s, 1, n), F.slice(s, n + 1, n), xor)
-
-    count = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda n, k: n + k)
-    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) > F.size(y), count(half(x), y)).otherwise(count(x, half(y)))
+def _rows(column: pa.ListArray, which: np.ndarray) -> np.ndarray:
+    """Lists of one length as rows."""
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    size = int(at[which[0] + 1] - at[which[0]])
+    return values[at[which][:, None] + np.arange(size)[None, :]].view(np.uint64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,15 +362,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = differing(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            lists = []
-            for c in (4, 5):
-                column = batch.column(c)
-                at = column.offsets.to_numpy()
-                lists.append((column.values.to_numpy(), at[:-1].tolist(), at[1:].tolist()))
-            (x, xa, xb), (y, ya, yb) = lists
-            ok = [differing_bits(x[p:q], y[r:s]) <= m for p, q, r, s, m in zip(xa, xb, ya, yb, most.tolist(), strict=True)]
-            mask = pa.array(ok, pa.bool_())
+            n = [batch.column(k).to_numpy() for k in (2, 3)]
+            most = differing(*n, percent)
+            lists = [batch.column(k) for k in (4, 5)]
+            wide = [np.diff(c.offsets.to_numpy()) for c in lists]
+            ok = np.zeros(batch.num_rows, bool)
+            for x, y in np.unique(np.stack(wide), axis=1).T.tolist():
+                own = np.flatnonzero((wide[0] == x) & (wide[1] == y) & (100 * np.minimum(*n) >= percent * np.maximum(*n)))
+                for lo in range(0, len(own), 2048):
+                    k = own[lo : lo + 2048]
+                    ok[k] = np.bitwise_count(folded(_rows(lists[0], k), min(x, y)) ^ folded(_rows(lists[1], k), min(x, y))).sum(axis=1) <= most[k]
+            mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     left = told.mapInArrow(close, "a long, b long")
@@ -296,20 +381,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(a, "a").join(b, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).select("a", "b").distinct()
 
 
+def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes of a group g (class, n, component, sketch, first, second) in different components whose bitmaps don't
+    rule out a link. A group is compared within itself, or its `first` with its `second` rows."""
+
+    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        name, n, c, first, second = (table[k].to_numpy() for k in ("class", "n", "component", "first", "second"))
+        lists = table["sketch"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        wide = np.diff(lists.offsets.to_numpy())
+        for w in np.unique(wide).tolist():
+            right = np.flatnonzero((wide == w) & second)
+            if not len(right):
+                continue
+            right = right[np.argsort(n[right], kind="stable")]
+            b = _rows(lists, right)
+            for v in (w // 2, w, 2 * w):
+                left = np.flatnonzero((wide == v) & first)
+                for i in left.tolist():
+                    lo = np.searchsorted(n[right], -(-int(n[i]) * percent // 100), "left")
+                    hi = np.searchsorted(n[right], int(n[i]) * 100 // percent, "right")
+                    own = right[lo:hi]
+                    keep = np.flatnonzero((c[own] != c[i]) & (name[own] > name[i] if (first & second).all() else True))
+                    if not len(keep):
+                        continue
+                    x = folded(_rows(lists, np.array([i])), min(v, w))
+                    for cut in range(0, len(keep), 4096):
+                        k = keep[cut : cut + 4096]
+                        d = np.bitwise_count(folded(b[lo + k], min(v, w)) ^ x).sum(axis=1)
+                        hit = own[k[d <= differing(n[own[k]], n[i], percent)]]
+                        if len(hit):
+                            yield np.full(len(hit), name[i]), name[hit]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
+
+        def told() -> pa.RecordBatch:
+            x, y = np.concatenate(a), np.concatenate(b)
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for table in groups(batches):
+            for x, y in pairs(table):
+                a.append(x)
+                b.append(y)
+                held += len(x)
+            if held > BATCH:
+                yield told()
+                a, b, held = [], [], 0
+        if held:
+            yield told()
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(work, "a long, b long").distinct()
+
+
+def _apart(shared: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups (see `_close_pairs`) of the entries whose classes are not all in one component."""
+    label = shared.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "low", F.coalesce("component", "class").alias("component"))
+    mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    member = written(label.join(mixed, "key").select("low", "class", "component").distinct(), "mixed")
+    blocks = member.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = member.join(blocks, "low").withColumn("i", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    member = member.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select(F.xxhash64("low", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "class", "component", (F.col("i") <= F.col("j")).alias("first"), (F.col("i") >= F.col("j")).alias("second"))
+    return member.join(sets.select("class", "n", "sketch"), "class").select("g", "class", "n", "component", "first", "second", "sketch")
+
+
 def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, mark (xxhash64 of the text), n_shingles, component_id, component (a class of it) for each document."""
-    spark = documents.sparkSession
-    docs = written(classes(documents, width), "classes")
-    total = docs.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, 1 + int(total * 0.6) // TASK_ENTRIES)
-    shared = indexed(documents, parts, width, percent).repartitionById(parts, F.col("part")).mapInArrow(_shared, "key long, class long, n long")
-    shared = written(shared, "entries")
+    rows = written(classes(documents, width, percent), "classes")
+    docs = rows.where("n_shingles is not null").select("doc_id", "mark", "class", "other", "n_shingles")
+    unclear = docs.groupBy("class").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x < y").select("class")
+    ambiguous = np.array([r[0] for r in unclear.limit(AMBIGUOUS).collect()], np.int64)
+    if len(ambiguous) == AMBIGUOUS:
+        raise RuntimeError(f"{AMBIGUOUS} or more sets share a hash with another")
+    if len(ambiguous):
+        docs = docs.withColumn("class", F.when(F.col("class").isin(ambiguous.tolist()), F.col("other")).otherwise(F.col("class")))
+    docs = docs.drop("other")
+    entry = indexed(documents, width, percent, measured(rows, percent), ambiguous).repartition("key").sortWithinPartitions("key", "class")
+    shared = written(entry.mapInArrow(_shared, "key long, class long, n int, low long, low_n int"), "entries")
 
     # Each entry's classes against its smallest.
-    least = shared.groupBy("key").agg(F.min(F.struct("class", "n")).alias("l"))
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = shared.join(least, "key").where((F.col("class") != F.col("l.class")) & alike(F.col("n"), F.col("l.n")))
-    stars = written(stars.select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct(), "stars")
+    alike = 100 * F.least("n", "low_n").cast("long") >= percent * F.greatest("n", "low_n").cast("long")
+    stars = written(shared.where((F.col("class") != F.col("low")) & alike).select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), "stars")
 
     # The sets of classes that share an entry, from one document of each.
     wanted = shared.select("class").distinct()
@@ -326,24 +480,14 @@ def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v)) for v, c in ((sets.view(np.int64), to), (words, cuts))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(to)), *lists], ["class", "n", "grams", "sketch"])
 
-    sets = written(texts.join(one, ["_k", "mark"]).select("class", "text").mapInArrow(grams, "class long, n long, grams array<long>, sketch array<long>"), "sets")
+    sets = written(texts.join(one, ["_k", "mark"]).dropDuplicates(["class"]).select("class", "text").mapInArrow(grams, "class long, n long, grams array<long>, sketch array<long>"), "sets")
     links = written(_verified(stars, sets, percent), "links")
     found = written(components(links), "found")
-
-    # Entries whose classes are not all in one component: the rest of their pairs.
-    label = shared.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("component", "class").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = written(label.join(mixed, "key"), "mixed")
-    rest = rest.join(sets.select("class", "sketch"), "class")
-    x, y = (rest.select(*(F.col(n).alias(f"{p}_{n}") for n in ("key", "class", "n", "c", "sketch"))) for p in "xy")
-    most = F.floor((F.col("x_n") + F.col("y_n")) * (100 - percent) / (100 + percent))
-    other = (F.col("x_c") != F.col("y_c")) & (F.col("x_class") < F.col("y_class")) & alike(F.col("x_n"), F.col("y_n"))
-    # The bitmaps are compared within the join, so what they rule out never becomes a row.
-    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & other & (_bits(F.col("x_sketch"), F.col("y_sketch")) <= most))
-    pairs = pairs.select(F.col("x_class").alias("a"), F.col("y_class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(pairs, sets, percent), "more")
+    more = written(_verified(_close_pairs(_apart(shared, found, sets), percent), sets, percent), "more")
     if more.take(1):
         found = written(components(links.union(more)), "found")
+    for table in (shared, stars, sets):
+        discard(table)
 
     # The smallest document of each class and of each component.
     by_class = docs.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessitura.llm.components import components
-from tessitura.llm.ngram_join import differing_bits, index, near_duplicates, one_of_each, sketches
+from tessitura.llm.ngram_join import Order, band_segments, folded, index, limits, near_duplicates, one_of_each, sketches
 
 
 def test_every_linked_pair_shares_an_entry():
@@ -23,7 +23,11 @@ def test_every_linked_pair_shares_an_entry():
             continue
         checked += 1
         sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
-        keys, owner = index(np.concatenate(sets), np.array([0, len(a), len(a) + len(b)]), 80)
+        both, at = np.concatenate(sets), np.array([0, len(a), len(a) + len(b)])
+        shuffled = Order({k: rng.random(500) for k in range(len(limits(600, 80)))}) if trial % 2 else None
+        if shuffled:
+            shuffled.places = {k: v[v < band_segments(limits(10**6, 80), np.array([k]), 80)[0]] for k, v in shuffled.places.items()}
+        keys, owner = index(both, at, 80, shuffled)
         assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (len(a), len(b), len(a & b))
     assert checked > 500
 
@@ -34,7 +38,8 @@ def test_bitmaps_differ_in_no_more_than_the_sets():
         common = rng.integers(0, 2**64, rng.integers(0, 300), dtype=np.uint64).tolist()
         a, b = ({*common, *rng.integers(0, 2**64, rng.integers(1, 80), dtype=np.uint64).tolist()} for _ in "ab")
         words, at = sketches(np.array(sorted(a) + sorted(b), np.uint64), np.array([0, len(a), len(a) + len(b)]))
-        bits = differing_bits(words[at[0] : at[1]], words[at[1] : at[2]])
+        rows = [words[at[k] : at[k + 1]].view(np.uint64)[None, :] for k in (0, 1)]
+        bits = int(np.bitwise_count(np.bitwise_xor(*(folded(x, min(y.shape[1] for y in rows)) for x in rows))).sum())
         assert bits <= len(a ^ b) and (bits > 0 or len(a ^ b) % 2 == 0)
 
 
