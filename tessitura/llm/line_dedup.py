@@ -1,11 +1,12 @@
 """Near-duplicate lines by a deletion-neighbourhood join: of lines at most one word apart, the earliest stays.
 
-A line is its sequence of words, A-Z lowered. Equal lines meet by hash. Different lines one word apart agree in their
-first or their second half, so lines that share no half with another can be left out at no loss. All others emit their
-neighbourhood: the hash of the line without each of its words, and of the line itself. Two lines are one word apart just
-if one is a variant of the other (a word more), or both give the same variant without the same word (another word); so
-an entry's earliest line is found by a grouped minimum, and no pairs are made. The pairs of a line and what it would go
-for are then verified word by word.
+A line is its sequence of words, A-Z lowered. Equal lines meet by the hashes of the line and of its first half. Different
+lines one word apart agree in their first or their second half, so lines that share no half with another can be left out at
+no loss. All others are numbered in their order and emit their neighbourhood: the hash of the line without each of its
+words, and of the line itself. Two lines are one word apart just if one is a variant of the other (a word more), or both
+give the same variant without the same word (another word); so each line's earliest partner of a variant is found in one
+pass over the sorted variants, and no pairs are made. The pairs of a line and what it would go for are then verified word
+by word.
 
 A line goes if an earlier one (by doc_id, then line) is equal, or is at most one word apart and both have at least
 `near_words` words. Lines of fewer than `least_words` words always stay. What is earlier counts whether it stays or not.
@@ -24,48 +25,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.line_quality import lines
-from tessitura.llm.shared import columns, digits, discard, text_blocks, written
-from tessitura.llm.words import NOT_SPACE, hashed_words, mix, powers, span_hashes
+from tessitura.llm.shared import MEETINGS, columns, digits, discard, meetings, text_blocks, written
+from tessitura.llm.words import NOT_SPACE, Sequences, hashed_words, mix
 
 #: At five words, one word apart is still 0.8 similar.
 LEAST_WORDS, NEAR_WORDS = 4, 5
 #: The pipeline's; its test holds that shorter lines go only if equal.
 PIPELINE_NEAR_WORDS = 10
-
-
-def sequence_sums(words: np.ndarray) -> np.ndarray:
-    """Prefix sums from which hashes of word sequences follow."""
-    up, _ = powers(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return sums
+#: Rows of an Arrow batch.
+BATCH = 1 << 16
 
 
 def word_lines(data: np.ndarray, at: np.ndarray):
-    """(prefix sums of the words, first word and word after the last of each line, line offsets of the texts)."""
+    """(hashes of word sequences, first word and word after the last of each line, line offsets of the texts)."""
     starts, _, first = lines(data, at)
     words, begin, _, _ = hashed_words(data, at, NOT_SPACE)
     a = np.searchsorted(begin, starts)
-    return sequence_sums(words), a, np.append(a[1:], len(words)), first
+    return Sequences(words), a, np.append(a[1:], len(words)), first
 
 
-def half_keys(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def half_keys(sums: Sequences, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Three keys of each line; lines one word apart share one. They are the first halves and the second halves (by the
     shorter line's length n: n // 2 words, and the rest) that the line would have beside one of as many words or fewer."""
     n = b - a
     out = []
     for size, end in ((n // 2, False), ((n - 1) // 2, False), (n - n // 2, True), (n - 1 - (n - 1) // 2, True)):
-        h = span_hashes(sums, b - size, b) if end else span_hashes(sums, a, a + size)
-        out.append(mix(h + (2 * size + end).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        h = sums.spans(b - size, b) if end else sums.spans(a, a + size)
+        out.append(mix(h + np.uint64(0xA0761D6478BD642F if end else 0)))
     # Of a line's four, two are the same: the first halves for odd n, the second ones for even n.
     return np.stack([out[0], np.where(n % 2 == 0, out[1], out[3]), out[2]], axis=1)
 
 
-def variants(sums: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Hashes of a line without each of its words, comparable to hashes of whole lines."""
-    _, down = powers(len(sums) + 1)
-    p = np.arange(a, b)
-    return mix((sums[p] - sums[a]) * down[a] + (sums[b] - sums[p + 1]) * down[a + 1])
+def variants(sums: Sequences, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the line, word left out, hash) of each line without each of its words, and of the line itself as -1."""
+    size = b - a + 1
+    of = np.repeat(np.arange(len(a)), size)
+    p = digits(size) - 1
+    out = np.empty(len(of), np.uint64)
+    whole = p < 0
+    out[whole] = sums.spans(a, b)
+    out[~whole] = sums.without(a[of[~whole]], a[of[~whole]] + p[~whole], b[of[~whole]])
+    return of, p, out
 
 
 def near(x: list[str], y: list[str]) -> bool:
@@ -95,66 +95,103 @@ def _line_rows(documents: DataFrame, least: int) -> DataFrame:
                 text = np.repeat(np.arange(len(at) - 1), np.diff(first)) + lo
                 some = b - a >= least
                 a, b, line, text = a[some], b[some], line[some], pa.array(text[some])
-                h, keys = span_hashes(sums, a, b), half_keys(sums, a, b)
+                h, keys = sums.spans(a, b), half_keys(sums, a, b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(2).take(text), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array((b - a).astype(np.int32)), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in range(3))], ["doc_id", "mark", "line", "h", "n", "k0", "k1", "k2"])
 
     return source.mapInArrow(work, f"doc_id {dict(source.dtypes)['doc_id']}, mark long, line int, h long, n int, k0 long, k1 long, k2 long")
 
 
+def keepers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, keeper (an earlier line one word apart) from rows (v, p, id) sorted by these. In a run of v, the line that is the
+    variant itself (p = -1) stands first, and in a run of v and p the earliest; only these are held, however long the run."""
+    last = None  # v, p of the row before, the id of v's own line (or none), the least id of v and p
+    none = np.iinfo(np.int64).max
+    for batch in batches:
+        v, p, own = (batch.column(k).to_numpy() for k in range(3))
+        if not len(v):
+            continue
+        new_v, new_p = np.ones(len(v), bool), np.ones(len(v), bool)
+        new_v[1:] = v[1:] != v[:-1]
+        new_p[1:] = new_v[1:] | (p[1:] != p[:-1])
+        new_v[0] = last is None or v[0] != last[0]
+        new_p[0] = new_v[0] or p[0] != last[1]
+        here = np.arange(len(v))
+        head_v, head_p = (np.maximum.accumulate(np.where(x, here, -1)) for x in (new_v, new_p))
+        line = np.where(p[np.maximum(head_v, 0)] < 0, own[np.maximum(head_v, 0)], none)
+        least = own[np.maximum(head_p, 0)]
+        if last is not None:
+            line, least = np.where(head_v < 0, last[2], line), np.where(head_p < 0, last[3], least)
+        best = np.where(p < 0, line, np.minimum(least, line))
+        gone = best < own
+        longer = new_p & (p >= 0) & (line != none) & (own < line)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[gone], line[longer]])), pa.array(np.concatenate([best[gone], own[longer]]))], ["id", "keeper"])
+        last = (v[-1], p[-1], line[-1], least[-1])
+
+
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """doc_id, mark (hash of the text), line, near: the lines that go, `near` telling those without an equal earlier one;
     and the written tables that this reads, for `discard` once it has been."""
     rows = written(_line_rows(documents, least_words), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line")
-    distinct = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), *(F.min(k).alias(k) for k in ("k0", "k1", "k2")))
+    distinct = rows.groupBy("h", "k0").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
     distinct = written(distinct, "distinct")
 
-    # Lines that share a half with a different line.
-    halves = distinct.where(F.col("n") >= near_words - 1).select("h", F.explode(F.array("k0", "k1", "k2")).alias("key"))
-    often = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = halves.join(often, "key", "left_semi").select("h").distinct().join(distinct.where(F.col("n") >= near_words), "h").select("h", "first")
+    # Lines that share a half with a different line; and those that occur more than once.
+    halves = distinct.where(F.col("n") >= near_words).select(F.explode(F.array("k0", "k1", "k2")).alias("key"), F.col("h").alias("class"), F.lit(0).alias("n"))
+    meet = halves.repartition("key").sortWithinPartitions("key", "class").mapInArrow(meetings, MEETINGS)
+    meet = meet.select(F.col("class").alias("h")).distinct().withColumn("asked", F.lit(True))
+    flagged = distinct.join(meet, "h", "left").where("times > 1 or asked").select("h", "k0", F.coalesce("asked", F.lit(False)).alias("asked"))
+    lines_of = written(rows.select("doc_id", "mark", "line", "h", "k0").join(flagged, ["h", "k0"]), "candidates")
+    for table in (rows, distinct):
+        discard(table)
+
+    # Candidates are numbered in order, so a line is eight bytes from here on.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line")
+    first = written(lines_of.groupBy("h", "k0").agg(F.min(place).alias("first"), F.first("asked").alias("asked")), "first")
+    numbered = written(first.where("asked").orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h", "k0", "first"), "numbered")
+    asked = numbered.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("first.mark").alias("_mark"), F.col("first.line").alias("line"), "id")
+    asked = asked.groupBy("_k", "_mark").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
     texts = columns(documents, "doc_id", "text").where("text is not null").select(*_keyed(documents), "text")
-    asked = wanted.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("first.mark").alias("_mark"), F.col("first.line").alias("line"), "h")
-    asked = asked.groupBy("_k", "_mark").agg(F.collect_list(F.struct("line", "h")).alias("asked"))
 
     def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """h, v (variant), p (the word left out, -1 for the line itself), words (with the line itself)."""
+        """v (variant), p (the word left out, -1 for the line itself), id, text (with the line itself)."""
         for batch in batches:
-            for lo, _, data, at in text_blocks(batch.column(0)):
+            wanted = batch.column(1)
+            to = wanted.offsets.to_numpy()
+            number, name = (wanted.values.field(k).to_numpy() for k in ("line", "id"))
+            for lo, hi, data, at in text_blocks(batch.column(0)):
                 sums, a, b, first = word_lines(data, at)
                 starts, ends, _ = lines(data, at)
                 raw = data.tobytes()
-                for row in range(len(at) - 1):
-                    own = batch.column(1)[lo + row].as_py()
-                    for x in own:
-                        k = first[row] + x["line"]
-                        v = np.append(variants(sums, a[k], b[k]), span_hashes(sums, a[k : k + 1], b[k : k + 1]))
-                        p = np.arange(len(v), dtype=np.int32)
-                        p[-1] = -1
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x["h"], pa.int64()), len(v)), pa.array(v.view(np.int64)), pa.array(p), pa.array([None] * (len(v) - 1) + [raw[starts[k] : ends[k]].decode("utf-8", "replace")], pa.string())], ["h", "v", "p", "text"])
-
-    found = texts.join(asked, ["_k", "_mark"]).select("text", "asked").mapInArrow(neighbourhoods, "h long, v long, p int, text string")
-    found = written(found.join(wanted, "h"), "neighbourhoods")
-    who = F.struct("first", "h")
-    entry = found.groupBy("v", "p").agg(F.min(who).alias("least"), F.count("*").alias("c"))
-    whole = entry.groupBy("v").agg(F.min(F.when(F.col("p") < 0, F.col("least"))).alias("line"), F.min("least").alias("any"), F.sum("c").alias("all")).where("all > 1")
-    best = entry.join(whole, "v").where((F.col("c") > 1) | F.col("line").isNotNull()).select("v", "p", F.when(F.col("p") < 0, F.col("any")).otherwise(F.least("least", "line")).alias("keeper"))
-    pairs = found.join(best, ["v", "p"]).where(F.col("keeper.first") < F.col("first")).groupBy("h").agg(F.min("keeper").alias("keeper")).select("h", F.col("keeper.h").alias("other"))
+                text = np.repeat(np.arange(hi - lo), np.diff(to[lo : hi + 1]))
+                k = first[text] + number[to[lo] : to[hi]]
+                own = name[to[lo] : to[hi]]
+                of, p, v = variants(sums, a[k], b[k])
+                for x in range(0, len(v), BATCH):
+                    y = min(x + BATCH, len(v))
+                    words = [raw[starts[k[i]] : ends[k[i]]].decode("utf-8", "replace") if q < 0 else None for i, q in zip(of[x:y].tolist(), p[x:y].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v[x:y].view(np.int64)), pa.array(p[x:y].astype(np.int32)), pa.array(own[of[x:y]]), pa.array(words, pa.string())], ["v", "p", "id", "text"])
+
+    found = written(texts.join(asked, ["_k", "_mark"]).dropDuplicates(["_k", "_mark"]).select("text", "asked").mapInArrow(neighbourhoods, "v long, p int, id long, text string"), "neighbourhoods")
+    meet = found.select("v", "p", "id").repartition("v").sortWithinPartitions("v", "p", "id").mapInArrow(keepers, "id long, keeper long")
+    pairs = meet.groupBy("id").agg(F.min("keeper").alias("other"))
 
     # Verified on the words themselves.
-    text = found.where("p < 0").select("h", "text")
-    both = pairs.join(text, "h").join(text.select(F.col("h").alias("other"), F.col("text").alias("text2")), "other").select("h", "text", "text2")
+    text = found.where("p < 0").select("id", "text")
+    both = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other").select("id", "text", "text2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([t.as_py().encode().lower().split() for t in batch.column(k)] for k in (1, 2))
             ok = [near(a, b) for a, b in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["h"])
-
-    gone = both.mapInArrow(verify, "h long").distinct().withColumn("near", F.lit(True))
-    again = distinct.join(gone, "h", "left").where("times > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = rows.join(again, "h").where(F.col("near") | (place != F.col("first")))
-    return out.select("doc_id", "mark", "line", (place == F.col("first")).alias("near")), [rows, distinct, found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["id"])
+
+    gone = numbered.select("id", "h", "k0").join(both.mapInArrow(verify, "id long"), "id").select("h", "k0", F.lit(True).alias("near"))
+    gone = written(gone, "near")
+    discard(found)
+    discard(numbered)
+    again = first.select("h", "k0", "first").join(gone, ["h", "k0"], "left")
+    out = lines_of.join(again, ["h", "k0"]).where(F.col("near") | (place != F.col("first")))
+    return out.select("doc_id", "mark", "line", (place == F.col("first")).alias("near")), [lines_of, first, gone]
 
 
 def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS, counts: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.components import components
-from tessitura.llm.shared import columns, discard, groups, text_blocks, written
+from tessitura.llm.shared import MEETINGS, columns, discard, groups, meetings, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix
 
 WIDTH, PERCENT = 5, 80
@@ -292,41 +292,6 @@ def indexed(documents: DataFrame, width: int, percent: int, order: Order, ambigu
     return columns(documents, "text").mapInArrow(work, "key long, class long, n int")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, class, n, low, low_n (the key's smallest class) of keys with two classes at least, from rows sorted by key and
-    class. Only a run's first row is held from batch to batch, however long the run."""
-    last = None  # key, class, n of the row before; the run's low and low_n; whether its first row is out
-    for batch in batches:
-        key, name, size = (batch.column(k).to_numpy() for k in range(3))
-        if not len(key):
-            continue
-        n = len(key)
-        new = np.ones(n, bool)
-        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        new[0] = last is None or (key[0], name[0]) != last[:2]
-        key, name, size = key[new], name[new], size[new]
-        if not len(key):
-            continue
-        begins = np.ones(len(key), bool)
-        begins[1:] = key[1:] != key[:-1]
-        joined = last is not None and key[0] == last[0]
-        begins[0] = not joined
-        head = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
-        low, low_n = name[np.maximum(head, 0)], size[np.maximum(head, 0)]
-        if joined:
-            old = head < 0
-            low, low_n = np.where(old, last[3], low), np.where(old, last[4], low_n)
-        follows = ~begins
-        several = follows.copy()
-        several[:-1] |= follows[1:]
-        out = [key[several], name[several], size[several], low[several], low_n[several]]
-        if joined and not last[5]:  # the run's first row waited for this
-            out = [np.concatenate([[x], y]) for x, y in zip((last[0], last[3], last[4], last[3], last[4]), out, strict=True)]
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, (np.int64, np.int64, np.int32, np.int64, np.int32), strict=True)], ["key", "class", "n", "low", "low_n"])
-        last = (key[-1], name[-1], size[-1], low[-1], low_n[-1], bool(follows[-1]))
-
-
 def sketches(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words of a parity bitmap of each set, BITS bits for each shingle at least, and their offsets. Each shingle
     flips one bit, so bitmaps never differ in more bits than the sets differ in shingles. The number of bits is a power of
@@ -459,7 +424,7 @@ def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
         docs = docs.withColumn("class", F.when(F.col("class").isin(ambiguous.tolist()), F.col("other")).otherwise(F.col("class")))
     docs = docs.drop("other")
     entry = indexed(documents, width, percent, measured(rows, percent), ambiguous).repartition("key").sortWithinPartitions("key", "class")
-    shared = written(entry.mapInArrow(_shared, "key long, class long, n int, low long, low_n int"), "entries")
+    shared = written(entry.mapInArrow(meetings, MEETINGS), "entries")
 
     # Each entry's classes against its smallest.
     alike = 100 * F.least("n", "low_n").cast("long") >= percent * F.greatest("n", "low_n").cast("long")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in blocks of about this many bytes, so temporary arrays stay small.
 BLOCK_BYTES = 1 << 19
-RELEASE_SECONDS = 5
-_released = float("-inf")
+#: What `meetings` returns.
+MEETINGS = "key long, class long, n int, low long, low_n int"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,22 +34,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Asks the driver for a garbage collection: Spark removes shuffle files when it finds that nothing reads them any more,
-    which may otherwise be long after a table has been written. At most once in `RELEASE_SECONDS`."""
-    global _released
-    if time.monotonic() - _released >= RELEASE_SECONDS:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _released = time.monotonic()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder as Parquet and read again: lineage ends here and survives lost executors."""
+    """`df` written to the shared folder as Parquet and read again: lineage ends here and survives lost executors. Nothing
+    reads the write's shuffle files afterwards, so Spark is told to remove them when it ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    release_shuffles(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -123,3 +117,38 @@ def groups(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[pa.Tab
             last = k[a]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, class, n, low, low_n (the key's smallest class) of keys with two classes at least, from rows sorted by key and
+    class. Only a run's first row is held from batch to batch, however long the run."""
+    last = None  # key, class, n of the row before; the run's low and low_n; whether its first row is out
+    for batch in batches:
+        key, name, size = (batch.column(k).to_numpy() for k in range(3))
+        if not len(key):
+            continue
+        n = len(key)
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        new[0] = last is None or (key[0], name[0]) != last[:2]
+        key, name, size = key[new], name[new], size[new]
+        if not len(key):
+            continue
+        begins = np.ones(len(key), bool)
+        begins[1:] = key[1:] != key[:-1]
+        joined = last is not None and key[0] == last[0]
+        begins[0] = not joined
+        head = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
+        low, low_n = name[np.maximum(head, 0)], size[np.maximum(head, 0)]
+        if joined:
+            old = head < 0
+            low, low_n = np.where(old, last[3], low), np.where(old, last[4], low_n)
+        follows = ~begins
+        several = follows.copy()
+        several[:-1] |= follows[1:]
+        out = [key[several], name[several], size[several], low[several], low_n[several]]
+        if joined and not last[5]:  # the run's first row waited for this
+            out = [np.concatenate([[x], y]) for x, y in zip((last[0], last[3], last[4], last[3], last[4]), out, strict=True)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(out, (np.int64, np.int64, np.int32, np.int64, np.int32), strict=True)], ["key", "class", "n", "low", "low_n"])
+        last = (key[-1], name[-1], size[-1], low[-1], low_n[-1], bool(follows[-1]))

@@ -5,9 +5,9 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessitura.llm.line_dedup import deduplicated, half_keys, near, sequence_sums, variants, word_lines
+from tessitura.llm.line_dedup import deduplicated, half_keys, near, variants, word_lines
 from tessitura.llm.shared import raw_text
-from tessitura.llm.words import span_hashes
+from tessitura.llm.words import Sequences
 
 WORDS = st.lists(st.sampled_from("abc"), max_size=7)
 
@@ -32,14 +32,14 @@ def test_near_halves_and_variants(x, y):
     within = distance(x, y) <= 1
     assert near(x, y) == within
     code = [np.array([ord(c) * 7919 for c in w], np.uint64) for w in (x, y)]
-    sums = [sequence_sums(c) for c in code]
+    sums = [Sequences(c) for c in code]
     a = np.array([0])
     if within and x and y and x != y and min(len(x), len(y)) > 1:
         keys = [set(half_keys(s, a, np.array([len(c)])).ravel().tolist()) for s, c in zip(sums, code, strict=True)]
         assert keys[0] & keys[1]
     if len(x) > 0 and len(y) > 0:
-        v = [variants(s, 0, len(c)).tolist() for s, c in zip(sums, code, strict=True)]
-        h = [int(span_hashes(s, a, np.array([len(c)]))[0]) for s, c in zip(sums, code, strict=True)]
+        v = [variants(s, a, np.array([len(c)]))[2][1:].tolist() for s, c in zip(sums, code, strict=True)]
+        h = [int(s.spans(a, np.array([len(c)]))[0]) for s, c in zip(sums, code, strict=True)]
         told = h[0] in v[1] or h[1] in v[0] or (len(x) == len(y) and any(p == q for p, q in zip(*v, strict=True))) or h[0] == h[1]
         assert told == within
 
