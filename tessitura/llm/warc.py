@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import columns, new_path
+from tessitura.llm.shared import columns, new_path, written
 
 #: Rows (frames) and compressed bytes of an archive, at most; the last record may pass the bytes.
 ARCHIVE_ROWS, ARCHIVE_BYTES = 2000, 16 << 20
@@ -104,11 +104,18 @@ def archives(records: Iterator[bytes], level: int = 3, rows: int = ARCHIVE_ROWS,
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "1970-01-01T00:00:00Z", level: int = 3, rows: int = ARCHIVE_ROWS, size: int = ARCHIVE_BYTES) -> None:
-    """Pages (page_id, url, html) as archives in the folder `path`."""
+    """Pages (page_id, url, html) as archives in the folder `path`.
+
+    What is a revisit is decided on ids and digests alone. Payloads meet those decisions by page_id, so equal payloads don't
+    gather in one task, and where the decisions are few Spark broadcasts them and no payload moves."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    source = columns(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
-    first = source.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    source = source.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    source = columns(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    told = written(columns(pages, "page_id", "html").select("page_id", F.unhex(F.sha2(payload, 256)).alias("d"), F.octet_length(payload).alias("bytes")).where(F.col("bytes") >= least).select("page_id", "d"), "digests")
+    first = told.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
+    again = told.join(first, "d").where(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()).distinct()
+    again = written(again.select(F.col("page_id").alias("_p"), F.lower(F.hex("d")).alias("_d"), F.col("first").alias("refers_to")), "revisits")
+    source = source.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
+    source = source.select("page_id", "url", "payload", "digest", "refers_to")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -153,9 +160,9 @@ def frame_end(data: memoryview, at: int) -> int:
     return end
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The decoded frames of an archive, with the dictionary of its leading skippable frame if it has one. ValueError ends
-    it where the archive is broken."""
+def frames(data: bytes) -> Iterator[bytes | str]:
+    """The decoded frames of an archive, with the dictionary of its leading skippable frame if it has one; a problem as text
+    for a frame that can't be decoded, after which the next follows. ValueError ends it where no frame's end is found."""
     view, at, unpack = memoryview(data), 0, zstandard.ZstdDecompressor()
     while at < len(view):
         end = frame_end(view, at)
@@ -168,11 +175,12 @@ def frames(data: bytes) -> Iterator[bytes]:
         elif magic == FRAME_MAGIC:
             size = zstandard.get_frame_parameters(view[at : at + 18]).content_size
             if size > RECORD_BYTES:
-                raise ValueError(f"record of unknown size or more than {RECORD_BYTES} bytes")
-            try:
-                yield unpack.decompress(view[at:end], max_output_size=size) if size else b""
-            except zstandard.ZstdError as e:
-                raise ValueError(f"frame: {e}") from e
+                yield f"record of unknown size or more than {RECORD_BYTES} bytes"
+            else:
+                try:
+                    yield unpack.decompress(view[at:end], max_output_size=size) if size else b""
+                except zstandard.ZstdError as e:
+                    yield f"frame: {e}"
         at = end
 
 
@@ -211,15 +219,15 @@ def parsed(raw: bytes) -> dict:
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives in a folder, but for warcinfo ones; a broken rest of an archive is one row with its
-    problem. Without payloads, they are still checked."""
+    """The records of all archives in a folder, but for warcinfo ones; a frame that can't be decoded, or a rest in which no
+    frame is found, is one row with its problem. Without payloads, they are still checked."""
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("problem", pa.string())])
 
     def rows(data: bytes) -> Iterator[dict]:
         try:
             for raw in frames(data):
-                row = parsed(raw)
+                row = dict.fromkeys(schema.names) | {"problem": raw} if isinstance(raw, str) else parsed(raw)
                 if row["record_type"] != "warcinfo" or row["problem"]:
                     yield row if with_payload else row | {"payload": None}
         except ValueError as e:

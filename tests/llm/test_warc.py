@@ -50,8 +50,8 @@ def test_broken_archives():
             list(frames(data[:cut]))
     broken = bytearray(data)
     broken[-30] ^= 255
-    with pytest.raises(ValueError):
-        list(frames(bytes(broken)))
+    told = list(frames(bytes(broken)))
+    assert [type(x) for x in told[:-1]] == [bytes] * (len(told) - 1) and told[-1].startswith("frame: ")
 
 
 def test_record_checks():
