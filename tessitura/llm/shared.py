@@ -66,12 +66,12 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and its offsets; null counts as empty."""
+    """The bytes of a string (UTF-8) or binary column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     if len(column) == 0 or data is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import columns, digits, text_blocks, written
-from tessitura.llm.words import mix, prefix_sums, span_hashes
+from tessitura.llm.shared import columns, digits, discard, raw_text, text_blocks, written
+from tessitura.llm.words import mix, prefix_sums, span_hashes, string_hashes
 
 LENGTH, GRAM = 200, 32
 #: Different contexts of an anchor that go into one suffix array; more are taken apart.
@@ -40,12 +40,11 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     if n == 0:
         return np.zeros(0, np.int64)
     # smaller[i]: suffix i is smaller than suffix i + 1. Equal neighbours take the type of the next difference.
-    step = np.sign(np.diff(text.astype(np.int16)))
-    known = np.flatnonzero(step)
-    ahead = np.searchsorted(known, np.arange(n - 1))
     smaller = np.zeros(n, bool)
-    inside = ahead < len(known)
-    smaller[:-1][inside] = step[known[ahead[inside]]] > 0
+    smaller[:-1] = text[:-1] < text[1:]
+    differs = np.append(text[:-1] != text[1:], True)
+    ahead = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
+    smaller = smaller[ahead]
     wanted = np.ones(n, bool) if wanted is None else wanted | _following(wanted, smaller)
     direct = np.flatnonzero(smaller & wanted)
     raw = text.tobytes()
@@ -93,28 +92,42 @@ def _following(wanted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix of `order` shares with the one before it, up to `most`; 0 for the first."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    eight = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        eight |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(56 - 8 * k)
-    out = np.zeros(len(order), np.int64)
-    rows = np.arange(1, len(order))
+    """Bytes that each suffix of `order` shares with the one before it, up to `most`; 0 for the first.
+
+    Where a suffix and the one before it both move on by one byte in the text, and the bytes left behind are equal, the next
+    pair shares one byte less. So only the last pair of each such chain is compared; the others follow from it."""
+    if len(order) < 2:
+        return np.zeros(len(order), np.int64)
+    before = np.full(len(text) + 1, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    own = np.flatnonzero(before[:-1] >= 0)
+    other = before[own]
+    goes_on = (before[own + 1] == other + 1) & (text[own] == text[other])
+    tail = np.flatnonzero(~goes_on)
+    a, b = own[tail], other[tail]
+    eight = np.ndarray(len(text), ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+    shared = np.zeros(len(tail), np.int64)
+    rows = np.arange(len(tail))
     for at in range(0, most, 8):
-        a, b = order[rows] + at, order[rows - 1] + at
-        room = np.minimum(len(text) - np.maximum(a, b), 8)
+        x, y = a[rows] + at, b[rows] + at
+        room = np.minimum(len(text) - np.maximum(x, y), 8)
         live = room > 0
-        rows, a, b, room = rows[live], a[live], b[live], room[live]
+        rows, x, y, room = rows[live], x[live], y[live], room[live]
         if not len(rows):
             break
-        differ = eight[a] ^ eight[b]
+        differ = (eight[x] ^ eight[y]).astype(np.uint64)
         same = np.zeros(len(rows), np.int64)
         for k in range(8):
             same += differ < np.uint64(1) << np.uint64(56 - 8 * k)
         same = np.minimum(same, room)
-        out[rows] += same
+        shared[rows] += same
         rows = rows[same == 8]
-    return np.minimum(out, most)
+    last = tail[np.searchsorted(tail, np.arange(len(own)))]
+    value = np.zeros(len(text), np.int64)
+    value[own] = np.minimum(shared[np.searchsorted(tail, last)] + own[last] - own, most)
+    out = value[order]
+    out[0] = 0
+    return out
 
 
 def repeated_starts(text: np.ndarray, starts: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
@@ -136,13 +149,13 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, keys: np.ndarray, leng
     return found
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix sums, anchor positions, number of the text of each)."""
+def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor positions, number of the text of each)."""
     sums = prefix_sums(data)
     width = length - gram + 1  # grams in a window
     n = len(data) - gram + 1
     if n < width:
-        return sums, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     here = np.arange(n)
     mask = np.uint64((1 << int(len(data)).bit_length()) - 1)
     value = (span_hashes(sums, here, here + gram) & ~mask) | here.astype(np.uint64)
@@ -155,7 +168,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     starts = np.flatnonzero(_inside(at, length, n - width + 1))
     least = np.minimum(down[starts], up[starts + width - 1]) & mask
     place = np.unique(least.astype(np.int64))
-    return sums, place, np.searchsorted(at, place, "right") - 1
+    return place, np.searchsorted(at, place, "right") - 1
 
 
 def _inside(at: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -178,16 +191,16 @@ def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, at in text_blocks(batch.column(2)):
-                sums, place, text = anchors(data, at, length, gram)
+                place, text = anchors(data, at, length, gram)
                 if not len(place):
                     continue
                 begin, end = at[text], at[text + 1]
                 left, right = np.maximum(place - reach, begin), np.minimum(place + length, end)
                 near, far = np.maximum(place - reach // 2, begin), np.minimum(place + length - reach // 2, end)
-                a = span_hashes(sums, place, place + gram)
-                c = mix(span_hashes(sums, left, right) + (place - left).astype(np.uint64))
+                a = string_hashes(data, place, place + gram)
+                c = mix(string_hashes(data, left, right) + (place - left).astype(np.uint64))
                 half = np.uint64(32)
-                sides = ((span_hashes(sums, near, place + gram) + (place - near).astype(np.uint64)) >> half << half) | ((span_hashes(sums, place, far) + (far - place).astype(np.uint64)) >> half)
+                sides = ((string_hashes(data, near, place + gram) + (place - near).astype(np.uint64)) >> half << half) | ((string_hashes(data, place, far) + (far - place).astype(np.uint64)) >> half)
                 _, first, count = np.unique(mix(a + mix(c)), return_index=True, return_counts=True)
                 other = np.ones(len(place), bool)
                 other[first] = False
@@ -222,15 +235,19 @@ def _contexts(documents: DataFrame, wanted: DataFrame, length: int, gram: int) -
     reach = length - gram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_k", "mark", "a", "pos", "left", "context"]
         for batch in batches:
-            data = batch.column(2).cast(pa.binary())
-            for i, want in enumerate(batch.column(3)):
-                text = data[i].as_py()
-                a, pos = want.values.field("a"), want.values.field("pos")
-                place = pos.to_numpy()
+            want, to = batch.column(3), batch.column(3).offsets.to_numpy()
+            a, pos = (want.values.field(k) for k in ("a", "pos"))
+            for lo, hi, data, at in text_blocks(batch.column(2)):
+                own = np.arange(to[lo], to[hi])
+                of = np.repeat(np.arange(hi - lo), np.diff(to[lo : hi + 1]))
+                place = pos.to_numpy()[own]
                 left = np.maximum(place - reach, 0)
-                cut = [text[x:y] for x, y in zip(left.tolist(), (place + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(a)), pa.repeat(batch.column(1)[i], len(a)), a, pos, pa.array(left.astype(np.int32)), pa.array(cut, pa.binary())], ["_k", "mark", "a", "pos", "left", "context"])
+                raw, base = data.tobytes(), at[of]
+                cut = [raw[x:y] for x, y in zip((base + left).tolist(), np.minimum(base + place + length, at[of + 1]).tolist(), strict=True)]
+                rows, mine = pa.array(of + lo), pa.array(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), a.take(mine), pos.take(mine), pa.array(left.astype(np.int32)), pa.array(cut, pa.binary())], names)
 
     return source.select("_k", "mark", "text", "want").mapInArrow(work, f"_k {kind}, mark long, a long, pos int, left int, context binary").dropDuplicates(["_k", "mark", "a", "pos"])
 
@@ -290,16 +307,16 @@ def _by_windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column("context")
-            for i in range(batch.num_rows):
-                text = np.frombuffer(data[i].as_buffer(), np.uint8)
-                left, pos = batch.column("left")[i].as_py(), batch.column("pos")[i].as_py()
-                n = min(len(text) - length, pos - left) + 1
-                if n < 1:
-                    continue
-                here = np.arange(n)
-                w = span_hashes(prefix_sums(text), here, here + length) + (pos - left - here).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("_k")[i], n), pa.repeat(batch.column("mark")[i], n), pa.repeat(batch.column("a")[i], n), pa.array(mix(w).view(np.int64)), pa.array(here + left)], ["_k", "mark", "a", "w", "start"])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                data, at = raw_text(part.column("context"))
+                left, pos = part.column("left").to_numpy(), part.column("pos").to_numpy()
+                n = np.maximum(np.minimum(np.diff(at) - length, pos - left) + 1, 0)
+                of, here = np.repeat(np.arange(len(n)), n), digits(n)
+                start = at[of] + here
+                w = mix(string_hashes(data, start, start + length) + (pos[of] - left[of] - here).astype(np.uint64))
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in ("_k", "mark", "a")), pa.array(w.view(np.int64)), pa.array(here + left[of])], ["_k", "mark", "a", "w", "start"])
 
     rows = contexts.mapInArrow(work, f"_k {kind}, mark long, a long, w long, start long")
     often = rows.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w")
