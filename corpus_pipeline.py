@@ -15,30 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessitura.llm.decontamination import decontaminated
 from tessitura.llm.line_dedup import without_repeated_lines
-from tessitura.llm.line_quality import scored
+from tessitura.llm.line_quality import without_bad
 from tessitura.llm.ngram_join import one_of_each
 from tessitura.llm.packing import packed_documents
 from tessitura.llm.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").drop("score", "predicted")
+    """Documents that score 0.7 or more; without usable labels all score 0.5 and go. Null and empty texts are scored as one
+    empty line, repeated rows alike."""
+    return without_bad(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; null and empty texts stay as they are, repeated rows are treated alike."""
     return without_repeated_lines(docs)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked texts, also of repeated rows; texts without words, null ones too, all stay."""
     return one_of_each(docs)
 
 
 def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; null and empty ones stay, as does everything if the benchmark is empty."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document and their places; null and empty texts are one piece of the end mark alone."""
     return packed_documents(docs)
 
 

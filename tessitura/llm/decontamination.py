@@ -6,7 +6,8 @@ one window. Only words of the items' vocabulary are looked at one by one: a run
 shortest window can't hold a match.
 
 Defined results: null and empty texts have no words; items without words are left out; repeated items and repeated
-documents count as they stand (an item_id that occurs twice is one item); further columns are ignored.
+documents count as they stand (an item_id that occurs twice is one item, all items without id are one whose name is
+empty); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import columns, raw_text, text_blocks
+from tessitura.llm.shared import apart, columns, raw_text, text_blocks
 from tessitura.llm.words import ALNUM, hashed_words
 
 #: Words of items in one automaton; more items make more automata, so what is broadcast stays bounded.
 BLOCK_WORDS = 100_000
+#: Automata that a worker holds at once.
+KEPT = 4
 
 
 class SuffixAutomaton:
@@ -179,7 +182,7 @@ def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS)
             yield SuffixAutomaton([(name, hashes[first[i] : first[i + 1]].tolist()) for i, name in enumerate(names)], window)
 
 
-def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), max_coverage: float | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), max_coverage: float | None = None, block_words: int = BLOCK_WORDS, kept: int = KEPT) -> DataFrame:
     """The columns `keep` and n_words, n_hit, n_items, items_sha256, contaminated for each document.
 
     With `max_coverage` also `cleaned`: the text without its hit spans, or null where more than that share of the words
@@ -192,27 +195,42 @@ def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: t
     types = dict(source.dtypes)
     schema = ", ".join([*(f"`{n}` {types[n]}" for n in keep), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", *(["cleaned string"] if max_coverage is not None else [])])
 
-    def hits(hashes: np.ndarray, first: np.ndarray) -> dict[int, tuple[list, set]]:
-        found: dict[int, tuple[list, set]] = {}
+    def hits(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, tuple[list, set]]]:
+        """What the automata find in each block of words. Beyond KEPT of them, each is dropped after use and read again from
+        the executor's disk for the next batch, so a worker never holds them all."""
+        found: list[dict[int, tuple[list, set]]] = [{} for _ in texts]
         for a in held:
-            for text, (spans, items) in a.value.matches(hashes, first).items():
-                own = found.setdefault(text, ([], set()))
-                own[0].extend(spans)
-                own[1].update(items)
+            for out, block in zip(found, texts, strict=True):
+                for text, (spans, items) in a.value.matches(*block).items():
+                    own = out.setdefault(text, ([], set()))
+                    own[0].extend(spans)
+                    own[1].update(items)
+            if len(held) > kept:
+                a.__dict__.pop("_value", None)
         return found
 
-    def clean(raw: bytes) -> str:
-        while True:
-            data = np.frombuffer(raw, np.uint8)
-            hashes, starts, ends, first = hashed_words(data, np.array([0, len(data)]), ALNUM)
-            found = hits(hashes, first)
-            if not found:
-                return raw.decode("utf-8", "ignore")
-            parts, last = [], 0
-            for lo, hi in merged(found[0][0]):
-                parts.append(raw[last : starts[lo]])
-                last = int(ends[hi - 1])
-            raw = b"".join([*parts, raw[last:]])
+    def clean(texts: dict[int, bytes]) -> dict[int, str]:
+        """The texts without hit spans, until none is left."""
+        out: dict[int, str] = {}
+        while texts:
+            places = {}
+            for i, raw in texts.items():
+                data = np.frombuffer(raw, np.uint8)
+                places[i] = hashed_words(data, np.array([0, len(data)]), ALNUM)
+            found = hits([(h, first) for h, _, _, first in places.values()])
+            left = {}
+            for (i, raw), own in zip(texts.items(), found, strict=True):
+                if not own:
+                    out[i] = raw.decode("utf-8", "ignore")
+                    continue
+                _, starts, ends, _ = places[i]
+                parts, last = [], 0
+                for lo, hi in merged(own[0][0]):
+                    parts.append(raw[last : starts[lo]])
+                    last = int(ends[hi - 1])
+                left[i] = b"".join([*parts, raw[last:]])
+            texts = left
+        return out
 
     empty = hashlib.sha256(b"").hexdigest()
 
@@ -222,25 +240,26 @@ def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: t
             n = batch.num_rows
             words, hit, count = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             digest = [empty] * n
-            cleaned: dict[int, str | None] = {}
+            blocks, texts = [], {}
             for lo, hi, data, at in text_blocks(text):
                 hashes, _, _, first = hashed_words(data, at, ALNUM)
                 words[lo:hi] = np.diff(first)
-                for row, (spans, items) in hits(hashes, first).items():
+                blocks.append((lo, data, at, hashes, first))
+            for (lo, data, at, *_), found in zip(blocks, hits([b[3:] for b in blocks]), strict=True):
+                for row, (spans, items) in found.items():
                     i = lo + row
                     hit[i] = sum(e - s for s, e in merged(spans))
                     count[i] = len(items)
                     digest[i] = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
                     if max_coverage is not None:
-                        left = clean(data[at[row] : at[row + 1]].tobytes()) if hit[i] <= max_coverage * words[i] else ""
-                        cleaned[i] = left if left.strip() else None
+                        texts[i] = data[at[row] : at[row + 1]].tobytes() if hit[i] <= max_coverage * words[i] else b""
             out = [*(batch.column(names.index(k)) for k in keep), pa.array(words), pa.array(hit), pa.array(count), pa.array(digest, pa.string()), pa.array(hit > 0)]
             labels = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
             if max_coverage is not None:
-                if cleaned:
+                if texts:
                     values = text.to_pylist()
-                    for i, value in cleaned.items():
-                        values[i] = value
+                    for i, value in clean(texts).items():
+                        values[i] = value if value.strip() else None
                     text = pa.array(values, pa.string())
                 out.append(text)
                 labels.append("cleaned")
@@ -252,13 +271,12 @@ def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: t
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
     """The documents without benchmark passages: hit spans are cut out, and a document goes if more than
     `max_coverage` of its words are hit or nothing is left. Documents without hits stay as they are, null texts too."""
-    names = documents.columns
-    cut = marked(documents, benchmark, window, tuple(names), max_coverage)
+    source, back = apart(documents, "doc_id", "text", "n_chars")
+    cut = marked(source, benchmark, window, tuple(source.columns), max_coverage)
     kept = cut.where(~F.col("contaminated") | F.col("cleaned").isNotNull())
-    new = {"text": F.when(F.col("contaminated"), F.col("cleaned")).otherwise(F.col("text"))}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("contaminated"), F.length("cleaned").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return kept.select(*[new.get(n, F.col(f"`{n}`")).alias(n) for n in names])
+    if "n_chars" in documents.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("contaminated"), F.length("cleaned").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return back(kept.withColumn("text", F.when(F.col("contaminated"), F.col("cleaned")).otherwise(F.col("text"))))
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

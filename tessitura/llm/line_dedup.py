@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.line_quality import lines
-from tessitura.llm.shared import MEETINGS, columns, digits, discard, meetings, text_blocks, written
+from tessitura.llm.shared import MEETINGS, apart, columns, digits, discard, meetings, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, Sequences, hashed_words, mix
 
 #: At five words, one word apart is still 0.8 similar.
@@ -233,12 +233,13 @@ def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS, near_word
 
 def without_repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = PIPELINE_NEAR_WORDS) -> DataFrame:
     """The documents without repeated lines, n_chars counted anew. Those of which nothing but white space is left go."""
-    out = deduplicated(documents, least_words, near_words, counts=True)
+    source, back = apart(documents, "doc_id", "text", "n_chars")
+    out = deduplicated(source, least_words, near_words, counts=True)
     touched = F.col("n_equal") + F.col("n_near") > 0
     out = out.where(~touched | (F.trim(F.translate("text", "\t\n\r", "   ")) != ""))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{n}`") for n in documents.columns])
+    return back(out)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

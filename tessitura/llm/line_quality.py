@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import columns, text_blocks
+from tessitura.llm.shared import apart, columns, text_blocks
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix, prefix_sums, span_hashes
 
 #: Labelled documents to learn from, at most.
@@ -276,6 +276,12 @@ def scored(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep:
     return source.mapInArrow(work, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", score double, predicted int")
 
 
+def without_bad(documents: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
+    """The documents that score `good` or more."""
+    source, back = apart(documents, "doc_id", "text")
+    return back(scored(source, labels, keep=tuple(source.columns), good=good).where("predicted = 1"))
+
+
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     out = scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

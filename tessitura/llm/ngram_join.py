@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.components import components
-from tessitura.llm.shared import MEETINGS, columns, discard, groups, meetings, text_blocks, written
+from tessitura.llm.shared import MEETINGS, apart, columns, discard, groups, meetings, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix
 
 WIDTH, PERCENT = 5, 80
@@ -475,17 +475,18 @@ def one_of_each(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     best = label.where(own).groupBy("component").agg(F.min("mark").alias("best"))
     label = label.join(best, "component").withColumn("stays", own & (F.col("mark") == F.col("best")))
+    source, back = apart(documents, "doc_id", "text")
     # A prefix tells an empty id from none.
     key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
     gone = label.where("not stays").select(key.alias("_k"), F.col("mark").alias("_mark"))
     again = written(label.where("stays and n > 1").select(key.alias("_k"), F.col("mark").alias("_mark")), "repeated")
     same = (key == F.col("_k")) & (F.xxhash64("text") == F.col("_mark"))
     if not again.take(1):
-        return documents.join(gone, same, "left_anti")
-    alone = documents.join(gone.union(again), same, "left_anti")
-    row = F.struct(*[F.col(f"`{n}`") for n in documents.columns])
-    once = documents.join(again, same).select("_k", "_mark", row.alias("_row")).groupBy("_k", "_mark").agg(F.first("_row").alias("_row"))
-    return alone.union(once.select("_row.*"))
+        return back(source.join(gone, same, "left_anti"))
+    alone = source.join(gone.union(again), same, "left_anti")
+    row = F.struct(*source.columns)
+    once = source.join(again, same).select("_k", "_mark", row.alias("_row")).groupBy("_k", "_mark").agg(F.first("_row").alias("_row"))
+    return back(alone.union(once.select("_row.*")))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

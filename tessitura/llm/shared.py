@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in blocks of about this many bytes, so temporary arrays stay small.
 BLOCK_BYTES = 1 << 19
@@ -65,6 +66,15 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
+def apart(df: DataFrame, *stay: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with all columns but `stay` renamed by position, so none clashes with those an operator adds; and what gives the
+    columns their names back, leaving others out."""
+    names = df.columns
+    safe = [n if n in stay else f"_x{k}" for k, n in enumerate(names)]
+    out = df.select(*[F.col("`" + n.replace("`", "``") + "`").alias(m) for n, m in zip(names, safe, strict=True)])
+    return out, lambda made: made.select(*[F.col(m).alias(n) for n, m in zip(names, safe, strict=True)])
+
+
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string (UTF-8) or binary column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,7 +2,8 @@
 
 The vocabulary's pattern always ends a piece before a space that follows or precedes something other than white space,
 and between a letter and a mark other than an apostrophe. So texts may be cut there: the ids of a text are those of its
-parts. Parts are told apart by 64-bit hashes, looked up together, and only new ones reach the tokenizer, in one call.
+parts. Parts are told apart by two 64-bit hashes, looked up together, and only new ones reach the tokenizer, in one call.
+A block in which one of the hashes agrees and the other doesn't goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tessitura.llm.shared import raw_text
-from tessitura.llm.words import prefix_sums, span_hashes
+from tessitura.llm.words import string_hashes
 
-#: Parts kept in a worker, about 40 bytes each; at this number the store is emptied. Longer parts aren't kept.
-STORED_PARTS, LONG_PART = 1_000_000, 64
+#: Parts kept in a worker, about 50 bytes each; at this number the store is emptied. Longer parts aren't kept.
+STORED_PARTS, LONG_PART = 750_000, 64
 VOCABULARY = "byte_bpe_50k"
 _MARK = "<|endoftext|>"
 _LOADED: dict[str, "Encoder"] = {}
@@ -52,7 +53,8 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def special(self, text: str) -> np.ndarray:
@@ -88,6 +90,11 @@ class Encoder:
         begin[order] = np.cumsum(sizes) - sizes
         return np.concatenate(pieces), np.stack([begin, counts])
 
+    def _whole(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        each = [self._plain(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        return np.concatenate(each), np.cumsum([0, *map(len, each)])
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts `data[at[i]:at[i + 1]]`, one after another, and their offsets."""
         if not len(data):
@@ -98,13 +105,19 @@ class Encoder:
         cut[at] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
-        keys, one, which = np.unique(span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        keys, one, which = np.unique(string_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        second = string_hashes(data, starts, ends, 1)
+        checks = second[one]
+        if (second != checks[which]).any():
+            return self._whole(data, at)
         if len(self.keys) + len(keys) > STORED_PARTS:
             self._empty()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+            if (self.checks[place[known]] != checks[known]).any():
+                return self._whole(data, at)
         fresh = one[~known]
         ids, table = self._learn(data, starts[fresh], ends[fresh])
         begin, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
@@ -115,6 +128,7 @@ class Encoder:
             if (ends[fresh] - starts[fresh]).max() <= LONG_PART:
                 spot = place[~known]
                 self.keys = np.insert(self.keys, spot, keys[~known])
+                self.checks = np.insert(self.checks, spot, checks[~known])
                 self.start = np.insert(self.start, spot, begin[~known])
                 self.count = np.insert(self.count, spot, count[~known])
                 self.pool = pool
@@ -122,6 +136,7 @@ class Encoder:
                 short = np.flatnonzero(~known)[ends[fresh] - starts[fresh] <= LONG_PART]
                 take = np.repeat(begin[short] - (np.cumsum(count[short]) - count[short]), count[short]) + np.arange(count[short].sum())
                 self.keys = np.insert(self.keys, place[short], keys[short])
+                self.checks = np.insert(self.checks, place[short], checks[short])
                 self.start = np.insert(self.start, place[short], np.cumsum(count[short]) - count[short] + len(self.pool))
                 self.count = np.insert(self.count, place[short], count[short])
                 self.pool = np.concatenate([self.pool, pool[take]])
