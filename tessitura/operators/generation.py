@@ -5,9 +5,13 @@ Sampling can't be repeated, so generated rows are written before anything reads
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -18,8 +22,8 @@ from tessitura.functions.text import templated
 from tessitura.functions.tokens import BEGIN, TEXT_IDS
 from tessitura.plans.session import GENERATED
 
-#: Fixed default values of a run.
-SYSTEM_PREFIX = "You are a music composer. Write a piece as described: "
+#: What the published checkpoint was trained with, and a run's defaults.
+SYSTEM_PREFIX = "You are a world-class composer. Please compose some music according to the following description: "
 TEMPERATURE, TOP_P, MAX_TOKENS, N_OUTPUTS = 1.0, 0.98, 2046, 4
 
 
@@ -52,6 +56,26 @@ class HashGenerator:
         return out
 
 
+#: Generators by the name that `--model` gives. Further ones are added here, or named as module:attribute.
+GENERATORS: dict[str, Callable[..., Generator]] = {"hash": HashGenerator}
+
+
+def maker(model: str, **options) -> Callable[[], Generator]:
+    """What makes the named generator in a worker. Options that are set but not taken by it raise ValueError."""
+    if model in GENERATORS:
+        kind = GENERATORS[model]
+    elif re.fullmatch(r"[\w.]+:\w+", model):
+        module, _, name = model.partition(":")
+        kind = getattr(importlib.import_module(module), name)
+    else:
+        raise ValueError(f"no generator named {model!r}; known are {sorted(GENERATORS)}, and module:attribute")
+    given = {k: v for k, v in options.items() if v not in (None, False)}
+    takes = inspect.signature(kind).parameters
+    if unknown := [k for k in given if k not in takes and not any(p.kind is p.VAR_KEYWORD for p in takes.values())]:
+        raise ValueError(f"generator {model!r} has no option {', '.join(unknown)}")
+    return partial(kind, **given)
+
+
 def generated(prompts: DataFrame, make: Callable[[], Generator] = HashGenerator, n_outputs: int = N_OUTPUTS, prefix: str = SYSTEM_PREFIX, temperature: float = TEMPERATURE, top_p: float = TOP_P, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """prompt_idx, output_idx (from 1), requested, secs, tokens (unshifted) for prompts (prompt_idx, prompt)."""
 

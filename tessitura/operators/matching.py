@@ -13,5 +13,8 @@ def matched(texts: DataFrame, music: DataFrame, on: str = "id") -> DataFrame:
 
 def split(rows: DataFrame, held_out: DataFrame, on: str = "id") -> DataFrame:
     """The rows with `part`: eval where the id is held out, else train. Repeated held-out ids don't repeat rows."""
-    ids = held_out.select(on).where(F.col(on).isNotNull()).distinct().withColumn("_held", F.lit(True))
-    return rows.join(ids, on, "left").withColumn("part", F.when(F.col("_held"), "eval").otherwise("train")).drop("_held")
+    mark = "_held"
+    while mark in rows.columns:
+        mark += "_"
+    ids = held_out.select(on).where(F.col(on).isNotNull()).distinct().withColumn(mark, F.lit(True))
+    return rows.join(ids, on, "left").withColumn("part", F.when(F.col(mark), "eval").otherwise("train")).drop(mark)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import WHITE_SPACE, file_kind, prompt_directory, swapped_suffix, templated
+from tessitura.functions.text import file_kind, prompt_directory, swapped_suffix, templated
 from tessitura.functions.tokens import all_allowed, limited, peak, shifted, unshifted, with_begin, without_prompt
 from tessitura.operators.matching import matched, split
 from tessitura.operators.notes import checked, from_events, notes_per_time, unpacked
@@ -125,11 +125,24 @@ def eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"), "doc_id")
 
 
+def density_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statuses: of every five sequences one is emptied, one has its second time made negative, one its first duration."""
+    rows = _sequences(spark, sf_dir)
+    made = F.transform("tokens", lambda x, i: F.when((F.col("seq_id") % 5 == 1) & (i == 3) | (F.col("seq_id") % 5 == 2) & (i == 1), -x - 1).otherwise(x))
+    rows = rows.select("seq_id", F.when(F.col("seq_id") % 5 == 0, F.slice("tokens", 1, 0)).otherwise(made).alias("tokens"))
+    return checked(rows, 7).select("seq_id", "status", "ok")
+
+
+def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a run as JSON text."""
+    return run_statistics(_outcomes(spark, sf_dir)).select(F.to_json(F.struct("total_prompts", "successful_generations", "failed_generations")).alias("stats"))
+
+
 QUERIES = {
     "density_flag_7": _density(7),
     "density_flag_64": _density(64),
     "notes_per_time": count_per_time,
-    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split)},
+    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json)},
 }
 
 _PACKED = """
@@ -141,6 +154,10 @@ o AS (SELECT user_id + 1 AS prompt_idx, event_id AS output_idx, user_id % 7 + 60
       'u' || user_id || '/gen_' || event_id || CASE WHEN event_type = 'purchase' THEN '.mp3' ELSE '.mid' END AS path FROM events)"""
 
 
+#: The code points that Python's str.isspace holds for, written out so that the SQL doesn't rest on the code it checks.
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def _density_sql(limit: int) -> str:
     return f"""
 WITH {_PACKED},
@@ -155,7 +172,7 @@ SQL = {
     "notes_per_time": f"WITH {_PACKED} SELECT seq_id, CAST(token AS BIGINT) AS time, count(*) AS n FROM tok WHERE pos % 3 = 0 GROUP BY ALL",
     "prompt_ingest": rf"""
 WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(9) || chr(160) || chr(8195) || CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END || chr(133) || chr(28) || chr(31) || ' ' ELSE text END AS t FROM documents)
-SELECT doc_id, regexp_replace(t, '\A{WHITE_SPACE}+|{WHITE_SPACE}+\z', '', 'g') AS prompt FROM p WHERE regexp_replace(t, '\A{WHITE_SPACE}+|{WHITE_SPACE}+\z', '', 'g') <> ''""",
+SELECT doc_id, regexp_replace(t, '\A{_BLANK}+|{_BLANK}+\z', '', 'g') AS prompt FROM p WHERE regexp_replace(t, '\A{_BLANK}+|{_BLANK}+\z', '', 'g') <> ''""",
     "prompt_template": f"SELECT conv_id, turn, '{PREFIX}' || text || ' ' AS full_prompt FROM conversations",
     "token_shift": f"""
 WITH {_PACKED}
@@ -175,6 +192,15 @@ left_ AS (SELECT seq_id, pos, token FROM tok JOIN n USING (seq_id) WHERE pos < n
 SELECT seq_id, CAST(pos // 3 + 1 AS BIGINT) AS pos, CAST(max(CASE WHEN pos % 3 = 0 THEN token END) AS BIGINT) AS time,
        CAST(max(CASE WHEN pos % 3 = 1 THEN token END) AS BIGINT) AS dur, CAST(max(CASE WHEN pos % 3 = 2 THEN token END) AS BIGINT) AS note
 FROM left_ GROUP BY seq_id, pos // 3""",
+    "density_status": f"""
+WITH {_PACKED},
+m AS (SELECT seq_id, pos, CASE WHEN seq_id % 5 = 1 AND pos = 3 OR seq_id % 5 = 2 AND pos = 1 THEN -token - 1 ELSE token END AS token FROM tok),
+c AS (SELECT seq_id, token, count(*) AS n FROM m WHERE pos % 3 = 0 GROUP BY ALL),
+s AS (SELECT seq_id, CASE WHEN seq_id % 5 = 0 THEN 'error_empty' WHEN min(token) < 0 THEN 'error_negative' WHEN max(n) > 7 THEN 'excessive' ELSE 'pass' END AS status FROM c GROUP BY seq_id)
+SELECT seq_id, status, status = 'pass' AS ok FROM s""",
+    "stats_json": f"""
+WITH {_OUTCOMES}
+SELECT '{{"total_prompts":' || count(DISTINCT prompt_idx) || ',"successful_generations":' || count(*) FILTER (ok) || ',"failed_generations":' || count(*) FILTER (NOT ok) || '}}' AS stats FROM o""",
     "generation_stats": f"""
 WITH {_OUTCOMES},
 p AS (SELECT prompt_idx, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, min(secs) AS secs FROM o GROUP BY prompt_idx)

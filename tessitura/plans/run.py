@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import time
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import Any
 
@@ -12,38 +14,93 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import file_kind, output_path, prompt_directory
-from tessitura.operators.generation import MAX_TOKENS, N_OUTPUTS, TEMPERATURE, TOP_P, generated, materialised
+from tessitura.operators.audio import Renderer, with_audio
+from tessitura.operators.generation import MAX_TOKENS, N_OUTPUTS, TEMPERATURE, TOP_P, generated, maker, materialised
 from tessitura.operators.midi import with_midi
 from tessitura.operators.notes import checked
 from tessitura.operators.statistics import run_statistics
 from tessitura.sources.files import generation_files, register
 from tessitura.sources.prompts import chosen, require_file
 
+#: Fixed default values of the arguments.
+SOUNDFONT, GPU_MEMORY = "./soundfonts/FluidR3_GM/FluidR3_GM.sf2", 0.9
 
-def run(spark: SparkSession, prompts: DataFrame, output_root: str, now: datetime | None = None, validate: bool = True, config: dict[str, Any] | None = None, **options) -> dict[str, Any]:
-    """Writes <root>/<session>/<stamp>_prompt_<i>/ and generation_stats.json; returns the statistics."""
-    began, now = time.perf_counter(), now or datetime.now(timezone.utc)
-    session, stamp = now.strftime("%Y-%m-%d_%H%M%S"), now.strftime("%Y%m%d_%H%M%S")
-    outputs = materialised(generated(prompts, **options), f"{output_root.rstrip('/')}/{session}/_work")
-    outputs = checked(outputs)
+
+def produce(spark: SparkSession, prompts: DataFrame, folder: str, stamp: str, validate: bool = True, renderer: Callable[[], Renderer] | None = None, **options) -> dict[str, Any]:
+    """Writes <folder>/<stamp>_prompt_<i>/ and returns the statistics without times and settings of the whole run. Generated
+    rows are checked and rendered once, written to a folder of their own, and that is removed at the end."""
+    outputs = checked(generated(prompts, **options))
     if not validate:
         outputs = outputs.withColumn("ok", F.lit(True))
-    outputs = with_midi(outputs).join(prompts, "prompt_idx").withColumn("directory", prompt_directory(stamp, F.col("prompt_idx")))
-    register(spark)
-    generation_files(outputs).write.format("tessitura_files").mode("append").save(f"{output_root.rstrip('/')}/{session}")
-    # A few rows of a run's prompts, for the person who started it.
-    listed = outputs.where("ok").select("prompt_idx", "output_idx", output_path(F.col("directory"), F.col("output_idx")).alias("path")).orderBy("prompt_idx", "output_idx")
-    times = outputs.where("prompt_idx > 1").groupBy("prompt_idx").agg(F.min("secs").alias("secs")).orderBy("prompt_idx")
-    stats = run_statistics(outputs).first().asDict()
-    stats.pop("timed_prompts")
-    stats |= {"generation_times": [r["secs"] for r in times.collect()], "output_files": [r["path"] for r in listed.collect()], "total_time": time.perf_counter() - began}
+    if renderer:
+        outputs = with_audio(with_midi(outputs), renderer)
+    work = f"{folder}/_work-{uuid.uuid4().hex}"
+    try:
+        outputs = materialised(outputs, work)
+        if not renderer:
+            outputs = with_midi(outputs)
+        outputs = outputs.join(prompts, "prompt_idx").withColumn("directory", prompt_directory(stamp, F.col("prompt_idx")))
+        register(spark)
+        generation_files(outputs).write.format("tessitura_files").mode("append").save(folder)
+        # The file of statistics lists a run's times and files, so they come to the driver.
+        listed = outputs.where("ok").select("prompt_idx", "output_idx", F.lit(0).alias("rank"), output_path(F.col("directory"), F.col("output_idx")).alias("path"))
+        if renderer:
+            sound = F.format_string("%s/gen_%d.%s", "directory", "output_idx", "audio_kind")
+            listed = listed.union(outputs.where("ok and audio is not null").select("prompt_idx", "output_idx", F.lit(1), sound))
+        times = outputs.where("prompt_idx > 1").groupBy("prompt_idx").agg(F.min("secs").alias("secs")).orderBy("prompt_idx")
+        stats = run_statistics(outputs).first().asDict()
+        stats.pop("timed_prompts")
+        stats |= {"generation_times": [r["secs"] for r in times.collect()], "output_files": [r["path"] for r in listed.orderBy("prompt_idx", "output_idx", "rank").collect()]}
+    finally:
+        removed(spark, work)
+    return stats
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stamps(now: datetime | None = None) -> tuple[str, str]:
+    """Of a session's folder, and of a prompt's."""
+    now = now or datetime.now(timezone.utc)
+    return now.strftime("%Y-%m-%d_%H%M%S"), now.strftime("%Y%m%d_%H%M%S")
+
+
+def run(spark: SparkSession, prompts: DataFrame, output_root: str, now: datetime | None = None, validate: bool = True, config: dict[str, Any] | None = None, **options) -> dict[str, Any]:
+    """Writes <root>/<session>/<stamp>_prompt_<i>/ and generation_stats.json; returns the statistics."""
+    began = time.perf_counter()
+    session, stamp = stamps(now)
+    folder = f"{output_root.rstrip('/')}/{session}"
+    stats = produce(spark, prompts, folder, stamp, validate, **options)
+    stats["total_time"] = time.perf_counter() - began
     stats["config"] = {"temperature": TEMPERATURE, "top_p": TOP_P, "max_tokens": MAX_TOKENS, "n_outputs": N_OUTPUTS} | (config or {})
-    content = json.dumps(stats, indent=2)
-    file = spark.createDataFrame([("generation_stats.json", bytearray(content.encode()))], "path string, content binary")
-    file.write.format("tessitura_files").mode("append").save(f"{output_root.rstrip('/')}/{session}")
+    file = spark.createDataFrame([("generation_stats.json", bytearray(json.dumps(stats, indent=2).encode()))], "path string, content binary")
+    file.write.format("tessitura_files").mode("append").save(folder)
     return stats
 
 
+def interactive(spark: SparkSession, output_root: str, read: Callable[[str], str] = input, write: Callable[[str], None] = print, now: datetime | None = None, first: int = 1, **options) -> int:
+    """One prompt after another from `read`, until an empty one or its end; the number of prompts. Prompts of a session are
+    numbered on from `first`, so no two share a directory."""
+    session, _ = stamps(now)
+    folder, k = f"{output_root.rstrip('/')}/{session}", first
+    while True:
+        try:
+            prompt = read("Prompt: ").strip()
+        except (EOFError, KeyboardInterrupt):
+            break
+        if not prompt:
+            break
+        stats = produce(spark, spark.createDataFrame([(k, prompt)], "prompt_idx long, prompt string"), folder, stamps()[1], **options)
+        write(f"{prompt}: {stats['successful_generations']} of {stats['successful_generations'] + stats['failed_generations']} outputs")
+        for path in stats["output_files"]:
+            write(f"  {path}")
+        k += 1
+    write("end of the interactive session")
+    return k - first
+
+
 def report(stats: dict[str, Any]) -> str:
     rows = ["=" * 60, f"prompts: {stats['total_prompts']}", f"good outputs: {stats['successful_generations']}", f"failed outputs: {stats['failed_generations']}", f"total: {stats['total_time']:.2f} s"]
     if stats["generation_times"]:
@@ -57,31 +114,40 @@ def listing(paths: DataFrame) -> DataFrame:
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description="Token sequences from prompts, as MIDI files.")
-    p.add_argument("--model", default="hash", help="kind of generator; only the stand-in is built in")
+    p.add_argument("--model", default="hash", help="a registered generator, or module:attribute; the built-in one is a stand-in")
     which = p.add_mutually_exclusive_group()
     which.add_argument("--prompt")
     which.add_argument("--prompts_file")
     p.add_argument("--output_root", default="./generated_outputs")
     p.add_argument("--n_outputs", type=int, default=N_OUTPUTS)
     p.add_argument("--no-synthesize", dest="synthesize", action="store_false")
-    p.add_argument("--soundfont")
+    p.add_argument("--soundfont", default=SOUNDFONT)
     p.add_argument("--temperature", type=float, default=TEMPERATURE)
     p.add_argument("--top_p", type=float, default=TOP_P)
     p.add_argument("--max_tokens", type=int, default=MAX_TOKENS)
     p.add_argument("--cache_dir")
     p.add_argument("--interactive", action="store_true")
     p.add_argument("--fp8", action="store_true")
-    p.add_argument("--gpu_memory", type=float, default=0.9)
+    p.add_argument("--gpu_memory", type=float, default=GPU_MEMORY)
     return p.parse_args(argv)
 
 
-def main(spark: SparkSession, argv: list[str] | None = None) -> dict[str, Any] | None:
-    """A run as arguments say. Audio needs a renderer, which isn't part of this package; a named SoundFont must exist."""
+def main(spark: SparkSession, argv: list[str] | None = None, renderer: Callable[[], Renderer] | None = None, read: Callable[[str], str] = input, write: Callable[[str], None] = print) -> dict[str, Any] | None:
+    """A run as arguments say, its report, and an interactive session after it if wanted. Audio takes a renderer, which the
+    caller supplies, and the SoundFont must exist; options that nothing takes raise ValueError."""
     a = arguments(argv)
     prompts = chosen(spark, a.prompt, a.prompts_file, a.interactive)
-    if a.soundfont:
+    if a.synthesize:
         require_file(spark, a.soundfont)
+        if renderer is None:
+            raise ValueError("no renderer was given; --no-synthesize leaves audio out")
+    make = maker(a.model, cache_dir=a.cache_dir, fp8=a.fp8, gpu_memory=None if a.gpu_memory == GPU_MEMORY else a.gpu_memory)
     config = {"model": a.model, "temperature": a.temperature, "top_p": a.top_p, "max_tokens": a.max_tokens, "n_outputs": a.n_outputs, "fp8": a.fp8}
-    if prompts is None:
-        return None
-    return run(spark, prompts, a.output_root, config=config, n_outputs=a.n_outputs, temperature=a.temperature, top_p=a.top_p, max_tokens=a.max_tokens)
+    options = {"make": make, "n_outputs": a.n_outputs, "temperature": a.temperature, "top_p": a.top_p, "max_tokens": a.max_tokens, "renderer": renderer if a.synthesize else None}
+    now, stats = datetime.now(timezone.utc), None
+    if prompts is not None:
+        stats = run(spark, prompts, a.output_root, now, config=config, **options)
+        write(report(stats))
+    if a.interactive:
+        interactive(spark, a.output_root, read, write, now, 1 + (stats["total_prompts"] if stats else 0), **options)
+    return stats

@@ -1,12 +1,10 @@
-"""Session settings and fixed schemas."""
+"""Session settings and the schema of generated rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-PROMPTS = T.StructType([T.StructField("prompt_idx", T.LongType()), T.StructField("prompt", T.StringType())])
-SEQUENCES = T.StructType([T.StructField("seq_id", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 GENERATED = T.StructType(
     [
         T.StructField("prompt_idx", T.LongType()),
@@ -16,16 +14,6 @@ GENERATED = T.StructType(
         T.StructField("tokens", T.ArrayType(T.IntegerType())),
     ]
 )
-CONFIG = T.StructType(
-    [
-        T.StructField("model", T.StringType()),
-        T.StructField("temperature", T.DoubleType()),
-        T.StructField("top_p", T.DoubleType()),
-        T.StructField("max_tokens", T.LongType()),
-        T.StructField("n_outputs", T.LongType()),
-        T.StructField("fp8", T.BooleanType()),
-    ]
-)
 
 
 def session(name: str = "tessitura", **conf: str) -> SparkSession:

@@ -1,13 +1,18 @@
 """A data source that writes each row as a named file: `df.write.format("tessitura_files").save(root)`.
 
 Rows are (path STRING relative to the root, content BINARY). Each file is written beside its place and then renamed, so a
-task that runs again leaves the same files, whole. Paths that leave the root are refused. The root must be a folder that
-all executors share."""
+task that runs again leaves the same files, whole; a job that fails takes away what it has written. Paths that leave the
+root are refused, and so are roots on stores that Python can't open as files. The root must be a folder that all executors
+share."""
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +20,23 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written."""
+
+    places: list[str] = field(default_factory=list)
+
+
+def local_root(root: str) -> str:
+    """The folder that a path or file: URI names; ValueError for other stores."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", root):
+        return os.path.abspath(root)
+    uri = urlparse(root)
+    if uri.scheme != "file" or uri.netloc not in ("", "localhost"):
+        raise ValueError(f"files can't be written to {uri.scheme}://; name a folder that all executors share")
+    return os.path.abspath(unquote(uri.path))
+
+
 class FilesSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -28,22 +50,37 @@ class FilesWriter(DataSourceWriter):
     def __init__(self, root: str, schema: StructType):
         if not {"path", "content"} <= set(schema.names):
             raise ValueError("rows need path and content")
-        self.root = os.path.abspath(root.removeprefix("file://"))
+        self.root = local_root(root)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        own = TaskContext.get().taskAttemptId()
+        own, done = TaskContext.get().taskAttemptId(), Written()
         for row in iterator:
             place = os.path.abspath(os.path.join(self.root, row["path"]))
             if not place.startswith(self.root + os.sep):
                 raise ValueError(f"{row['path']} is outside {self.root}")
             os.makedirs(os.path.dirname(place), exist_ok=True)
             part = f"{place}.{own}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(row["content"]))
-            os.replace(part, place)
-        return WriterCommitMessage()
+            try:
+                with open(part, "wb") as f:
+                    f.write(bytes(row["content"]))
+                os.replace(part, place)
+            except BaseException:
+                _remove(part)
+                raise
+            done.places.append(place)
+        return done
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        for message in messages:
+            for place in message.places if isinstance(message, Written) else []:
+                _remove(place)
+
+
+def _remove(place: str) -> None:
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(place)
 
 
 def register(spark: SparkSession) -> None:
@@ -51,11 +88,15 @@ def register(spark: SparkSession) -> None:
 
 
 def generation_files(outputs: DataFrame) -> DataFrame:
-    """path, content: prompt.txt once for each directory, and each good output's tokens and MIDI. Outputs have directory,
-    prompt, output_idx, tokens, midi, ok; those that aren't ok leave nothing."""
+    """path, content: prompt.txt once for each directory, and each good output's tokens, MIDI and, if there is any, audio.
+    Outputs have directory, prompt, output_idx, tokens, midi, ok, and may have audio and audio_kind; those that aren't ok
+    leave nothing."""
     good = outputs.where("ok")
     text = good.groupBy("directory").agg(F.min("prompt").alias("prompt")).select(F.concat("directory", F.lit("/prompt.txt")).alias("path"), F.encode("prompt", "UTF-8").alias("content"))
     listed = F.concat(F.array_join(F.col("tokens").cast("array<string>"), "\n"), F.lit("\n"))
     tokens = good.select(F.format_string("%s/gen_%d_tokens.txt", "directory", "output_idx"), F.encode(listed, "UTF-8"))
     midi = good.select(F.format_string("%s/gen_%d.mid", "directory", "output_idx"), "midi")
-    return text.union(tokens).union(midi)
+    files = text.union(tokens).union(midi)
+    if "audio" in outputs.columns:
+        files = files.union(good.where("audio is not null").select(F.format_string("%s/gen_%d.%s", "directory", "output_idx", "audio_kind"), "audio"))
+    return files

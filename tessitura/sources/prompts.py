@@ -12,9 +12,17 @@ from tessitura.functions.text import strip
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """prompt_idx (from 1), prompt: the stripped lines of one text file in order, without blank ones. Lines end with LF,
-    CR LF or CR. The file is a list of prompts, read as one partition, which keeps its order."""
-    rows = spark.read.text(path).coalesce(1).select(F.monotonically_increasing_id().alias("k"), strip(F.col("value")).alias("prompt")).where("prompt <> ''")
-    return rows.select(F.row_number().over(Window.orderBy("k")).cast("long").alias("prompt_idx"), "prompt")
+    CR LF or CR. Each split of the file counts its own lines, and those of the splits before it are added."""
+    block = F.col("_metadata.file_block_start").alias("block")
+    rows = spark.read.text(path).select(block, F.monotonically_increasing_id().alias("k"), strip(F.col("value")).alias("prompt")).where("prompt <> ''")
+    sizes = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    before, at = [], 0
+    for b in sorted(sizes):
+        before.append((b, at))
+        at += sizes[b]
+    numbered = rows.withColumn("own", F.row_number().over(Window.partitionBy("block").orderBy("k")))
+    numbered = numbered.join(spark.createDataFrame(before, "block long, before long"), "block")
+    return numbered.select((F.col("before") + F.col("own")).alias("prompt_idx"), "prompt").orderBy("prompt_idx")
 
 
 def given(spark: SparkSession, *prompts: str) -> DataFrame:

@@ -1,5 +1,9 @@
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,6 +43,17 @@ def test_density_is_not_vacuous(spark):
     assert any(flags) and not all(flags)
 
 
+def test_without_the_corpus_part(tmp_path):
+    """The rest works where tessitura/llm is gone, with and without corpus_pipeline.py."""
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "tessitura", tmp_path / "tessitura", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) == int(__import__('sys').argv[1])"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code, str(len(QUERIES))], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+        shutil.copy(root / "corpus_pipeline.py", tmp_path) if (root / "corpus_pipeline.py").exists() else None
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

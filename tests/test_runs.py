@@ -1,16 +1,18 @@
 import json
 from datetime import datetime
 
+import numpy as np
 import pytest
 
+from tessitura.operators.audio import levelled, samples_of, trimmed, with_audio
 from tessitura.operators.generation import HashGenerator, generated, materialised
 from tessitura.operators.matching import matched, split
 from tessitura.operators.midi import encoded
 from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
 from tessitura.plans.run import arguments, main, report, run
 from tessitura.plans.session import session
-from tessitura.sources.files import register
-from tessitura.sources.prompts import chosen, given, id_list, lines_of, require_file
+from tessitura.sources.files import local_root, register
+from tessitura.sources.prompts import audio_files, chosen, given, id_list, lines_of, require_file
 from tessitura.streaming.interactive import answered, incoming
 
 OUTCOMES = "prompt_idx long, output_idx int, requested int, secs double, ok boolean, path string"
@@ -99,9 +101,93 @@ def test_main(spark, tmp_path):
     assert (a.n_outputs, a.temperature, a.top_p, a.max_tokens, a.synthesize, a.gpu_memory) == (4, 1.0, 0.98, 2046, True, 0.9)
     with pytest.raises(SystemExit):
         arguments(["--prompt", "x", "--prompts_file", "y"])
-    stats = main(spark, ["--prompt", "x", "--n_outputs", "1", "--output_root", str(tmp_path), "--fp8"])
-    assert stats["total_prompts"] == 1 and stats["average_time"] == 0 and stats["config"]["fp8"]
-    assert main(spark, ["--interactive"]) is None
+    own = ["--n_outputs", "1", "--output_root", str(tmp_path)]
+    said, asked = [], iter([" second ", "third", ""])
+    stats = main(spark, ["--prompt", "x", "--no-synthesize", "--interactive", *own], read=lambda _: next(asked), write=said.append)
+    assert stats["total_prompts"] == 1 and stats["average_time"] == 0 and not stats["config"]["fp8"]
+    assert said[0] == report(stats) and said[1] == "second: 1 of 1 outputs"
+    session, = tmp_path.iterdir()
+    assert sorted(p.name.split("_prompt_")[1] for p in session.glob("*_prompt_*")) == ["1", "2", "3"]
+    assert not list(session.glob("_work*"))
+
+    def ended(_):
+        raise EOFError
+
+    assert main(spark, ["--interactive", "--no-synthesize", *own], read=ended, write=said.append) is None
+    for bad in (["--fp8"], ["--gpu_memory", "0.5"], ["--cache_dir", "x"], ["--model", "unknown"]):
+        with pytest.raises(ValueError):
+            main(spark, ["--prompt", "x", "--no-synthesize", *own, *bad])
+    with pytest.raises(FileNotFoundError):
+        main(spark, ["--prompt", "x", *own, "--soundfont", str(tmp_path / "none.sf2")])
+    (tmp_path / "a.sf2").touch()
+    with pytest.raises(ValueError, match="renderer"):
+        main(spark, ["--prompt", "x", *own, "--soundfont", str(tmp_path / "a.sf2")])
+
+
+def test_audio(spark, tmp_path):
+    class Tone:
+        kind = "wav"
+
+        def render(self, midi):
+            if midi.endswith(b"\x00" * 99):
+                raise RuntimeError("no")
+            quiet, loud = np.zeros(9000), 3 * np.sin(np.arange(20000) / 9)
+            return np.concatenate([quiet, loud, quiet]), 22050
+
+    stats = run(spark, given(spark, "a"), str(tmp_path), datetime(2025, 1, 2, 3, 4, 5), n_outputs=2, renderer=Tone)
+    own = tmp_path / "2025-01-02_030405" / "20250102_030405_prompt_1"
+    assert [p.rpartition("/")[2] for p in stats["output_files"]] == ["gen_1.mid", "gen_1.wav", "gen_2.mid", "gen_2.wav"]
+    samples, rate = samples_of((own / "gen_1.wav").read_bytes())
+    assert rate == 22050 and 20000 <= len(samples) <= 20000 + 3 * 2048 and abs(np.abs(samples).max() - 1) < 1e-3
+    assert [r.content for r in audio_files(spark, str(own)).where("path like '%gen_2.wav'").collect()] == [(own / "gen_2.wav").read_bytes()]
+    rows = spark.createDataFrame([(1, bytearray(99), True), (2, bytearray(b"x"), False), (3, bytearray(b"x"), True)], "k int, midi binary, ok boolean")
+    got = {r.k: (r.audio_status, r.audio is None) for r in with_audio(rows, Tone).collect()}
+    assert got == {1: ("error: no", True), 2: ("skipped", True), 3: ("rendered", False)}
+
+
+def test_level():
+    x = np.array([0.5, -2.0, 1.0])
+    assert levelled(x, 1, None).tolist() == [0.25, -1.0, 0.5]
+    assert levelled(x / 4, 1, lambda *_: -12.0).tolist() == pytest.approx((x / 4 * 10 ** (-6 / 20)).tolist())
+    assert len(trimmed(np.zeros(9000))) == 0
+
+
+def test_unchecked_outputs_are_kept(spark, tmp_path):
+    class Crowd(HashGenerator):
+        def sample(self, ids, n, *_):
+            return [[128256 + x for x in [1, 10005, 11060] * 65]] * n
+
+    for validate, good in ((True, 0), (False, 2)):
+        stats = run(spark, given(spark, "a"), str(tmp_path / str(validate)), make=Crowd, n_outputs=2, validate=validate)
+        assert stats["successful_generations"] == good
+
+
+def test_roots_that_files_cannot_reach(spark, tmp_path):
+    assert local_root("file:///a/b%20c") == "/a/b c" and local_root("/a/../b") == "/b"
+    for root in ("s3a://bucket/out", "hdfs://host/x", "file://host/x"):
+        with pytest.raises(ValueError):
+            local_root(root)
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    register(spark)
+    rows = spark.createDataFrame([("a/1.txt", bytearray(b"x")), ("../no.txt", bytearray(b"x"))], "path string, content binary").repartition(2)
+    rows = rows.union(spark.createDataFrame([("b/2.txt", bytearray(b"y"))], "path string, content binary"))
+    with pytest.raises(Exception, match="outside"):
+        rows.write.format("tessitura_files").mode("append").save(str(tmp_path / "out"))
+    assert not list((tmp_path / "out").rglob("*.part"))
+
+
+def test_large_prompt_file(spark, tmp_path):
+    lines = [f"prompt {k}" if k % 7 else " " for k in range(60_000)]
+    (tmp_path / "p.txt").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = lines_of(spark, str(tmp_path / "p.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.prompt for r in sorted(got)] == [x for x in lines if x.strip()] and sorted(r.prompt_idx for r in got) == list(range(1, len(got) + 1))
 
 
 def test_stream(spark, tmp_path):
