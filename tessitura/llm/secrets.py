@@ -1,6 +1,8 @@
 """Secrets in whole texts: three patterns, and values in credential contexts that are costly to guess.
 
 A value that follows a credential word is cut into words, dates, repeats, keyboard walks, sequences and brute-force spans.
+Words are common ones of passwords, and those that stand whole in a public tokenizer's vocabulary, which is in order of
+frequency: tens of thousands, so ordinary prose after "the password is" is cheap to guess.
 Dynamic programming finds the cheapest cut, in decimal digits of guesses; values of at least `MIN_GUESSES` digits are
 secrets of kind `guess`. Values of any length are taken whole: the work is linear in their length.
 
@@ -10,6 +12,7 @@ each; further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -17,10 +20,12 @@ from functools import cache
 from math import log10
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessitura.llm.shared import columns, text_blocks
+from tessitura.llm.tokens import VOCABULARY
 from tessitura.llm.words import LOWER
 
 #: Decimal digits of guesses from which a value counts as a secret, and its least length.
@@ -56,8 +61,17 @@ _REPEATED = 8
 
 
 @cache
-def _ranks() -> dict[str, float]:
-    return {w: log10(k + 2) for k, w in reversed(list(enumerate(COMMON)))}
+def _ranks(vocabulary: str) -> dict[str, float]:
+    """Digits of guesses of each word, by its rank."""
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
+        pieces = [base64.b64decode(line.split()[0]) for line in lines]
+    more = [p[1:].decode().lower() for p in pieces if len(p) > 3 and p[:1] == b" " and p[1:].isalpha()]
+    return {w: log10(k + 2) for k, w in reversed(list(enumerate([*COMMON, *more])))}
+
+
+@cache
+def _longest(vocabulary: str) -> int:
+    return max(map(len, _ranks(vocabulary)))
 
 
 @cache
@@ -91,11 +105,11 @@ def _word_cost(text: str, base: float) -> float:
     return cost + log10(2) * sum(c in "013457@$!" for c in text)
 
 
-def segments(value: str, nested: bool = False) -> Iterator[tuple[int, int, str, float]]:
+def segments(value: str, nested: bool = False, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, kind, digits of guesses) of the parts that are cheaper than brute force, in order of start."""
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
-    plain, ranks, longest = low.translate(_LEET), _ranks(), max(map(len, COMMON))
+    plain, ranks, longest = low.translate(_LEET), _ranks(vocabulary), _longest(vocabulary)
     keys = low.translate(_SHIFTED)
     repeat_end = [0] * (_REPEATED + 1)
     walk_end = run_end = 0
@@ -133,17 +147,17 @@ def segments(value: str, nested: bool = False) -> Iterator[tuple[int, int, str,
             count = (k - i) // unit
             if count >= 2 and count * unit >= 3:
                 repeat_end[unit] = k
-                yield i, i + count * unit, "repeat", guess_cost(value[i : i + unit], True)[0] + log10(count)
+                yield i, i + count * unit, "repeat", guess_cost(value[i : i + unit], True, vocabulary)[0] + log10(count)
 
 
-def guess_cost(value: str, nested: bool = False) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, nested: bool = False, vocabulary: str = VOCABULARY) -> tuple[float, list[tuple[int, int, str]]]:
     """The fewest digits of guesses over all cuts of the value, and the cut."""
     n = len(value)
     if n == 0:
         return 0.0, []
     best, last = [0.0] + [float("inf")] * n, [(0, "")] * (n + 1)
     brute, begun = [float("inf")] * (n + 1), [0] * (n + 1)  # with a brute-force span that ends here
-    parts = segments(value, nested)
+    parts = segments(value, nested, vocabulary)
     following = next(parts, None)
     for i in range(n + 1):
         if brute[i] < best[i]:
@@ -175,12 +189,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def guessed_spans(text: str, least: float = MIN_GUESSES) -> list[tuple[int, int, int, float]]:
+def guessed_spans(text: str, least: float = MIN_GUESSES, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, digits of guesses) of costly values in credential contexts."""
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?)]}")
-        if len(value) >= MIN_VALUE and (cost := guess_cost(value)[0]) >= least:
+        if len(value) >= MIN_VALUE and (cost := guess_cost(value, vocabulary=vocabulary)[0]) >= least:
             out.append((m.start(1), 3, m.start(1) + len(value), cost))
     return out
 
@@ -203,7 +217,7 @@ def _candidates(data: np.ndarray, at: np.ndarray) -> list[int]:
     return sorted(touched | set(near.tolist()) | set((near - 1).tolist()))
 
 
-def secrets(documents: DataFrame, least: float = MIN_GUESSES) -> DataFrame:
+def secrets(documents: DataFrame, least: float = MIN_GUESSES, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans, guess_digits (the most of a value, or null)."""
     source = columns(documents, "doc_id", "text")
     empty = hashlib.sha256(b"").hexdigest()
@@ -219,7 +233,7 @@ def secrets(documents: DataFrame, least: float = MIN_GUESSES) -> DataFrame:
             for lo, _, data, at in text_blocks(batch.column(1)):
                 for row in _candidates(data, at):
                     text = data[at[row] : at[row + 1]].tobytes().decode("utf-8", "replace")
-                    base, more = base_spans(text), guessed_spans(text, least)
+                    base, more = base_spans(text), guessed_spans(text, least, vocabulary)
                     i = lo + row
                     for _, k, *_ in [*base, *more]:
                         counts[i, k] += 1
