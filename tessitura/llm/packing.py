@@ -62,8 +62,8 @@ def pieces(documents: DataFrame, capacity: int = 2048, end_id: int = 0, vocabula
 def plan(counts: dict[int, int], capacity: int = 2048, max_documents: int | None = None, max_cost: int | None = None, score: str = "dot", weights: tuple[float, float, float] = (1.0, 0.05, 0.2)) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, rank after the last, first sequence, offset): where pieces of each length go.
 
-    `score`: "dot" takes the bins whose weighted residual is least aligned in excess of the piece, by the largest
-    dot-product of piece and used capacity; "norm" those with the smallest weighted norm of what would remain.
+    `score`: "dot" takes the bins with the smallest weighted dot-product of the piece and what would remain, "norm" those with
+    the smallest weighted norm of what would remain; both as shares of the capacities. A limit that isn't given can't bind.
     A piece that breaks a capacity even in an empty bin raises ValueError.
     """
     documents, cost = max_documents or capacity, max_cost or capacity * capacity
@@ -94,7 +94,7 @@ def plan(counts: dict[int, int], capacity: int = 2048, max_documents: int | None
             if score == "norm":
                 best = room[int(np.argmin((w * after * after).sum(axis=1)))]
             else:
-                best = room[int(np.argmax(((1 - after) * w * (1 + need / full)).sum(axis=1)))]
+                best = room[int(np.argmin(after @ (w * need / full)))]
             # All of a class take as many of these pieces as fit, or fewer bins do when pieces run out.
             offset = capacity - int(residual[best, 0])
             lo, hi = bins[best].pop()

@@ -43,6 +43,24 @@ def test_plan_keeps_every_constraint(counts, documents, score):
         assert sum(own[-1]) <= 40 and len(own) <= documents and sum(n * n for _, n in own) <= 1600
 
 
+@pytest.mark.parametrize("score", ["dot", "norm"])
+def test_plan_is_near_the_least_number(score):
+    """Against the bounds of tokens and of pieces over half a sequence, for lengths as of documents."""
+    rng = np.random.default_rng(4)
+    for scale in (60, 400, 900):
+        length, n = np.unique(np.clip(rng.lognormal(np.log(scale), 0.9, 20_000), 2, 2048).astype(int), return_counts=True)
+        rows = plan(dict(zip(length.tolist(), n.tolist(), strict=True)), 2048, score=score)
+        used = max(first + hi - lo for _, lo, hi, first, _ in rows)
+        least = max(-(-int((length * n).sum()) // 2048), int(n[length > 1024].sum()))
+        assert used <= 1.01 * least + 1, (scale, used, least)
+
+
+def test_limits_bind():
+    counts = {10: 50, 30: 10}
+    free, few, cheap = (max(first + hi - lo for _, lo, hi, first, _ in plan(counts, 100, *limits)) for limits in ((None, None), (3, None), (None, 1000)))
+    assert free == 8 and few == 20 and cheap >= 14
+
+
 def test_plan_refuses_too_long_a_piece():
     with pytest.raises(ValueError):
         plan({41: 1}, 40)
@@ -65,7 +83,7 @@ def test_packed_documents(spark, library):
     for own in bins.values():
         own.sort()
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 64
-    assert len(bins) <= 1.2 * sum(r.length for r in got) / 64 + 1
+    assert len(bins) <= 1.02 * sum(r.length for r in got) / 64 + 1
 
 
 def test_empty_table(spark):
