@@ -37,7 +37,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, at least, of the base and of its inverse."""
-    if not _POWERS or len(_POWERS["up"]) < n:
+    if len(_POWERS.get("up", ())) < n:
         size = (n >> 18) + 1 << 18
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(size, base, np.uint64)
