@@ -89,3 +89,21 @@ def test_rare_pairs_are_audited(spark):
 def test_few_rows(spark, rows):
     got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
     assert [tuple(x) for x in got] == [(1, 0, 1, True) for _ in rows]
+
+
+def test_components_and_buckets_of_several_blocks(spark, monkeypatch):
+    """Blocks of eight, so that families and buckets are dealt into many."""
+    from tessitura.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    rows = []
+    for label in (0, 1):
+        for size in (90, 30, 1):
+            centre = rng.normal(size=8)
+            for _ in range(size):
+                rows.append((len(rows), [float(x) for x in centre + 0.08 * rng.normal(size=8)], label))
+        for _ in range(60):
+            rows.append((len(rows), [float(x) for x in rng.normal(size=8)], label))
+    got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(4)).collect()
+    assert sorted(str((x.vec_id, x.n_links, x.component_id, x.kept)) for x in got) == brute(rows)
