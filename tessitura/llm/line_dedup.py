@@ -246,3 +246,34 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     source = columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     out = deduplicated(source, counts=True)
     return out.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: By halves and common ends in place of deletions: lines at most one word apart share the first or the second half that both
+#: have by the shorter one's length m, and a common beginning and end that leave out one word of the longer line at most.
+OP3_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+l AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, text, k) AS id,
+             regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM parts),
+u AS (SELECT w, len(w) AS n, min(id) AS first FROM l WHERE len(w) >= 4 GROUP BY w),
+a AS (SELECT w, n, first, n AS m FROM u WHERE n >= 5),
+b AS (SELECT * FROM a UNION ALL SELECT w, n, first, n - 1 FROM a WHERE n >= 6),
+h AS (SELECT first, n, m, m // 2 AS s, array_to_string(w[1:m // 2], ' ') AS one, array_to_string(w[n - (m - m // 2) + 1:n], ' ') AS two FROM b),
+pair AS (
+  SELECT x.first AS p, y.first AS q FROM h x JOIN h y ON x.m = y.m AND x.one = y.one AND x.first < y.first
+  UNION SELECT x.first, y.first FROM h x JOIN h y ON x.m = y.m AND x.two = y.two AND x.first < y.first),
+z AS (SELECT p, q, x.w AS v, y.w AS w FROM pair JOIN u x ON x.first = p JOIN u y ON y.first = q),
+ends AS (
+  SELECT q, greatest(len(v), len(w)) AS n,
+         coalesce(nullif(list_position(list_transform(list_zip(v, w), lambda t: coalesce(t[1] = t[2], false)), false), 0) - 1, len(v)) AS i,
+         coalesce(nullif(list_position(list_transform(list_zip(list_reverse(v), list_reverse(w)), lambda t: coalesce(t[1] = t[2], false)), false), 0) - 1, len(v)) AS j
+  FROM z),
+near AS (SELECT DISTINCT q AS first FROM ends WHERE i + j >= n - 1),
+f AS (SELECT l.doc_id, l.text, l.k, l.line, u.first IS NOT NULL AND l.id <> u.first AS again, near.first IS NOT NULL AND l.id = u.first AS close
+      FROM l LEFT JOIN u ON l.w = u.w LEFT JOIN near ON near.first = u.first),
+g AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (again) AS n_equal, count(*) FILTER (close) AS n_near,
+             coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT again AND NOT close), '') AS kept
+      FROM f GROUP BY doc_id, text)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM documents.doc_id AND g.text = documents.text
+"""

@@ -1,11 +1,12 @@
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessitura.llm.line_dedup import deduplicated, half_keys, near, variants, word_lines
+from tessitura.llm.line_dedup import OP3_SQL, deduplicated, half_keys, near, op3_line_dedup, variants, word_lines
 from tessitura.llm.shared import raw_text
 from tessitura.llm.words import Sequences
 
@@ -106,3 +107,15 @@ def test_production_values_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = op3_line_dedup(spark, sf)
+    want = con.execute(OP3_SQL)
+    assert [d[0] for d in want.description] == got.columns
+    want = sorted(want.fetchall())
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert sum(x[2] for x in want) > 1000 and sum(x[3] for x in want) > 50
