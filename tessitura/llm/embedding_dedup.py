@@ -6,9 +6,10 @@ compared with each other, and lists keep their best. Lists hold `k` entries, and
 (saturated lists) up to twice, four times ... as many of that kind. One node in `audit` is compared with all nodes of its
 label: of those that link, the aim is the least share whose links all lie in their component; below it, further tables and
 rounds without a floor follow. Where few audited nodes link, or the aim is missed to the last, all nodes are compared with
-all of their label. Links that an audit finds are used. Edges that reach the threshold make components. A link that was seen is lost only if both its nodes' lists are saturated, so components are joined over
-all nodes of saturated lists: these are compared block by block, but for blocks too far apart for their radii. At last a
-component's members are compared block by block and links counted, so no pair becomes a row.
+all of their label. Links that an audit finds are used. Edges that reach the threshold make components. A link that was seen
+is lost only if both its nodes' lists are saturated, so components are joined over all nodes of saturated lists: these are
+compared block by block, but for blocks too far apart for their radii. At last a component's members are compared in blocks
+of thousands, a strip at a time, and links counted, so no pair becomes a row.
 
 Defined results: null, zero, non-finite or partly null vectors and rows without label link with nothing; vectors of
 different dimensions don't link; repeated rows are vectors of their own that link (if valid); a null vec_id is a
@@ -291,7 +292,7 @@ def _audited(node: DataFrame, found: DataFrame, step: int, threshold: float) ->
 
 def _counted(node: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """c, links: rows of other nodes of its component that each node links to, from all pairs, block by block."""
-    size = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = found.groupBy("component").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("blocks"))
     rows = found.join(size, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(node.select(F.col("c").alias("node"), "v", "m"), "node")
     rows = rows.select(F.col("node").alias("c"), "v", "m", "i", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -302,15 +303,23 @@ def _counted(node: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
         for table in groups(batches):
             a, b = (table.filter(table[k]) for k in ("first", "second"))
             alone = a.num_rows == table.num_rows and b.num_rows == table.num_rows
-            hit = cosines(matrix(a["v"]), matrix(b["v"])) >= threshold
-            if alone:
-                np.fill_diagonal(hit, False)
+            x, y = matrix(a["v"]), matrix(b["v"])
+            to, of = (t["m"].to_numpy().astype(float) for t in (a, b))
+            back = np.zeros(b.num_rows)
+            for lo in range(0, a.num_rows, BLOCK):
+                strip = slice(lo, lo + BLOCK)
+                hit = cosines((x[0][strip], x[1][strip]), y) >= threshold
+                if alone:
+                    row = np.arange(len(hit))
+                    hit[row, lo + row] = False
+                hit = hit.astype(float)
+                n.append(hit @ of)
+                back += to[strip] @ hit
             c.append(a["c"].to_numpy())
-            n.append(hit @ b["m"].to_numpy())
             if not alone:
                 c.append(b["c"].to_numpy())
-                n.append(a["m"].to_numpy() @ hit)
-            held += len(c[-1])
+                n.append(back)
+            held += table.num_rows
             if held > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (c, n)], ["c", "n"])
                 c, n, held = [], [], 0
