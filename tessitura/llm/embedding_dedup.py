@@ -128,15 +128,19 @@ def _bucket_lists(coded: DataFrame, k: int) -> DataFrame:
     return _together(dealt).mapInArrow(work, EDGE)
 
 
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"), "s"))
+
+
 def _best(edges: DataFrame, k: int, larger: int, threshold: float) -> DataFrame:
-    """Each node's list from edges of both directions: the best k, and up to `larger` that reach the threshold."""
-    both = edges.union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"), "s")).where("u <> w").groupBy("u", "w").agg(F.max("s").alias("s"))
+    """Each node's list from its edges (u to w): the best k, and up to `larger` that reach the threshold."""
+    edges = edges.where("u <> w").groupBy("u", "w").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "w"))
-    return both.withColumn("r", rank).where(f"r <= {larger}").where((F.col("r") <= k) | (F.col("s") >= threshold)).drop("r")
+    return edges.withColumn("r", rank).where(f"r <= {larger}").where((F.col("r") <= k) | (F.col("s") >= threshold)).drop("r")
 
 
 def _descent(lists: DataFrame, node: DataFrame, k: int, larger: int, floor: float) -> DataFrame:
-    """New edges among the neighbours of each node, and those that list it, where they improve a list."""
+    """New edges among the neighbours of each node, and those that list it, from each node whose list they improve."""
     near = lists.where(F.col("s") >= floor)
     rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("s"), "u"))
     listed = near.withColumn("r", rank).where(f"r <= {larger}").select(F.col("w").alias("g"), F.col("u").alias("c"))
@@ -153,7 +157,8 @@ def _descent(lists: DataFrame, node: DataFrame, k: int, larger: int, floor: floa
             c, worst = table["c"].to_numpy(), table["worst"].to_numpy()
             x = matrix(table["v"])
             sim = cosines(x, x)
-            i, j = np.nonzero(np.triu(sim > np.minimum(worst[:, None], worst[None, :]), 1))
+            np.fill_diagonal(sim, -2)
+            i, j = np.nonzero(sim > worst[:, None])
             if len(i):
                 u.append(c[i])
                 w.append(c[j])
@@ -346,7 +351,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
     lists = None
     for attempt in range(3):
         fresh = _bucket_lists(_coded(node, tables, 7 + attempt, bits, usual), k)
-        lists = written(_best(fresh if lists is None else fresh.union(lists), k, 2 * k, threshold), "lists")
+        lists = written(_best(_turned(fresh) if lists is None else _turned(fresh).union(lists), k, 2 * k, threshold), "lists")
         for r in range(1, rounds + 1):
             more = _descent(lists, node, k, k << r, FLOOR if attempt == 0 else -1.0)
             lists = written(_best(lists.union(more), k, k << (r + 1), threshold), "lists")
