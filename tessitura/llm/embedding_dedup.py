@@ -31,7 +31,7 @@ from tessitura.llm.shared import columns, groups, written
 THRESHOLD, K, TABLES, ROUNDS = 0.98, 10, 6, 2
 #: Nodes compared at once, and a bucket's aim.
 BLOCK, BUCKET = 512, 64
-#: Neighbours below this cosine aren't followed in the first rounds.
+#: Neighbours below this cosine aren't listed or followed in the first rounds.
 FLOOR = 0.9
 #: One node in so many is audited, the recall below which more rounds follow, and the linked nodes needed to judge it.
 AUDIT, AIM, LINKED = 50, 0.99, 30
@@ -91,8 +91,9 @@ def _edge_batch(u: list[np.ndarray], w: list[np.ndarray], s: list[np.ndarray]) -
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, w, s)], ["u", "w", "s"])
 
 
-def _bucket_lists(coded: DataFrame, k: int) -> DataFrame:
-    """The best `k` of each node in its block of a bucket. Larger buckets are dealt into blocks at random."""
+def _bucket_lists(coded: DataFrame, k: int, floor: float) -> DataFrame:
+    """Of the best `k` of each node in its block of a bucket, those that reach the floor. Larger buckets are dealt into blocks
+    at random. What a node is listed by in a block, but doesn't list, is no better than all it lists there."""
     bucket = F.xxhash64("label", "dim", "t", "code")
     coded = written(coded.withColumn("b", bucket), "coded")
     large = coded.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -115,10 +116,12 @@ def _bucket_lists(coded: DataFrame, k: int) -> DataFrame:
                 if m < 1:
                     continue
                 best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                u.append(np.repeat(own, m))
-                w.append(own[best].ravel())
-                s.append(np.take_along_axis(sim, best, axis=1).ravel())
-                held += len(u[-1])
+                value = np.take_along_axis(sim, best, axis=1).ravel()
+                some = np.flatnonzero(value >= floor)
+                u.append(np.repeat(own, m)[some])
+                w.append(own[best].ravel()[some])
+                s.append(value[some])
+                held += len(some)
             if held > 50_000:
                 yield _edge_batch(u, w, s)
                 u, w, s, held = [], [], [], 0
@@ -128,10 +131,6 @@ def _bucket_lists(coded: DataFrame, k: int) -> DataFrame:
     return _together(dealt).mapInArrow(work, EDGE)
 
 
-def _turned(edges: DataFrame) -> DataFrame:
-    return edges.union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"), "s"))
-
-
 def _best(edges: DataFrame, k: int, larger: int, threshold: float) -> DataFrame:
     """Each node's list from its edges (u to w): the best k, and up to `larger` that reach the threshold."""
     edges = edges.where("u <> w").groupBy("u", "w").agg(F.max("s").alias("s"))
@@ -158,7 +157,7 @@ def _descent(lists: DataFrame, node: DataFrame, k: int, larger: int, floor: floa
             x = matrix(table["v"])
             sim = cosines(x, x)
             np.fill_diagonal(sim, -2)
-            i, j = np.nonzero(sim > worst[:, None])
+            i, j = np.nonzero((sim > worst[:, None]) & (sim >= floor))
             if len(i):
                 u.append(c[i])
                 w.append(c[j])
@@ -350,10 +349,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
 
     lists = None
     for attempt in range(3):
-        fresh = _bucket_lists(_coded(node, tables, 7 + attempt, bits, usual), k)
-        lists = written(_best(_turned(fresh) if lists is None else _turned(fresh).union(lists), k, 2 * k, threshold), "lists")
+        floor = min(FLOOR, threshold) if attempt == 0 else -1.0
+        fresh = _bucket_lists(_coded(node, tables, 7 + attempt, bits, usual), k, floor)
+        lists = written(_best(fresh if lists is None else fresh.union(lists), k, 2 * k, threshold), "lists")
         for r in range(1, rounds + 1):
-            more = _descent(lists, node, k, k << r, FLOOR if attempt == 0 else -1.0)
+            more = _descent(lists, node, k, k << r, floor)
             lists = written(_best(lists.union(more), k, k << (r + 1), threshold), "lists")
         links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b"))
         found, links = _joined(node, lists, links, k, threshold)
