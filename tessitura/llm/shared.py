@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 19
 #: What `meetings` returns.
 MEETINGS = "key long, class long, n int, low long, low_n int"
+#: Of each application whose session names no folder, the temporary one.
+_LOCAL: dict[str, str] = {}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,8 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tessitura-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # A running session doesn't take this setting any more, so its folder is remembered here.
+        own = spark.sparkContext.applicationId
+        if own not in _LOCAL:
+            _LOCAL[own] = tempfile.mkdtemp(prefix="tessitura-")
+        folder = _LOCAL[own]
     return f"{folder.rstrip('/')}/tessitura/{spark.sparkContext.applicationId}"
 
 

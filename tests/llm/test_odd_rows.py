@@ -1,6 +1,9 @@
 """Odd tables through every pipeline stage, and strings whose polynomial hashes modulo 2**64 would agree."""
 
 import hashlib
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -97,3 +100,28 @@ def test_more_automata_than_are_held(spark):
     docs = spark.createDataFrame([(k, "before " + " ".join(f"w{k}x{j}" for j in range(12)) + " after") for k in range(60)], "doc_id long, text string").repartition(2)
     few, many = (sorted(map(str, marked(docs, items, max_coverage=0.9, block_words=b, kept=2).collect())) for b in (1000, 20))
     assert few == many and sum("contaminated=True" in x for x in many) == 40
+
+
+def test_session_that_names_no_shared_folder(tmp_path):
+    """A local session gets one temporary folder; a cluster's session is refused. A new process, as the setting of the tests'
+    own session can't be taken back."""
+    code = """
+from pyspark.sql import SparkSession
+from tessitura.llm import shared
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+table = shared.written(spark.range(5), "x")
+assert table.count() == 5 and shared.shared_dir(spark) in table.inputFiles()[0]
+shared.discard(table)
+class Far:
+    conf = spark.conf
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "far"
+try:
+    shared.shared_dir(Far)
+except ValueError:
+    print("refused")
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("refused"), done.stderr[-2000:]
