@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tessitura.functions.text import file_kind, prompt_directory, swapped_suffix, templated
 from tessitura.functions.tokens import all_allowed, limited, peak, shifted, unshifted, with_begin, without_prompt
 from tessitura.operators.matching import matched, split
+from tessitura.operators.midi import with_midi
 from tessitura.operators.notes import checked, from_events, notes_per_time, unpacked
 from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
+from tessitura.sources.files import generation_files
 from tessitura.sources.prompts import ingested
 
 PREFIX = "Describe the music: "
@@ -138,11 +140,25 @@ def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_statistics(_outcomes(spark, sf_dir)).select(F.to_json(F.struct("total_prompts", "successful_generations", "failed_generations")).alias("stats"))
 
 
+def midi_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence's MIDI file, as hexadecimal digits."""
+    rows = with_midi(_sequences(spark, sf_dir))
+    return rows.select("seq_id", F.length("midi").cast("long").alias("n_bytes"), F.hex("midi").alias("midi_hex"))
+
+
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run would write, by name, size and digest: three prompts share a directory, and crowded sequences leave nothing."""
+    group = (F.col("seq_id") % 3).alias("prompt_idx")
+    rows = with_midi(checked(_sequences(spark, sf_dir), 7)).select(group, F.col("seq_id").alias("output_idx"), "tokens", "midi", "ok")
+    rows = rows.withColumn("directory", prompt_directory("20240101_000000", F.col("prompt_idx"))).withColumn("prompt", F.concat(F.lit("caf\u00e9 "), "prompt_idx"))
+    return generation_files(rows).select("path", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 QUERIES = {
     "density_flag_7": _density(7),
     "density_flag_64": _density(64),
     "notes_per_time": count_per_time,
-    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json)},
+    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files)},
 }
 
 _PACKED = """
@@ -153,6 +169,19 @@ _OUTCOMES = """
 o AS (SELECT user_id + 1 AS prompt_idx, event_id AS output_idx, user_id % 7 + 60 AS requested, value AS secs, event_type <> 'error' AS ok,
       'u' || user_id || '/gen_' || event_id || CASE WHEN event_type = 'purchase' THEN '.mp3' ELSE '.mid' END AS path FROM events)"""
 
+_MIDI = f"""{_PACKED},
+note AS (SELECT seq_id, k, h, greatest(1, event_id % 1000) AS ticks, (event_id * 7) % 16512 // 128 AS i, (event_id * 7) % 16512 % 128 AS pitch FROM e),
+chan AS (SELECT seq_id, i, CASE WHEN i = 128 THEN 9 ELSE [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15][1 + (row_number() OVER (PARTITION BY seq_id, i = 128 ORDER BY min(k)) - 1) % 15] END AS c
+         FROM note GROUP BY seq_id, i),
+ev AS (SELECT seq_id, i, 0 AS tick, 0 AS kind, format('{{:02X}}{{:02X}}', 192 + c, i) AS m FROM chan WHERE i < 128
+       UNION ALL SELECT seq_id, i, h, 2, format('{{:02X}}{{:02X}}5A', 144 + c, pitch) FROM note JOIN chan USING (seq_id, i)
+       UNION ALL SELECT seq_id, i, h + ticks, 1, format('{{:02X}}{{:02X}}00', 128 + c, pitch) FROM note JOIN chan USING (seq_id, i)),
+step AS (SELECT seq_id, i, m, row_number() OVER own AS r, tick - lag(tick, 1, 0) OVER own AS d FROM ev WINDOW own AS (PARTITION BY seq_id, i ORDER BY tick, kind, m)),
+track AS (SELECT seq_id, i, string_agg(CASE WHEN d < 128 THEN format('{{:02X}}', d) ELSE format('{{:02X}}{{:02X}}', 128 + d // 128, d % 128) END || m, '' ORDER BY r) || '00FF2F00' AS body
+          FROM step GROUP BY seq_id, i),
+midi AS (SELECT seq_id, '4D546864000000060001' || format('{{:04X}}', 1 + count(*)) || '0032' || '4D54726B0000000B00FF510307A12000FF2F00'
+                || string_agg('4D54726B' || format('{{:08X}}', length(body) // 2) || body, '' ORDER BY i) AS midi_hex FROM track GROUP BY seq_id)"""
+
 
 #: The code points that Python's str.isspace holds for, written out so that the SQL doesn't rest on the code it checks.
 _BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -201,6 +230,16 @@ SELECT seq_id, status, status = 'pass' AS ok FROM s""",
     "stats_json": f"""
 WITH {_OUTCOMES}
 SELECT '{{"total_prompts":' || count(DISTINCT prompt_idx) || ',"successful_generations":' || count(*) FILTER (ok) || ',"failed_generations":' || count(*) FILTER (NOT ok) || '}}' AS stats FROM o""",
+    "midi_bytes": f"WITH {_MIDI} SELECT seq_id, length(midi_hex) // 2 AS n_bytes, midi_hex FROM midi",
+    "run_files": f"""
+WITH {_MIDI},
+c AS (SELECT seq_id, token, count(*) AS n FROM tok WHERE pos % 3 = 0 GROUP BY ALL),
+good AS (SELECT seq_id, '20240101_000000_prompt_' || seq_id % 3 || '/' AS folder FROM c GROUP BY seq_id HAVING max(n) <= 7),
+file AS (
+  SELECT DISTINCT folder || 'prompt.txt' AS path, encode('caf' || chr(233) || ' ' || seq_id % 3) AS content FROM good
+  UNION ALL SELECT any_value(folder) || 'gen_' || seq_id || '_tokens.txt', encode(string_agg(token, chr(10) ORDER BY pos) || chr(10)) FROM tok JOIN good USING (seq_id) GROUP BY seq_id
+  UNION ALL SELECT folder || 'gen_' || seq_id || '.mid', unhex(midi_hex) FROM midi JOIN good USING (seq_id))
+SELECT path, octet_length(content) AS n_bytes, sha256(content) AS sha256 FROM file""",
     "generation_stats": f"""
 WITH {_OUTCOMES},
 p AS (SELECT prompt_idx, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, min(secs) AS secs FROM o GROUP BY prompt_idx)
