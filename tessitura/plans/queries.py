@@ -13,6 +13,7 @@ from tessitura.functions.text import file_kind, prompt_directory, swapped_suffix
 from tessitura.functions.tokens import all_allowed, limited, peak, shifted, unshifted, with_begin, without_prompt
 from tessitura.operators.matching import matched, split
 from tessitura.operators.midi import with_midi
+from tessitura.operators.sampling import sampled
 from tessitura.operators.notes import checked, from_events, notes_per_time, unpacked
 from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
 from tessitura.sources.files import generation_files
@@ -154,11 +155,23 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation_files(rows).select("path", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings times 3 as logits, a step of its own for each vector of a label."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("label").alias("seq_id"), F.col("vec_id").alias("step"), F.transform("embedding", lambda x: x.cast("double") * 3).alias("logits"))
+
+
+def nucleus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id for each step, by temperature 0.7 and top-p 0.9; of five ids one isn't allowed."""
+    rows = sampled(_steps(spark, sf_dir), "music", 0.7, 0.9, lambda i: i % 5 != 3)
+    return rows.select("seq_id", "step", F.col("token").cast("long").alias("token"), F.round("p", 6).alias("p"), F.col("n_kept").cast("long").alias("n_kept"))
+
+
 QUERIES = {
     "density_flag_7": _density(7),
     "density_flag_64": _density(64),
     "notes_per_time": count_per_time,
-    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files)},
+    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files, nucleus_sample)},
 }
 
 _PACKED = """
@@ -258,4 +271,12 @@ WITH w AS (SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(CAST(
 SELECT vec_id, round(coalesce(p, 0), 6) AS peak, round(CASE WHEN p > 1 THEN 1 ELSE coalesce(p, 0) END, 6) AS limited_peak FROM w""",
     "text_id_match": "SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)",
     "eval_split": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) THEN 'eval' ELSE 'train' END AS part FROM documents",
+    "nucleus_sample": """
+WITH x AS (SELECT label AS seq_id, vec_id AS step, id, CAST(embedding[id + 1] AS DOUBLE) * 3 AS x FROM (SELECT *, unnest(range(len(embedding))) AS id FROM embeddings) WHERE id % 5 <> 3),
+w AS (SELECT seq_id, step, id, exp((x - max(x) OVER (PARTITION BY seq_id, step)) / 0.7) AS w FROM x),
+c AS (SELECT *, sum(w) OVER (PARTITION BY seq_id, step ORDER BY w DESC, id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY seq_id, step) AS total FROM w),
+k AS (SELECT *, max(upto) OVER (PARTITION BY seq_id, step) AS mass, count(*) OVER (PARTITION BY seq_id, step) AS n_kept FROM c WHERE upto - w < 0.9 * total),
+d AS (SELECT *, row_number() OVER (PARTITION BY seq_id, step ORDER BY upto) AS r FROM k
+      WHERE upto > ('0x' || md5('music:' || seq_id || ':' || step)[:13])::BIGINT / 4503599627370496.0 * mass)
+SELECT seq_id, step, id AS token, round(w / mass, 6) AS p, n_kept FROM d WHERE r = 1""",
 }
