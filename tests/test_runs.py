@@ -7,13 +7,15 @@ import pytest
 from tessitura.operators.audio import levelled, samples_of, trimmed, with_audio
 from tessitura.operators.generation import HashGenerator, generated, materialised
 from tessitura.operators.matching import matched, split
-from tessitura.operators.midi import encoded
+from tessitura.operators.midi import with_midi
 from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
-from tessitura.plans.run import arguments, main, report, run
+from tessitura.plans.run import arguments, main, run
 from tessitura.plans.session import session
-from tessitura.sources.files import local_root, register
 from tessitura.sources.prompts import audio_files, chosen, given, id_list, lines_of, require_file
-from tessitura.streaming.interactive import answered, incoming
+
+def midi_of(spark, tokens):
+    return bytes(with_midi(spark.createDataFrame([(tokens,)], "tokens array<int>")).first().midi)
+
 
 OUTCOMES = "prompt_idx long, output_idx int, requested int, secs double, ok boolean, path string"
 
@@ -73,27 +75,21 @@ def test_run(spark, tmp_path):
             out = super().sample(ids, n, temperature, top_p, max_tokens)
             return [out[0], [128256 + x for x in [1, 10005, 11060] * 65], *out[2:]]
 
-    now = datetime(2025, 1, 2, 3, 4, 5)
-    stats = run(spark, given(spark, "first é", "second"), str(tmp_path), now, make=Crowd, n_outputs=3)
+    now, said = datetime(2025, 1, 2, 3, 4, 5), []
+    stats = run(spark, given(spark, "first é", "second"), str(tmp_path), now, make=Crowd, n_outputs=3, write=said.append)
     root = tmp_path / "2025-01-02_030405"
     names = sorted(p.name for p in (root / "20250102_030405_prompt_1").iterdir())
     assert names == ["gen_1.mid", "gen_1_tokens.txt", "gen_3.mid", "gen_3_tokens.txt", "prompt.txt"]
     own = root / "20250102_030405_prompt_2"
     assert (root / "20250102_030405_prompt_1" / "prompt.txt").read_text("utf-8") == "first é"
     tokens = (own / "gen_3_tokens.txt").read_text()
-    assert tokens.endswith("\n") and encoded([int(x) for x in tokens.split()]) == (own / "gen_3.mid").read_bytes()
+    assert tokens.endswith("\n") and midi_of(spark, [int(x) for x in tokens.split()]) == (own / "gen_3.mid").read_bytes()
     saved = json.loads((root / "generation_stats.json").read_text())
-    assert saved == stats and saved["total_prompts"] == 2 and saved["successful_generations"] == 4 and saved["failed_generations"] == 2
+    assert {k: v for k, v in stats.items() if k != "timed_prompts"} == {k: v for k, v in saved.items() if k not in ("generation_times", "output_files")}
+    assert saved["total_prompts"] == 2 and saved["successful_generations"] == 4 and saved["failed_generations"] == 2
     assert len(saved["generation_times"]) == 1 and [p.split("/")[1] for p in saved["output_files"]] == ["gen_1.mid", "gen_3.mid"] * 2
-    assert "MIDI: 20250102_030405_prompt_1/gen_1.mid" in report(stats)
-
-
-def test_files_stay_inside(spark, tmp_path):
-    register(spark)
-    rows = spark.createDataFrame([("../out.txt", bytearray(b"x"))], "path string, content binary")
-    with pytest.raises(Exception, match="outside"):
-        rows.write.format("tessitura_files").mode("append").save(str(tmp_path / "in"))
-    assert not (tmp_path / "out.txt").exists()
+    assert "  MIDI: 20250102_030405_prompt_1/gen_1.mid" in said and said[1] == "prompts: 2"
+    assert sorted(p.name for p in root.iterdir()) == ["20250102_030405_prompt_1", "20250102_030405_prompt_2", "generation_stats.json"]
 
 
 def test_main(spark, tmp_path):
@@ -105,7 +101,7 @@ def test_main(spark, tmp_path):
     said, asked = [], iter([" second ", "third", ""])
     stats = main(spark, ["--prompt", "x", "--no-synthesize", "--interactive", *own], read=lambda _: next(asked), write=said.append)
     assert stats["total_prompts"] == 1 and stats["average_time"] == 0 and not stats["config"]["fp8"]
-    assert said[0] == report(stats) and said[1] == "second: 1 of 1 outputs"
+    assert said[:2] == ["=" * 60, "prompts: 1"] and "second: 1 of 1 outputs" in said
     session, = tmp_path.iterdir()
     assert sorted(p.name.split("_prompt_")[1] for p in session.glob("*_prompt_*")) == ["1", "2", "3"]
     assert not list(session.glob("_work*"))
@@ -136,7 +132,9 @@ def test_audio(spark, tmp_path):
 
     stats = run(spark, given(spark, "a"), str(tmp_path), datetime(2025, 1, 2, 3, 4, 5), n_outputs=2, renderer=Tone)
     own = tmp_path / "2025-01-02_030405" / "20250102_030405_prompt_1"
-    assert [p.rpartition("/")[2] for p in stats["output_files"]] == ["gen_1.mid", "gen_1.wav", "gen_2.mid", "gen_2.wav"]
+    assert stats["successful_generations"] == 2
+    saved = json.loads((own.parent / "generation_stats.json").read_text())
+    assert saved["generation_times"] == [] and [p.rpartition("/")[2] for p in saved["output_files"]] == ["gen_1.mid", "gen_1.wav", "gen_2.mid", "gen_2.wav"]
     samples, rate = samples_of((own / "gen_1.wav").read_bytes())
     assert rate == 22050 and 20000 <= len(samples) <= 20000 + 3 * 2048 and abs(np.abs(samples).max() - 1) < 1e-3
     assert [r.content for r in audio_files(spark, str(own)).where("path like '%gen_2.wav'").collect()] == [(own / "gen_2.wav").read_bytes()]
@@ -162,22 +160,6 @@ def test_unchecked_outputs_are_kept(spark, tmp_path):
         assert stats["successful_generations"] == good
 
 
-def test_roots_that_files_cannot_reach(spark, tmp_path):
-    assert local_root("file:///a/b%20c") == "/a/b c" and local_root("/a/../b") == "/b"
-    for root in ("s3a://bucket/out", "hdfs://host/x", "file://host/x"):
-        with pytest.raises(ValueError):
-            local_root(root)
-
-
-def test_failed_write_leaves_nothing(spark, tmp_path):
-    register(spark)
-    rows = spark.createDataFrame([("a/1.txt", bytearray(b"x")), ("../no.txt", bytearray(b"x"))], "path string, content binary").repartition(2)
-    rows = rows.union(spark.createDataFrame([("b/2.txt", bytearray(b"y"))], "path string, content binary"))
-    with pytest.raises(Exception, match="outside"):
-        rows.write.format("tessitura_files").mode("append").save(str(tmp_path / "out"))
-    assert not list((tmp_path / "out").rglob("*.part"))
-
-
 def test_large_prompt_file(spark, tmp_path):
     lines = [f"prompt {k}" if k % 7 else " " for k in range(60_000)]
     (tmp_path / "p.txt").write_text("\n".join(lines))
@@ -190,17 +172,5 @@ def test_large_prompt_file(spark, tmp_path):
     assert [r.prompt for r in sorted(got)] == [x for x in lines if x.strip()] and sorted(r.prompt_idx for r in got) == list(range(1, len(got) + 1))
 
 
-def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("one\n\n two \n")
-    seen = []
-    for extra in (None, "three\n"):
-        if extra:
-            (tmp_path / "in" / "b.txt").write_text(extra)
-        query = answered(incoming(spark, str(tmp_path / "in")), lambda df, _: seen.extend((r.prompt_id, r.prompt) for r in df.collect()), str(tmp_path / "state"))
-        assert query.awaitTermination(60)
-    assert [p for _, p in seen] == ["one", "two", "three"] and len({i for i, _ in seen}) == 3
-
-
 def test_session(spark):
     assert session("other").conf.get("spark.sql.session.timeZone") == "UTC"
