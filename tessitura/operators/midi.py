@@ -1,63 +1,184 @@
-"""Token triples as Standard MIDI files.
+"""Token triples as Standard MIDI files, and MIDI files as rows.
+
+Files are written as expressions over the array of tokens: notes, tracks and their events are arrays of structs, numbers of
+variable length are two digits or four, and the digits become bytes at the end. No Python worker is needed.
 
 Fixed values of the vocabulary: times count 10 ms; durations follow from 10000; notes from 11000, as 128 pitches of each of
 129 instruments, the last being drums; the rest and all later ids make no sound."""
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+
+from tessitura.functions.arrays import bound
 
 TIMES, DURATIONS, NOTES, REST = 0, 10000, 11000, 27512
 PITCHES, DRUMS = 128, 128
 #: Two quarters a second of 50 ticks each: a tick is 10 ms.
 TICKS, MICROSECONDS, VELOCITY = 50, 500_000, 90
+#: Fixed values of the format: the drums' channel, and the end of a track.
+DRUM_CHANNEL, TRACK_END = 9, "00FF2F00"
+FREE = [c for c in range(16) if c != DRUM_CHANNEL]
+
+
+def _digits(x: Column, bytes_: int = 1) -> Column:
+    return F.lpad(F.hex(x), 2 * bytes_, "0")
+
+
+def _delta(ticks: Column) -> Column:
+    """A number of variable length, as digits; times and durations of the vocabulary are below 2**14."""
+    return F.when(ticks < 128, _digits(ticks)).otherwise(F.concat(_digits(F.shiftright(ticks, 7) + 128), _digits(ticks.bitwiseAND(127))))
+
+
+def _event(tick: Column, kind: int, *parts: Column | str) -> Column:
+    digits = F.concat(*[F.lit(p) if isinstance(p, str) else _digits(p) for p in parts])
+    return F.struct(tick.cast("int").alias("tick"), F.lit(kind).alias("kind"), digits.alias("m"))
+
+
+def _chunk(body: Column) -> Column:
+    return F.concat(F.lit(b"MTrk".hex().upper()), _digits(F.length(body) / 2, 4), body)
+
 
+def _notes(tokens: Column) -> Column:
+    """Structs of time, end, instrument and pitch. A cut-off triple and triples with ids outside their ranges are left out."""
+    count = F.floor(F.size(tokens) / 3).cast("int")
+    own = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: F.struct(F.get(tokens, k * 3).alias("t"), F.get(tokens, k * 3 + 1).alias("d"), F.get(tokens, k * 3 + 2).alias("n"), (k < count).alias("whole")))
+    good = F.filter(own, lambda x: x["whole"] & (x["t"] >= TIMES) & (x["t"] < DURATIONS) & (x["d"] >= DURATIONS) & (x["d"] < NOTES) & (x["n"] >= NOTES) & (x["n"] < REST))
+    return F.transform(good, lambda x: F.struct(x["t"].alias("time"), (x["t"] + F.greatest(x["d"] - DURATIONS, F.lit(1))).alias("end"), F.floor((x["n"] - NOTES) / PITCHES).cast("int").alias("instrument"), ((x["n"] - NOTES) % PITCHES).alias("pitch")))
 
-def _number(n: int) -> bytes:
-    """A variable-length quantity."""
-    out = [n & 127]
-    while n := n >> 7:
-        out.append(n & 127 | 128)
-    return bytes(reversed(out))
 
+def _track(notes: Column, instrument: Column, channel: Column) -> Column:
+    """An instrument's track: its events by tick, ends before beginnings."""
+    mine = F.filter(notes, lambda x: x["instrument"] == instrument)
+    played = F.transform(mine, lambda x: F.array(_event(x["time"], 2, channel + 0x90, x["pitch"], f"{VELOCITY:02X}"), _event(x["end"], 1, channel + 0x80, x["pitch"], "00")))
+    program = F.when(instrument != DRUMS, F.array(_event(F.lit(0), 0, channel + 0xC0, instrument))).otherwise(F.slice(F.array(_event(F.lit(0), 0, "")), 1, 0))
+    ordered = F.array_sort(F.concat(program, F.flatten(played)))
+    coded = lambda e: F.transform(e, lambda x, k: F.concat(_delta(x["tick"] - F.coalesce(F.get(e, k - 1)["tick"], F.lit(0))), x["m"]))
+    return bound(F.concat(F.array_join(bound(ordered, coded), ""), F.lit(TRACK_END)), _chunk)
 
-def _track(events: list[tuple[int, int, bytes]]) -> bytes:
-    body, now = b"", 0
-    for at, _, message in sorted(events):
-        body += _number(at - now) + message
-        now = at
-    body += _number(0) + b"\xff\x2f\x00"
-    return b"MTrk" + struct.pack(">I", len(body)) + body
 
+def midi(tokens: Column) -> Column:
+    """The bytes of a format 1 file: a tempo track, then a track for each instrument. Channels go round in order of the
+    instruments' first notes where there are more than fifteen; drums have the tenth."""
 
-def encoded(tokens: list[int]) -> bytes:
-    """A format 1 file: a tempo track, then a track for each instrument. A cut-off triple and triples with ids outside
-    their ranges are left out. Channels go round where there are more than fifteen instruments; drums have the tenth."""
-    by: dict[int, list[tuple[int, int, bytes]]] = {}
-    channel: dict[int, int] = {}
-    free = [c for c in range(16) if c != 9]
-    for time, dur, note in zip(tokens[::3], tokens[1::3], tokens[2::3], strict=False):
-        if not (TIMES <= time < DURATIONS and DURATIONS <= dur < NOTES and NOTES <= note < REST):
-            continue
-        instrument, pitch = divmod(note - NOTES, PITCHES)
-        if instrument not in by:
-            channel[instrument] = 9 if instrument == DRUMS else free[len([i for i in channel if i != DRUMS]) % len(free)]
-            by[instrument] = [] if instrument == DRUMS else [(0, 0, bytes([0xC0 | channel[instrument], instrument]))]
-        c, end = channel[instrument], time + max(1, dur - DURATIONS)
-        by[instrument] += [(time, 2, bytes([0x90 | c, pitch, VELOCITY])), (end, 1, bytes([0x80 | c, pitch, 0]))]
-    tracks = [_track([(0, 0, b"\xff\x51\x03" + MICROSECONDS.to_bytes(3, "big"))]), *(_track(by[i]) for i in sorted(by))]
-    return b"MThd" + struct.pack(">IHHH", 6, 1, len(tracks), TICKS) + b"".join(tracks)
+    def file(notes: Column) -> Column:
+        melodic = F.array_distinct(F.transform(F.filter(notes, lambda x: x["instrument"] != DRUMS), lambda x: x["instrument"]))
 
+        def tracks(names: Column) -> Column:
+            free = F.array(*[F.lit(c) for c in FREE])
+            channel = lambda i: F.when(i == DRUMS, F.lit(DRUM_CHANNEL)).otherwise(F.get(free, ((F.array_position(names, i) - 1) % len(FREE)).cast("int")))
+            return F.transform(F.array_sort(F.array_distinct(F.transform(notes, lambda x: x["instrument"]))), lambda i: _track(notes, i, channel(i)))
 
-@F.pandas_udf(BinaryType())
-def midi(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else encoded(list(t)))
+        tempo = _chunk(F.lit(f"00FF5103{MICROSECONDS:06X}{TRACK_END}"))
+        head = lambda t: F.concat(F.lit(b"MThd".hex().upper() + "000000060001"), _digits(F.size(t) + 1, 2), F.lit(f"{TICKS:04X}"), tempo, F.array_join(t, ""))
+        return F.unhex(bound(bound(melodic, tracks), head))
+
+    return F.when(tokens.isNotNull(), bound(_notes(tokens), file))
 
 
 def with_midi(sequences: DataFrame) -> DataFrame:
-    return sequences.withColumn("midi", midi("tokens"))
+    return sequences.withColumn("midi", midi(F.col("tokens")))
+
+
+def _events(data: bytes) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(track, place in it, microseconds, channel, pitch, velocity, program) of a file's notes; velocity 0 ends one. Messages
+    without a status byte have that of the one before. Changes of tempo hold for all tracks."""
+    if data[:4] != b"MThd":
+        raise ValueError("not a MIDI file")
+    division = int.from_bytes(data[12:14], "big")
+    at, found, tempos = 8 + int.from_bytes(data[4:8], "big"), [], [(0, 500_000)]
+    track = 0
+    while at + 8 <= len(data):
+        kind, end = data[at : at + 4], at + 8 + int.from_bytes(data[at + 4 : at + 8], "big")
+        at += 8
+        tick = status = 0
+        program = [0] * 16
+        while kind == b"MTrk" and at < min(end, len(data)):
+            delta = 0
+            while True:
+                b = data[at]
+                at += 1
+                delta = delta << 7 | b & 127
+                if b < 128:
+                    break
+            tick += delta
+            if data[at] >= 0x80:
+                status = data[at]
+                at += 1
+            if status >= 0xF0:
+                if status == 0xFF:
+                    if data[at] == 0x51:
+                        tempos.append((tick, int.from_bytes(data[at + 2 : at + 5], "big")))
+                    at += 1
+                size = 0
+                while True:
+                    b = data[at]
+                    at += 1
+                    size = size << 7 | b & 127
+                    if b < 128:
+                        break
+                at += size
+                continue
+            channel, what = status & 15, status >> 4
+            if what in (8, 9):
+                found.append((track, len(found), tick, channel, data[at], data[at + 1] if what == 9 else 0, program[channel]))
+            elif what == 12:
+                program[channel] = data[at]
+            at += 1 if what in (12, 13) else 2
+        at, track = end, track + 1
+    if not found:
+        return []
+    ticks = np.array([x[2] for x in found], float)
+    if division & 0x8000:  # frames a second, and ticks of each
+        micros = ticks * 1e6 / ((256 - (division >> 8)) * (division & 255))
+    else:
+        tempos.sort(key=lambda x: x[0])
+        edge = np.array([x[0] for x in tempos], float)
+        each = np.array([x[1] for x in tempos], float) / division
+        begun = np.concatenate([[0.0], np.cumsum(np.diff(edge) * each[:-1])])
+        own = np.searchsorted(edge, ticks, "right") - 1
+        micros = begun[own] + (ticks - edge[own]) * each[own]
+    return [(*x[:2], int(round(m)), *x[3:]) for x, m in zip(found, micros, strict=True)]
+
+
+EVENTS = "path string, track int, seq int, micros long, channel int, pitch int, velocity int, program int, error string"
+
+
+def midi_events(files: DataFrame) -> DataFrame:
+    """A row for each beginning or end of a note in MIDI files (path, content); of a file that can't be read, one row with the
+    error and nulls."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows += [(path, *x, None) for x in _events(bytes(content))]
+                except (ValueError, IndexError, TypeError) as e:
+                    rows.append((path, *[None] * 7, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "track", "seq", "micros", "channel", "pitch", "velocity", "program", "error"]).astype({c: "Int64" for c in ("track", "seq", "micros", "channel", "pitch", "velocity", "program")})
+
+    return files.select("path", "content").mapInPandas(work, EVENTS)
+
+
+def midi_notes(files: DataFrame) -> DataFrame:
+    """path, time, dur, note: triples of the notes in MIDI files, in units of the vocabulary. Of equal pitches that sound at once
+    in a track's channel, the first to begin is the first to end. Ends without a beginning, and notes that nothing ends,
+    are left out; long durations are cut to the largest id."""
+    key = ("path", "track", "channel", "pitch")
+    run = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = midi_events(files).where("error is null").withColumn("step", F.when(F.col("velocity") > 0, 1).otherwise(-1))
+    rows = rows.withColumn("open", F.sum("step").over(run)).withColumn("low", F.least(F.lit(0), F.min("open").over(run)))
+    rows = rows.withColumn("stray", F.coalesce(F.col("low") < F.least(F.lit(0), F.lag("low").over(Window.partitionBy(*key).orderBy("seq"))), F.col("low") < 0))
+    rows = rows.withColumn("number", F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).over(run)).withColumn("ended", F.sum(F.when(F.col("step") < 0, 1).otherwise(0)).over(run) + F.col("low"))
+    on = rows.where("step > 0").select(*key, F.col("number").alias("k"), F.col("micros").alias("begin"), "program")
+    off = rows.where("step < 0 and not stray").select(*key, F.col("ended").alias("k"), F.col("micros").alias("end"))
+    begin, end = F.round(F.col("begin") / 10_000).cast("int"), F.round(F.col("end") / 10_000).cast("int")
+    instrument = F.when(F.col("channel") == DRUM_CHANNEL, DRUMS).otherwise(F.col("program"))
+    dur = F.least(end - begin, F.lit(NOTES - DURATIONS - 1)) + DURATIONS
+    return on.join(off, [*key, "k"]).select("path", begin.alias("time"), dur.alias("dur"), (instrument * PITCHES + F.col("pitch") + NOTES).alias("note"))

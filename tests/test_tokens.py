@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.text import strip, swapped_suffix, templated
 from tessitura.functions.tokens import crowded, density_status, limited, peak, shifted, times, triples, unshifted, with_begin, without_prompt
-from tessitura.operators.midi import DRUMS, encoded, with_midi
+from tessitura.operators.midi import DRUMS, DURATIONS, MICROSECONDS, NOTES, PITCHES, REST, TICKS, TIMES, VELOCITY, midi_events, midi_notes, with_midi
 from tessitura.operators.notes import checked, notes_per_time, unpacked
 
 TRIPLE = [5, 10000, 11000]
@@ -83,6 +84,41 @@ def test_waves(spark):
     assert [r.l for r in row.select(limited(F.col("w")).alias("l")).collect()] == [[0.25, -1.0], [], [0.1]]
 
 
+def _number(n: int) -> bytes:
+    """A variable-length quantity."""
+    out = [n & 127]
+    while n := n >> 7:
+        out.append(n & 127 | 128)
+    return bytes(reversed(out))
+
+
+def _track(events: list[tuple[int, int, bytes]]) -> bytes:
+    body, now = b"", 0
+    for at, _, message in sorted(events):
+        body += _number(at - now) + message
+        now = at
+    body += _number(0) + b"\xff\x2f\x00"
+    return b"MTrk" + struct.pack(">I", len(body)) + body
+
+
+def encoded(tokens: list[int]) -> bytes:
+    """The plain form of `midi`."""
+    by: dict[int, list[tuple[int, int, bytes]]] = {}
+    channel: dict[int, int] = {}
+    free = [c for c in range(16) if c != 9]
+    for time, dur, note in zip(tokens[::3], tokens[1::3], tokens[2::3], strict=False):
+        if not (TIMES <= time < DURATIONS and DURATIONS <= dur < NOTES and NOTES <= note < REST):
+            continue
+        instrument, pitch = divmod(note - NOTES, PITCHES)
+        if instrument not in by:
+            channel[instrument] = 9 if instrument == DRUMS else free[len([i for i in channel if i != DRUMS]) % len(free)]
+            by[instrument] = [] if instrument == DRUMS else [(0, 0, bytes([0xC0 | channel[instrument], instrument]))]
+        c, end = channel[instrument], time + max(1, dur - DURATIONS)
+        by[instrument] += [(time, 2, bytes([0x90 | c, pitch, VELOCITY])), (end, 1, bytes([0x80 | c, pitch, 0]))]
+    tracks = [_track([(0, 0, b"\xff\x51\x03" + MICROSECONDS.to_bytes(3, "big"))]), *(_track(by[i]) for i in sorted(by))]
+    return b"MThd" + struct.pack(">IHHH", 6, 1, len(tracks), TICKS) + b"".join(tracks)
+
+
 def parsed(data):
     """Note events (tick, channel, on, pitch) of a file."""
     assert data[:4] == b"MThd" and struct.unpack(">IHHH", data[4:14])[:2] == (6, 1)
@@ -120,9 +156,56 @@ def test_midi_round_trip():
     assert len(parsed(encoded(many))) == 80 and all(c != 9 for _, c, _, _ in parsed(encoded(many)))
 
 
+def pieces():
+    random.seed(8)
+    own = [TRIPLE, [], [1], [5, 10001], [0, 10050, 11060, 200, 10010, 11000 + 128 * DRUMS + 36, 300, 10001, 27512, 5, 10001], [x for k in range(40) for x in (9999 - 100 * k, 10999, 11000 + 128 * k + 50)]]
+    for _ in range(60):
+        own.append([x for _ in range(random.randint(1, 80)) for x in (random.randint(-3, 300), random.randint(9998, 10200), random.randint(10990, 11000 + 128 * random.choice((2, 129)) + 3))])
+    return own
+
+
 def test_with_midi(spark):
-    got = with_midi(frame(spark, [("a", TRIPLE), ("b", None)])).orderBy("seq_id").collect()
-    assert bytes(got[0].midi) == encoded(TRIPLE) and got[1].midi is None
+    own = pieces()
+    rows = with_midi(frame(spark, [(str(k), t) for k, t in enumerate(own)] + [("none", None)]))
+    got = {r.seq_id: r.midi for r in rows.collect()}
+    assert got.pop("none") is None and {k: bytes(v) for k, v in got.items()} == {str(k): encoded(t) for k, t in enumerate(own)}
+    plan = rows._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_midi_files_read_back(spark):
+    own = pieces()
+    rows = with_midi(frame(spark, [(str(k), t) for k, t in enumerate(own)])).selectExpr("seq_id as path", "midi as content")
+    got = {}
+    for r in midi_notes(rows).collect():
+        got.setdefault(r.path, []).append((r.time, r.dur, r.note))
+    for k, t in enumerate(own):
+        want, by = [], {}
+        for time, dur, note in zip(t[::3], t[1::3], t[2::3], strict=False):
+            if TIMES <= time < DURATIONS and DURATIONS <= dur < NOTES and NOTES <= note < REST:
+                by.setdefault(note, []).append((time, time + max(1, dur - DURATIONS)))
+        for note, spans in by.items():  # of one pitch, the first to begin is the first to end
+            want += [(a, DURATIONS + b - a, note) for a, b in zip(sorted(a for a, _ in spans), sorted(b for _, b in spans), strict=True)]
+        assert sorted(got.get(str(k), [])) == sorted(want)
+    assert sum(map(len, got.values())) > 1000
+
+
+def track(*events):
+    body = b"".join(events) + b"\x00\xff\x2f\x00"
+    return b"MTrk" + struct.pack(">I", len(body)) + body
+
+
+def test_midi_files_of_others(spark):
+    """Running status, ends as beginnings of velocity 0, tempo changes, system messages, strays, unknown chunks, broken files."""
+    head = b"MThd" + struct.pack(">IHHH", 6, 1, 2, 100)
+    tempo = track(b"\x00\xff\x51\x03\x07\xa1\x20", b"\x81\x48\xff\x51\x03\x0f\x42\x40")  # 5 ms a tick, from tick 200 on 10 ms
+    notes = track(b"\x00\xf0\x02\x01\xf7", b"\x00\xc3\x05", b"\x64\x80\x3c\x00", b"\x00\x93\x3c\x40", b"\x64\x3c\x00", b"\x64\x3c\x50", b"\x00\x3d\x50", b"\x32\x3c\x00", b"\x00\xb3\x07\x50", b"\x00\x93\x3d\x00", b"\x0a\x3e\x40")
+    files = [("a", head + tempo + b"XFIH\x00\x00\x00\x01\x00" + notes), ("b", b"RIFF"), ("c", head + notes[:30]), ("d", b""), ("e", None), ("f", head)]
+    table = spark.createDataFrame([(p, c and bytearray(c)) for p, c in files], "path string, content binary")
+    got = sorted(tuple(r)[1:] for r in midi_notes(table).where("path = 'a'").collect())
+    piano = 11000 + 128 * 5
+    assert got == [(50, 10050, piano + 60), (200, 10050, piano + 60), (200, 10050, piano + 61)] and midi_notes(table).where("path in ('b', 'd', 'e', 'f')").count() == 0
+    assert {r.path for r in midi_events(table).where("error is not null").collect()} >= {"b", "d", "e"}
 
 
 @pytest.mark.parametrize("limit", [1, 64])
