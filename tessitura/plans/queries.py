@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tessitura.functions.text import file_kind, prompt_directory, swapped_suffix, templated
 from tessitura.functions.tokens import all_allowed, limited, peak, shifted, unshifted, with_begin, without_prompt
 from tessitura.operators.matching import matched, split
-from tessitura.operators.midi import with_midi
+from tessitura.operators.audio import gated_rows, sounding
+from tessitura.operators.midi import midi_notes, with_midi
 from tessitura.operators.sampling import sampled
-from tessitura.operators.notes import checked, from_events, notes_per_time, unpacked
+from tessitura.operators.notes import checked, density_of_rows, event_tokens, from_events, notes_per_time, unpacked
 from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
 from tessitura.sources.files import generation_files
 from tessitura.sources.prompts import ingested
@@ -90,8 +91,7 @@ def count_per_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _density(limit: int):
     def density_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = checked(_sequences(spark, sf_dir), limit)
-        return rows.select("seq_id", F.size("tokens").cast("long").alias("n_tokens"), "status", "ok")
+        return density_of_rows(event_tokens(_table(spark, sf_dir, "events")), limit)
 
     return density_flag
 
@@ -167,11 +167,32 @@ def nucleus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", "step", F.col("token").cast("long").alias("token"), F.round("p", 6).alias("p"), F.col("n_kept").cast("long").alias("n_kept"))
 
 
+def sounding_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as waveforms: what stays of each when silence, 6 decibels below the loudest frame, is cut off at both ends."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "x"))
+    found = sounding(rows, 6.0, 8, 2)
+    return found.select(F.col("id").alias("vec_id"), *(F.col(c).cast("long").alias(c) for c in ("n", "start", "end")))
+
+
+def gated_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings' squares as blocks of a recording for each label, every hundredth almost silent."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("id"), F.posexplode("embedding").alias("i", "x"))
+    x = F.col("x").cast("double")
+    found = gated_rows(rows.select("id", (x * x * F.when(F.col("i") % 100 == 99, 1e-9).otherwise(1.0)).alias("power")))
+    return found.select(F.col("id").alias("label"), "n_blocks", "n_gated", F.round("loudness", 6).alias("loudness"))
+
+
+def midi_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes in each sequence's MIDI file."""
+    files = with_midi(_sequences(spark, sf_dir)).select(F.col("seq_id").cast("string").alias("path"), F.col("midi").alias("content"))
+    return midi_notes(files).select(F.col("path").cast("long").alias("seq_id"), *(F.col(c).cast("long").alias(c) for c in ("time", "dur", "note")))
+
+
 QUERIES = {
     "density_flag_7": _density(7),
     "density_flag_64": _density(64),
     "notes_per_time": count_per_time,
-    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files, nucleus_sample)},
+    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files, nucleus_sample, sounding_part, gated_loudness, midi_read_back)},
 }
 
 _PACKED = """
@@ -279,4 +300,25 @@ k AS (SELECT *, max(upto) OVER (PARTITION BY seq_id, step) AS mass, count(*) OVE
 d AS (SELECT *, row_number() OVER (PARTITION BY seq_id, step ORDER BY upto) AS r FROM k
       WHERE upto > ('0x' || md5('music:' || seq_id || ':' || step)[:13])::BIGINT / 4503599627370496.0 * mass)
 SELECT seq_id, step, id AS token, round(w / mass, 6) AS p, n_kept FROM d WHERE r = 1""",
+    "sounding_part": """
+WITH x AS (SELECT vec_id, len(embedding) AS n, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)),
+s AS (SELECT vec_id, n, i, sum(x * x) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS e FROM x),
+f AS (SELECT vec_id, n, i // 2 AS f, e FROM s WHERE i % 2 = 0
+      UNION ALL SELECT vec_id, n, n // 2, sum(x * x) FILTER (i >= n - 4) FROM x WHERE n % 2 = 0 GROUP BY vec_id, n),
+m AS (SELECT *, max(e) OVER (PARTITION BY vec_id) AS most FROM f),
+b AS (SELECT vec_id, any_value(n) AS n, min(f) FILTER (e > most * 10 ** -0.6) AS a, max(f) FILTER (e > most * 10 ** -0.6) AS z FROM m GROUP BY vec_id)
+SELECT vec_id, CAST(n AS BIGINT) AS n, CAST(least(coalesce(2 * a, 0), n) AS BIGINT) AS start, CAST(least(coalesce(2 * z + 2, 0), n) AS BIGINT) AS "end" FROM b""",
+    "gated_loudness": """
+WITH x AS (SELECT label, CAST(embedding[i + 1] AS DOUBLE) AS x, i FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)),
+p AS (SELECT label, x * x * CASE WHEN i % 100 = 99 THEN 1e-9 ELSE 1 END AS power FROM x),
+g AS (SELECT label, power, -0.691 + 10 * log10(power) > -70 AS loud FROM p WHERE power > 0 UNION ALL SELECT label, power, false FROM p WHERE power <= 0),
+m AS (SELECT *, avg(power) FILTER (loud) OVER (PARTITION BY label) AS mean FROM g)
+SELECT label, count(*) AS n_blocks, count(*) FILTER (loud AND power > mean / 10) AS n_gated, round(-0.691 + 10 * log10(avg(power) FILTER (loud AND power > mean / 10)), 6) AS loudness
+FROM m GROUP BY label""",
+    "midi_read_back": f"""
+WITH {_PACKED},
+note AS (SELECT seq_id, (event_id * 7) % 16512 AS note, h AS a, h + greatest(1, event_id % 1000) AS z FROM e),
+a AS (SELECT seq_id, note, a, row_number() OVER (PARTITION BY seq_id, note ORDER BY a) AS k FROM note),
+z AS (SELECT seq_id, note, z, row_number() OVER (PARTITION BY seq_id, note ORDER BY z) AS k FROM note)
+SELECT seq_id, CAST(a AS BIGINT) AS time, CAST(10000 + least(z - a, 999) AS BIGINT) AS dur, CAST(note + 11000 AS BIGINT) AS note FROM a JOIN z USING (seq_id, note, k)""",
 }
