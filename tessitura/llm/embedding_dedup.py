@@ -1,15 +1,20 @@
 """Near-duplicate embeddings by NN-descent within labels.
 
 Equal vectors are one node. The first neighbour lists come from random hyperplanes: nodes of one label and sign code are
-compared in blocks, in several tables. Rounds of NN-descent follow: every node's neighbours and those that list it are
+compared in blocks, in several tables. Their number follows from the code's width, so that a pair at the threshold meets in no
+table with a chance of MISS at most; a bucket of more than a block is told apart by further signs, and only what they leave
+together is dealt into blocks at random. Rounds of NN-descent follow: every node's neighbours and those that list it are
 compared with each other, and lists keep their best. Lists hold `k` entries, and where these all reach the threshold
-(saturated lists) up to twice, four times ... as many of that kind. One node in `audit` is compared with all nodes of its
-label: of those that link, the aim is the least share whose links all lie in their component; below it, further tables and
-rounds without a floor follow. Where few audited nodes link, or the aim is missed to the last, all nodes are compared with
-all of their label. Links that an audit finds are used. Edges that reach the threshold make components. A link that was seen
-is lost only if both its nodes' lists are saturated, so components are joined over all nodes of saturated lists: these are
-compared block by block, but for blocks too far apart for their radii. At last a component's members are compared in blocks
-of thousands, a strip at a time, and links counted, so no pair becomes a row.
+(saturated lists) up to twice, four times ... as many of that kind. Edges that reach the threshold make components. A link
+that was seen is lost only if both its nodes' lists are saturated, so components are joined over all nodes of saturated lists:
+these are compared block by block, but for blocks too far apart for their radii. At last a component's members are compared in
+blocks of thousands, a strip at a time, and links counted, so no pair becomes a row and none within a component is missed.
+
+Recall is audited, at every size alike: one node in `audit`, and AUDITED at most, is compared with all nodes of its label. Edge
+recall is the share of the links seen there that lie in one component. Below the aim, further tables and rounds without a
+floor follow; if it stays under LEAST_RECALL, that is an error. Links that the audit finds are used. Where few audited nodes
+link, a second audit takes more, up to the same number; a table of which none links is not compared any further. What was
+audited goes to the log, and to `report` if that is given.
 
 Defined results: null, zero, non-finite or partly null vectors and rows without label link with nothing; vectors of
 different dimensions don't link; repeated rows are vectors of their own that link (if valid); a null vec_id is a
@@ -18,7 +23,8 @@ component's id only if no member has one; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +34,19 @@ from pyspark.sql import functions as F
 from tessitura.llm.components import components
 from tessitura.llm.shared import columns, groups, written
 
-THRESHOLD, K, TABLES, ROUNDS = 0.98, 10, 6, 2
+LOG = logging.getLogger(__name__)
+THRESHOLD, K, ROUNDS = 0.98, 10, 2
+#: The chance that a pair at the threshold meets in no table, and the most tables.
+MISS, MOST_TABLES = 1e-4, 64
+#: Signs of a code, and further ones for buckets of more than a block.
+BITS, MORE_BITS = 24, 24
 #: Nodes compared at once, and a bucket's aim.
 BLOCK, BUCKET = 512, 64
 #: Neighbours below this cosine aren't listed or followed in the first rounds.
 FLOOR = 0.9
-#: One node in so many is audited, the recall below which more rounds follow, and the linked nodes needed to judge it.
-AUDIT, AIM, LINKED = 50, 0.99, 30
+#: One node in so many is audited, and so many at most; the edge recall below which more rounds follow, and that below which a
+#: result is refused; the links that are enough to judge it, and how many times more nodes are audited where there are fewer.
+AUDIT, AUDITED, AIM, LEAST_RECALL, ENOUGH, FURTHER = 50, 8192, 0.999, 0.9, 100, 5
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,27 +73,40 @@ def nodes(embeddings: DataFrame) -> DataFrame:
     return alike.select(F.xxhash64("label", "v").alias("c"), "label", F.size("v").alias("dim"), "v", "m", "least")
 
 
-def _coded(node: DataFrame, tables: int, seed: int, bits: dict, usual: int) -> DataFrame:
-    """c, v, g: each node once for every table, with its bucket."""
+def tables_for(width: int, threshold: float, miss: float = MISS) -> int:
+    """Tables of so many signs of which a pair at the threshold shares a bucket in one at least, but for a chance of `miss`."""
+    agree = (1 - np.arccos(threshold) / np.pi) ** width
+    return 1 if agree >= 1 - miss else int(min(MOST_TABLES, np.ceil(np.log(miss) / np.log1p(-agree))))
+
+
+def _coded(node: DataFrame, seed: int, widths: dict, usual: int, threshold: float, tables: int | None) -> DataFrame:
+    """c, label, dim, v, t, code, rest: each node once for every table of its label, with its bucket and further signs."""
     label = dict(node.dtypes)["label"]
+    number = {w: tables or tables_for(w, threshold) for w in {usual, *widths.values()}}
+    most = max(number.values())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             dim = batch.column(2).to_numpy()
             for d in np.unique(dim).tolist():
-                own = batch.filter(pa.array(dim == d))
+                of = batch.filter(pa.array(dim == d))
                 if d not in planes:
-                    planes[d] = np.random.default_rng(seed).normal(size=(d, tables * 24))
-                x, _ = matrix(own.column(3))
-                signs = (x @ planes[d]).reshape(len(x), tables, 24) > 0
-                width = np.array([bits.get(b, usual) for b in own.column(1).to_pylist()])
-                signs &= (np.arange(24)[None, :] < width[:, None])[:, None, :]
-                code = (signs << np.arange(24)).sum(axis=2)
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), own.column(3), pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t].astype(np.int64))], ["c", "label", "dim", "v", "t", "code"])
-
-    return node.select("c", "label", "dim", "v").mapInArrow(work, f"c long, label {label}, dim int, v array<float>, t int, code long")
+                    planes[d] = np.random.default_rng(seed).normal(size=(d, most, BITS + MORE_BITS))
+                x, _ = matrix(of.column(3))
+                width = np.array([widths.get(b, usual) for b in of.column(1).to_pylist()], np.int64)
+                last = np.array([number[w] for w in width.tolist()], np.int64)
+                for t in range(most):
+                    some = np.flatnonzero(last > t)
+                    if not len(some):
+                        break
+                    own = of.take(pa.array(some))
+                    signs = x[some] @ planes[d][:, t] > 0
+                    inside = np.arange(BITS)[None, :] < width[some][:, None]
+                    code, rest = ((s << np.arange(s.shape[1])).sum(axis=1).astype(np.int64) for s in (signs[:, :BITS] & inside, signs[:, BITS:]))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), own.column(3), pa.array(np.full(len(some), t, np.int32)), pa.array(code), pa.array(rest)], ["c", "label", "dim", "v", "t", "code", "rest"])
+
+    return node.select("c", "label", "dim", "v").mapInArrow(work, f"c long, label {label}, dim int, v array<float>, t int, code long, rest long")
 
 
 EDGE = "u long, w long, s double"
@@ -92,12 +117,18 @@ def _edge_batch(u: list[np.ndarray], w: list[np.ndarray], s: list[np.ndarray]) -
 
 
 def _bucket_lists(coded: DataFrame, k: int, floor: float) -> DataFrame:
-    """Of the best `k` of each node in its block of a bucket, those that reach the floor. Larger buckets are dealt into blocks
-    at random. What a node is listed by in a block, but doesn't list, is no better than all it lists there."""
-    bucket = F.xxhash64("label", "dim", "t", "code")
-    coded = written(coded.withColumn("b", bucket), "coded")
-    large = coded.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    dealt = coded.join(large, "b", "left").select("c", "v", F.xxhash64("b", F.pmod(F.xxhash64("c", "t"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK))).alias("g"))
+    """Of the best `k` of each node in its block of a bucket, those that reach the floor. Larger buckets are told apart by so
+    many further signs as would leave a block, and what is still larger is dealt into blocks at random. What a node is
+    listed by in a block, but doesn't list, is no better than all it lists there."""
+    coded = written(coded.withColumn("b", F.xxhash64("label", "dim", "t", "code")), "coded")
+
+    def large(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+
+    signs = F.least(F.ceil(F.log2(F.col("n") / BLOCK)).cast("int"), F.lit(MORE_BITS))
+    finer = F.xxhash64("b", F.pmod(F.col("rest"), F.pow(F.lit(2.0), signs).cast("long")))
+    split = coded.join(large(coded), "b", "left").select("c", "v", "t", F.when(F.col("n").isNull(), F.col("b")).otherwise(finer).alias("b"))
+    dealt = split.join(large(split), "b", "left").select("c", "v", F.xxhash64("b", F.pmod(F.xxhash64("c", "t"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK))).alias("g"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, w, s, held = [], [], [], 0
@@ -261,12 +292,13 @@ def _joined(node: DataFrame, lists: DataFrame, links: DataFrame, k: int, thresho
     return found, links
 
 
-def _audited(node: DataFrame, found: DataFrame, step: int, threshold: float) -> DataFrame:
-    """c, w of every audited node c (one in `step`) that links: w null where its links lie in its component, and else for each
-    other component (and block) a node it links to there. Audited nodes and nodes of a label are compared block by block."""
+def _audited(node: DataFrame, found: DataFrame, step: int, part: int, threshold: float) -> DataFrame:
+    """c, w, n of every audited node c (one in `step`, the part-th of `step`) that links: w is null, and n the number of links, for
+    those in its component; for each other component (and block), w is a node that it links to there. Audited nodes and
+    nodes of a label are compared block by block."""
     label = found.select(F.col("node").alias("c"), "component")
     rows = node.select("c", "label", "dim", "v").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    rows = rows.withColumn("asked", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(step)) == 0)
+    rows = rows.withColumn("asked", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(step)) == part)
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     size = rows.groupBy("label", "dim").agg(blocks(F.count_if("asked"), BLOCK).alias("n"), blocks(F.count("*"), 8 * BLOCK).alias("m"))
     rows = rows.join(size.where("n > 0"), ["label", "dim"])
@@ -285,13 +317,15 @@ def _audited(node: DataFrame, found: DataFrame, step: int, threshold: float) ->
             c, d = a["c"].to_numpy(), b["c"].to_numpy()
             i, j = np.nonzero((cosines(matrix(a["v"]), matrix(b["v"])) >= threshold) & (c[:, None] != d[None, :]))
             x, y = a["component"].to_numpy()[i], b["component"].to_numpy()[j]
-            whole, lost = np.unique(i[x == y]), x != y
-            _, one = np.unique(np.stack([i[lost], y[lost]]), axis=1, return_index=True)
+            whole, times = np.unique(i[x == y], return_counts=True)
+            lost = x != y
+            _, one, more = np.unique(np.stack([i[lost], y[lost]]), axis=1, return_index=True, return_counts=True)
             u = np.concatenate([c[whole], c[i[lost][one]]])
             w = np.concatenate([np.zeros(len(whole), np.int64), d[j[lost][one]]])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w, mask=np.arange(len(w)) < len(whole))], ["c", "w"])
+            n = np.concatenate([times, more]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w, mask=np.arange(len(w)) < len(whole)), pa.array(n)], ["c", "w", "n"])
 
-    return _together(both).mapInArrow(work, "c long, w long")
+    return _together(both).mapInArrow(work, "c long, w long, n long")
 
 
 def _counted(node: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -333,41 +367,58 @@ def _counted(node: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return _together(rows).mapInArrow(work, "c long, n long").groupBy("c").agg(F.sum("n").alias("links"))
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS, audit: int = AUDIT, aim: float = AIM) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each vector. `audit` 0 is for no audit."""
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int | None = None, rounds: int = ROUNDS, audit: int = AUDIT, aim: float = AIM, report: Callable[[dict], None] | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each vector. `tables` None is for so many as MISS asks for, `audit` 0 for no audit;
+    `report` gets each audit's attempt, nodes (compared), links (seen), lost (of them, those between components), recall."""
     node = written(nodes(embeddings), "nodes")
     sizes = node.groupBy("label").count().orderBy(F.desc("count")).limit(10_000).collect()
-    width = lambda n: int(np.clip(np.ceil(np.log2(max(1, n / BUCKET))), 0, 24))
-    bits = {r["label"]: width(r["count"]) for r in sizes}
+    width = lambda n: int(np.clip(np.ceil(np.log2(max(1, n / BUCKET))), 0, BITS))
+    widths = {r["label"]: width(r["count"]) for r in sizes}
     usual = width(sizes[-1]["count"]) if sizes else 0  # of labels beyond the ten thousand largest
-
-    def audited(step: int) -> tuple[DataFrame, int, int]:
-        """The links that an audit adds, the nodes that link, and those of them that had lost any."""
-        seen = written(_audited(node, found, step, threshold), "audit")
-        row = seen.groupBy("c").agg(F.count("w").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("w") > 0).alias("k")).first()
-        return seen.where("w is not null").select(F.col("c").alias("a"), F.col("w").alias("b")), row["n"], row["k"]
-
-    lists = None
-    for attempt in range(3):
+    total = node.count()
+
+    def audited(attempt: int) -> tuple[list[DataFrame], float]:
+        """The links that an audit adds, and the edge recall (1 where no links were seen)."""
+        step, seen, links, lost, asked = max(audit, -(-total // AUDITED)), [], 0, 0, 0
+        for part in range(FURTHER):
+            # Other nodes at each attempt: links of those before are known by now.
+            table = written(_audited(node, found, step, (attempt * FURTHER + part) % step, threshold), "audit")
+            row = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.col("n"))), F.lit(0))).first()
+            seen.append(table.where("w is not null").select(F.col("c").alias("a"), F.col("w").alias("b")))
+            links, lost, asked = links + row[0], lost + row[1], asked + 1
+            if links >= ENOUGH or part + 1 >= step:
+                break
+        told = {"attempt": attempt, "nodes": total * asked // step, "links": links, "lost": lost, "recall": 1 - lost / links if links else None}
+        LOG.info("audit %s", told)
+        if report:
+            report(told)
+        return seen if lost else [], 1 - lost / links if links else 1.0
+
+    lists, more = None, []
+    for attempt in range(4):
         floor = min(FLOOR, threshold) if attempt == 0 else -1.0
-        fresh = _bucket_lists(_coded(node, tables, 7 + attempt, bits, usual), k, floor)
+        fresh = _bucket_lists(_coded(node, 7 + attempt, widths, usual, threshold, tables and tables << attempt), k, floor)
         lists = written(_best(fresh if lists is None else fresh.union(lists), k, 2 * k, threshold), "lists")
         for r in range(1, rounds + 1):
-            more = _descent(lists, node, k, k << r, floor)
-            lists = written(_best(lists.union(more), k, k << (r + 1), threshold), "lists")
+            further = _descent(lists, node, k, k << r, floor)
+            lists = written(_best(lists.union(further), k, k << (r + 1), threshold), "lists")
         links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b"))
+        for table in more:  # what earlier audits have seen
+            links = links.union(table)
         found, links = _joined(node, lists, links, k, threshold)
         if not audit:
             break
-        more, linked, lost = audited(audit)
-        met = linked - lost >= aim * linked
-        if linked < LINKED or (attempt == 2 and not met):
-            more, _, lost = audited(1)
-            met = True
-        if met:
-            if lost:
-                found = written(components(links.union(more)), "found")
+        added, recall = audited(attempt)
+        more += added
+        if recall >= aim:
             break
+    else:
+        if recall < LEAST_RECALL:
+            raise RuntimeError(f"an edge recall of {recall:.3f} was measured; {LEAST_RECALL} is needed")
+    if more:
+        for table in more:
+            links = links.union(table)
+        found = written(components(links), "found")
 
     counted = _counted(node, found, threshold)
     label = node.select("c", "m", "least").join(found, F.col("c") == F.col("node"), "left").join(counted, "c", "left")

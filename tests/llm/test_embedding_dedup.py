@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tessitura.llm.embedding_dedup import near_duplicates
+from tessitura.llm.embedding_dedup import AUDIT, ENOUGH, FURTHER, near_duplicates, tables_for
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
@@ -72,17 +72,70 @@ def test_linked_families_join(spark):
     assert {x.component_id for x in got} == {0} and {x.n_links for x in got} == {259}
 
 
-def test_rare_pairs_are_audited(spark):
-    """Ten linked pairs among 3,000 vectors, of which one table of signs without descent misses some."""
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(3000, 32))
+def spread(rng, n, dim, pairs, angle):
+    """Unit vectors, of which the first come in pairs at the angle."""
+    x = rng.normal(size=(n, dim))
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    for k in range(0, 20, 2):
+    for k in range(0, 2 * pairs, 2):
         turn = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
-        x[k + 1] = math.cos(0.195) * x[k] + math.sin(0.195) * turn / np.sqrt(turn @ turn)
-    docs = spark.createDataFrame([(k, [float(y) for y in v], 1, "x") for k, v in enumerate(x)], SCHEMA).repartition(4)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(docs, tables=1, rounds=0).collect()}
-    assert got == {k: (1, k // 2 * 2) if k < 20 else (0, k) for k in range(3000)}
+        x[k + 1] = math.cos(angle) * x[k] + math.sin(angle) * turn / np.sqrt(turn @ turn)
+    return x
+
+
+def table(spark, x):
+    return spark.createDataFrame([(k, [float(y) for y in v], 1, "x") for k, v in enumerate(x)], SCHEMA).repartition(4)
+
+
+def test_rare_pairs(spark):
+    """Thirty linked pairs, all alone, among 6,000 vectors, found without comparing all."""
+    told = []
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(table(spark, spread(np.random.default_rng(7), 6000, 32, 30, 0.195)), report=told.append).collect()}
+    assert got == {k: (1, k // 2 * 2) if k < 60 else (0, k) for k in range(6000)}
+    assert sum(t["nodes"] for t in told) <= 6000 * FURTHER // AUDIT
+
+
+def test_vectors_without_links_are_not_all_compared(spark):
+    told = []
+    got = near_duplicates(table(spark, spread(np.random.default_rng(8), 10_000, 32, 0, 0)), report=told.append)
+    assert got.where("n_links > 0 or not kept").count() == 0
+    assert len(told) == 1 and told[0] == {"attempt": 0, "nodes": 10_000 * FURTHER // AUDIT, "links": 0, "lost": 0, "recall": None}
+
+
+def test_low_recall_is_seen_and_mended(spark):
+    """One table without descent misses pairs; audits see that, further attempts find more, and what audits see is used."""
+    told = []
+    x = spread(np.random.default_rng(9), 4000, 32, 1900, 0.195)
+    rows = near_duplicates(table(spark, x), tables=1, rounds=0, audit=10, report=told.append).collect()
+    assert told[0]["recall"] < 0.9 < told[-1]["recall"] and len(told) > 1 and told[0]["links"] >= ENOUGH
+    assert sum(r.n_links for r in rows) > 0.9 * 3800
+
+
+def test_low_recall_is_refused(spark, monkeypatch):
+    from tessitura.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "_bucket_lists", lambda coded, k, floor: coded.sparkSession.createDataFrame([], embedding_dedup.EDGE))
+    with pytest.raises(RuntimeError, match="edge recall of 0"):
+        near_duplicates(table(spark, spread(np.random.default_rng(10), 1000, 16, 400, 0.1)), rounds=0)
+
+
+def test_number_of_tables():
+    for width in (0, 1, 7, 16, 24):
+        n = tables_for(width, 0.98)
+        miss = lambda m: (1 - (1 - math.acos(0.98) / math.pi) ** width) ** m
+        assert miss(n) <= 1e-4 and (n == 1 or miss(n - 1) > 1e-4)
+
+
+def test_uneven_signs(spark):
+    """All vectors lie in a narrow cone, so most signs agree and buckets are large; pairs are told apart by further signs."""
+    rng = np.random.default_rng(12)
+    x = spread(rng, 4000, 48, 100, 0.19) + 3.0 * np.eye(48)[0]
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    rows = [(k, [float(y) for y in v], 1) for k, v in enumerate(x)]
+    sim = (np.array(x, np.float32).astype(float) @ np.array(x, np.float32).astype(float).T) / np.outer(*[np.sqrt((np.array(x, np.float32).astype(float) ** 2).sum(1))] * 2)
+    linked = (sim >= 0.997).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in near_duplicates(table(spark, x), threshold=0.997).collect()}
+    assert len(rows) == len(got) and linked.sum() >= 200
+    assert sum(got.values()) >= 0.99 * linked.sum() and all(got[k] <= linked[k] for k in got)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0], 5)], [(1, None, None)]])
