@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.line_quality import lines
-from tessitura.llm.shared import MEETINGS, apart, columns, digits, discard, meetings, text_blocks, written
+from tessitura.llm.shared import MEETINGS, apart, columns, digits, discard, held, meetings, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, Sequences, hashed_words, mix
 
 #: At five words, one word apart is still 0.8 similar.
@@ -129,24 +130,24 @@ def keepers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> tuple[DataFrame, list[DataFrame]]:
-    """doc_id, mark (hash of the text), line, near: the lines that go, `near` telling those without an equal earlier one;
-    and the written tables that this reads, for `discard` once it has been."""
-    rows = written(_line_rows(documents, least_words), "lines")
+    """doc_id, mark (hash of the text), line, near: the lines that go, `near` telling those without an equal earlier one; and
+    the tables that this reads, to be released once it has been read: held ones, and a written one at last."""
+    rows = _line_rows(documents, least_words).persist(StorageLevel.DISK_ONLY)
     distinct = rows.groupBy("h", "k0").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
-    distinct = written(distinct, "distinct")
+    distinct = held(distinct)
 
     # Lines that share a half with a different line; and those that occur more than once.
     halves = distinct.where(F.col("n") >= near_words).select(F.explode(F.array("k0", "k1", "k2")).alias("key"), F.col("h").alias("class"), F.lit(0).alias("n"))
     meet = halves.repartition("key").sortWithinPartitions("key", "class").mapInArrow(meetings, MEETINGS)
     meet = meet.select(F.col("class").alias("h")).distinct().withColumn("asked", F.lit(True))
     flagged = distinct.join(meet, "h", "left").where("times > 1 or asked").select("h", "k0", F.coalesce("asked", F.lit(False)).alias("asked"))
-    lines_of = written(rows.select("doc_id", "mark", "line", "h", "k0").join(flagged, ["h", "k0"]), "candidates")
+    lines_of = held(rows.select("doc_id", "mark", "line", "h", "k0").join(flagged, ["h", "k0"]))
     for table in (rows, distinct):
-        discard(table)
+        table.unpersist()
 
     # Candidates are numbered in order, so a line is eight bytes from here on.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line")
-    first = written(lines_of.groupBy("h", "k0").agg(F.min(place).alias("first"), F.first("asked").alias("asked")), "first")
+    first = held(lines_of.groupBy("h", "k0").agg(F.min(place).alias("first"), F.first("asked").alias("asked")))
     numbered = written(first.where("asked").orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h", "k0", "first"), "numbered")
     asked = numbered.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_k"), F.col("first.mark").alias("_mark"), F.col("first.line").alias("line"), "id")
     asked = asked.groupBy("_k", "_mark").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
@@ -171,7 +172,7 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_wo
                     words = [raw[starts[k[i]] : ends[k[i]]].decode("utf-8", "replace") if q < 0 else None for i, q in zip(of[x:y].tolist(), p[x:y].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(v[x:y].view(np.int64)), pa.array(p[x:y].astype(np.int32)), pa.array(own[of[x:y]]), pa.array(words, pa.string())], ["v", "p", "id", "text"])
 
-    found = written(texts.join(asked, ["_k", "_mark"]).dropDuplicates(["_k", "_mark"]).select("text", "asked").mapInArrow(neighbourhoods, "v long, p int, id long, text string"), "neighbourhoods")
+    found = held(texts.join(asked, ["_k", "_mark"]).dropDuplicates(["_k", "_mark"]).select("text", "asked").mapInArrow(neighbourhoods, "v long, p int, id long, text string"))
     meet = found.select("v", "p", "id").repartition("v").sortWithinPartitions("v", "p", "id").mapInArrow(keepers, "id long, keeper long")
     pairs = meet.groupBy("id").agg(F.min("keeper").alias("other"))
 
@@ -186,20 +187,18 @@ def repeated_lines(documents: DataFrame, least_words: int = LEAST_WORDS, near_wo
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["id"])
 
     gone = numbered.select("id", "h", "k0").join(both.mapInArrow(verify, "id long"), "id").select("h", "k0", F.lit(True).alias("near"))
-    gone = written(gone, "near")
-    discard(found)
-    discard(numbered)
     again = first.select("h", "k0", "first").join(gone, ["h", "k0"], "left")
     out = lines_of.join(again, ["h", "k0"]).where(F.col("near") | (place != F.col("first")))
-    return out.select("doc_id", "mark", "line", (place == F.col("first")).alias("near")), [lines_of, first, gone]
+    return out.select("doc_id", "mark", "line", (place == F.col("first")).alias("near")), [lines_of, first, found, numbered]
 
 
 def deduplicated(documents: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS, counts: bool = False) -> DataFrame:
     """The documents with their repeated lines taken out; with `counts` also n_lines, n_equal, n_near of each."""
     gone, tables = repeated_lines(documents, least_words, near_words)
     gone = written(gone.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("line", "near")).alias("_gone")), "gone")
-    for table in tables:
-        discard(table)
+    for table in tables[:-1]:
+        table.unpersist()
+    discard(tables[-1])
     names = documents.columns
     own = documents.select(*[F.col(f"`{n}`").alias(f"_{k}") for k, n in enumerate(names)], *_keyed(documents)).join(gone, ["_k", "_mark"], "left")
     own = own.select(*[f"_{k}" for k in range(len(names))], "_gone")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """`df` worked out once and held on the executors' disks, until `unpersist`; what a lost executor held is worked out again.
+    For tables that are read more than once within an operator: unlike `written` it makes no files of its own, but its lineage
+    goes on, so rows must not depend on how often they are worked out."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so further columns of any name can't clash with those an operator adds."""
     return df.select(*[df[f"`{n}`"] for n in names])
