@@ -6,6 +6,12 @@ frequency: tens of thousands, so ordinary prose after "the password is" is cheap
 Dynamic programming finds the cheapest cut, in decimal digits of guesses; values of at least `MIN_GUESSES` digits are
 secrets of kind `guess`. Values of any length are taken whole: the work is linear in their length.
 
+Guesses alone don't tell a secret from a rare word, so before its cost counts, a value is read as text: of an address
+(scheme://...) each part is judged alone; and a value of fewer than `PHRASE` words, cut at punctuation and where small letters
+meet capitals, is prose, as is one that names itself a placeholder. A part is a word if it is in the vocabulary, or if its
+letters follow each other about as in the vocabulary's words (a chain of letter pairs, in digits a letter) and it has fewer
+than `LONG_WORD` of them; digits make no word.
+
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows are scanned
 each; further columns are ignored.
 """
@@ -40,6 +46,14 @@ _WORD = re.compile(rb"pass(?:word|wd|phrase|code)|pwd|secret|token|api_?key|cred
 _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
 
+#: From so many words on a value is a passphrase; from so many letters on, a part that isn't in the vocabulary is no word; and the
+#: most digits of guesses a letter that a word's letters take.
+PHRASE, LONG_WORD, LETTER = 4, 16, 1.35
+#: Words by which a value says that it stands for another.
+PLACEHOLDERS = frozenset("your example sample dummy placeholder changeme insert replace here redacted hidden todo none null".split())
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+_PARTS = re.compile(r"[^\W\d_]+|\d+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Common words of passwords, commonest first.
 COMMON = (
     "password admin welcome login qwerty letmein monkey dragon master sunshine princess football baseball shadow superman "
@@ -74,6 +88,42 @@ def _longest(vocabulary: str) -> int:
     return max(map(len, _ranks(vocabulary)))
 
 
+@cache
+def _pairs(vocabulary: str) -> dict[str, float]:
+    """Digits of guesses of a letter after another (a space before the first), from the vocabulary's words."""
+    counts: dict[str, int] = {}
+    for word in _ranks(vocabulary):
+        for pair in zip(" " + word, word, strict=False):
+            for key in ("".join(pair), pair[0]):
+                counts[key] = counts.get(key, 0) + 1
+    return {key: log10((counts[key[0]] + 26) / (n + 1)) for key, n in counts.items() if len(key) == 2}
+
+
+def is_word(part: str, vocabulary: str = VOCABULARY) -> bool:
+    """Whether letters are a word of the vocabulary, or could be one."""
+    low = part.lower()
+    if low in _ranks(vocabulary):
+        return True
+    pairs = _pairs(vocabulary)
+    return 3 <= len(low) < LONG_WORD and sum(pairs.get(a + b, 2.5) for a, b in zip(" " + low, low, strict=False)) <= LETTER * len(low)
+
+
+def is_prose(value: str, vocabulary: str = VOCABULARY) -> bool:
+    """Whether a value is fewer words than a passphrase, or a placeholder."""
+    parts = [x for part in _PARTS.findall(value) for x in _CAMEL.split(part)]
+    if not parts or not all(x.isalpha() and (len(x) < 3 or is_word(x, vocabulary)) for x in parts):
+        return False
+    short = sum(len(x) < 3 for x in parts)
+    return short * 2 <= len(parts) and (len(parts) - short < PHRASE or any(x.lower() in PLACEHOLDERS for x in parts))
+
+
+def value_cost(value: str, vocabulary: str = VOCABULARY) -> float:
+    """The digits of guesses of a value; 0 where it is prose. An address counts as its costliest part."""
+    if _ADDRESS.match(value):
+        return max((value_cost(x, vocabulary) for x in re.split(r"[/?&=#:@.]+", value) if len(x) >= MIN_VALUE), default=0.0)
+    return 0.0 if is_prose(value, vocabulary) else guess_cost(value, vocabulary=vocabulary)[0]
+
+
 @cache
 def _keys() -> dict[str, tuple[float, int]]:
     """Where keys lie; each row is half a key to the right of the one above."""
@@ -194,7 +244,7 @@ def guessed_spans(text: str, least: float = MIN_GUESSES, vocabulary: str = VOCAB
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?)]}")
-        if len(value) >= MIN_VALUE and (cost := guess_cost(value, vocabulary=vocabulary)[0]) >= least:
+        if len(value) >= MIN_VALUE and (cost := value_cost(value, vocabulary)) >= least:
             out.append((m.start(1), 3, m.start(1) + len(value), cost))
     return out
 
