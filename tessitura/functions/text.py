@@ -32,5 +32,15 @@ def output_path(root: Column, output_idx: Column, kind: str = "mid") -> Column:
     return F.format_string(f"%s/gen_%d.{kind}", root, output_idx)
 
 
-def prompt_directory(stamp: str, prompt_idx: Column) -> Column:
-    return F.format_string("%s_prompt_%d", F.lit(stamp), prompt_idx)
+def prompt_directory(stamp: str | Column, prompt_idx: Column) -> Column:
+    return F.format_string("%s_prompt_%d", F.lit(stamp) if isinstance(stamp, str) else stamp, prompt_idx)
+
+
+def session_stamp(at: Column) -> Column:
+    """The name of a session's folder, from its beginning."""
+    return F.date_format(at, "yyyy-MM-dd_HHmmss")
+
+
+def prompt_stamp(at: Column) -> Column:
+    """The beginning of a prompt's directory."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")

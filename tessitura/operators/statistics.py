@@ -26,6 +26,14 @@ def failures_as_requested(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("prompt_idx").agg((F.max("requested") - F.count_if("ok")).cast("long").alias("failed_generations"))
 
 
+def run_times(outcomes: DataFrame, *group: str) -> DataFrame:
+    """`group`, began, total_time: a run's first beginning and the seconds from it to the last end, for outcomes with began
+    (timestamp) and secs; those without either don't count."""
+    known = outcomes.where("began is not null and secs is not null")
+    start = F.unix_micros(F.col("began").cast("timestamp")) / 1e6
+    return known.groupBy(*group).agg(F.min("began").alias("began"), (F.max(start + F.col("secs")) - F.min(start)).alias("total_time"))
+
+
 def output_files(outcomes: DataFrame, group: str) -> DataFrame:
     """`group`, files: paths of good outputs, in order of prompt and output, MIDI before audio."""
     rank = F.when(F.col("path").endswith(".mid"), 0).otherwise(1)

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import file_kind, prompt_directory, swapped_suffix, templated
+from tessitura.functions.text import file_kind, output_path, prompt_directory, prompt_stamp, session_stamp, swapped_suffix, templated
 from tessitura.functions.tokens import all_allowed, limited, peak, shifted, unshifted, with_begin, without_prompt
 from tessitura.operators.matching import matched, split
 from tessitura.operators.audio import gated_rows, sounding
 from tessitura.operators.midi import midi_notes, with_midi
 from tessitura.operators.sampling import sampled
 from tessitura.operators.notes import checked, density_of_rows, event_tokens, from_events, notes_per_time, unpacked
-from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
+from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics, run_times
 from tessitura.sources.files import generation_files
-from tessitura.sources.prompts import ingested
+from tessitura.sources.prompts import ids_in, ingested
 
 PREFIX = "Describe the music: "
 
@@ -188,11 +188,38 @@ def midi_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return midi_notes(files).select(F.col("path").cast("long").alias("seq_id"), *(F.col(c).cast("long").alias(c) for c in ("time", "dur", "note")))
 
 
+def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each event's output would lie: its session's folder, its prompt's directory and its file, by time and user."""
+    rows = _table(spark, sf_dir, "events")
+    directory = prompt_directory(prompt_stamp(F.col("ts")), F.col("user_id") + 1)
+    return rows.select("event_id", F.concat_ws("/", session_stamp(F.col("ts")), output_path(directory, F.col("event_id"))).alias("path"))
+
+
+def evaluation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of documents as lines of an id file: some in capitals, some padded, some cut off, some longer."""
+    k, own = F.col("doc_id"), F.md5("text")
+    line = F.when(k % 7 == 1, F.upper(own)).when(k % 7 == 2, F.concat(F.lit("\t"), own, F.lit("\u2003\r"))).when(k % 7 == 3, F.substring(own, 1, 31)).when(k % 7 == 4, F.concat(own, F.lit("0"))).otherwise(own)
+    return ids_in(_table(spark, sf_dir, "documents").select(line.alias("value")))
+
+
+def session_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seconds that each user's events take, from the first one's beginning to the last end."""
+    rows = _table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("began"), F.col("value").alias("secs"))
+    return run_times(rows, "user_id").select("user_id", F.round("total_time", 3).alias("total_time"))
+
+
+def validation_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and rejected sequences with the density rule and without it."""
+    rows = _sequences(spark, sf_dir)
+    both = checked(rows, 7).withColumn("validated", F.lit(True)).union(checked(rows, 7, validate=False).withColumn("validated", F.lit(False)))
+    return both.groupBy("validated", "status").agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
 QUERIES = {
     "density_flag_7": _density(7),
     "density_flag_64": _density(64),
     "notes_per_time": count_per_time,
-    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files, nucleus_sample, sounding_part, gated_loudness, midi_read_back)},
+    **{f.__name__: f for f in (prompt_ingest, prompt_template, token_shift, prompt_removed, allowed_vocab, triple_unpack, generation_stats, failure_counts, output_listing, output_kinds, wave_peak, text_id_match, eval_split, density_status, stats_json, midi_bytes, run_files, nucleus_sample, sounding_part, gated_loudness, midi_read_back, output_paths, evaluation_ids, session_times, validation_switch)},
 }
 
 _PACKED = """
@@ -321,4 +348,15 @@ note AS (SELECT seq_id, (event_id * 7) % 16512 AS note, h AS a, h + greatest(1,
 a AS (SELECT seq_id, note, a, row_number() OVER (PARTITION BY seq_id, note ORDER BY a) AS k FROM note),
 z AS (SELECT seq_id, note, z, row_number() OVER (PARTITION BY seq_id, note ORDER BY z) AS k FROM note)
 SELECT seq_id, CAST(a AS BIGINT) AS time, CAST(10000 + least(z - a, 999) AS BIGINT) AS dur, CAST(note + 11000 AS BIGINT) AS note FROM a JOIN z USING (seq_id, note, k)""",
+    "output_paths": """
+SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M%S') || '/' || strftime(ts, '%Y%m%d_%H%M%S') || '_prompt_' || (user_id + 1) || '/gen_' || event_id || '.mid' AS path FROM events""",
+    "evaluation_ids": "SELECT DISTINCT md5(text) AS id FROM documents WHERE text IS NOT NULL AND doc_id % 7 IN (0, 2, 5, 6)",
+    "session_times": """
+SELECT user_id, round(max(epoch_us(ts) / 1e6 + value) - min(epoch_us(ts) / 1e6), 3) AS total_time FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY user_id""",
+    "validation_switch": f"""
+WITH {_PACKED},
+c AS (SELECT seq_id, token, count(*) AS n FROM tok WHERE pos % 3 = 0 GROUP BY ALL),
+s AS (SELECT seq_id, CASE WHEN max(n) > 7 THEN 'excessive' ELSE 'pass' END AS status FROM c GROUP BY seq_id)
+SELECT validated, status, count(*) FILTER (status = 'pass' OR NOT validated) AS good, count(*) FILTER (status <> 'pass' AND validated) AS rejected
+FROM s, (SELECT unnest([true, false]) AS validated) GROUP BY ALL""",
 }

@@ -30,9 +30,7 @@ def produce(spark: SparkSession, prompts: DataFrame, folder: str, stamp: str, va
     """Writes <folder>/<stamp>_prompt_<i>/ and returns the counts and the average time. Generated rows are checked and rendered
     once, written to a folder of their own, and that is removed at the end. Before, `use` gets the counts and two tables:
     (prompt_idx, secs) of the timed prompts, and (prompt_idx, output_idx, rank, path) of the files."""
-    outputs = checked(generated(prompts, **options))
-    if not validate:
-        outputs = outputs.withColumn("ok", F.lit(True))
+    outputs = checked(generated(prompts, **options), validate=validate)
     if renderer:
         outputs = with_audio(with_midi(outputs), renderer)
     work = f"{folder}/_work-{uuid.uuid4().hex}"

@@ -48,9 +48,14 @@ def ingested(rows: DataFrame, order: str, text: str) -> DataFrame:
     return rows.select(order, strip(F.col(text)).alias("prompt")).where("prompt <> ''")
 
 
+def ids_in(lines: DataFrame, text: str = "value") -> DataFrame:
+    """id: the lines of 32 hexadecimal digits in small letters, without white space around them, each once."""
+    return lines.select(strip(F.col(text)).alias("id")).where(F.col("id").rlike(r"\A[0-9a-f]{32}\z")).distinct()
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """id: the 32-digit hexadecimal lines of a text file, each once."""
-    return spark.read.text(path).select(strip(F.col("value")).alias("id")).where(F.col("id").rlike("^[0-9a-f]{32}$")).distinct()
+    """id: those of a text file."""
+    return ids_in(spark.read.text(path))
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:

@@ -70,9 +70,7 @@ def batch_files(root: str, stamp: str, name: str = "stream", validate: bool = Tr
         store.delete(work)  # of an attempt that ended with its session
         try:
             prompts = materialised(batch.withColumn("row", F.monotonically_increasing_id()), f"{store.root}/{work}")
-            outputs = checked(generated(prompts.select(F.col("row").alias("prompt_idx"), "prompt"), **options))
-            if not validate:
-                outputs = outputs.withColumn("ok", F.lit(True))
+            outputs = checked(generated(prompts.select(F.col("row").alias("prompt_idx"), "prompt"), **options), validate=validate)
             outputs = materialised(outputs, f"{store.root}/{work}").withColumnRenamed("prompt_idx", "row").join(prompts, "row")
             place = F.concat(session_folder(F.col("session")), F.lit("/"), prompt_directory(stamp, F.col("prompt_idx")))
             write_files(generation_files(with_midi(outputs).withColumn("directory", place)), root, mark)

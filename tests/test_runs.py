@@ -8,7 +8,7 @@ from tessitura.operators.audio import levelled, loudness, samples_of, trimmed, w
 from tessitura.operators.generation import HashGenerator, generated, materialised
 from tessitura.operators.matching import matched, split
 from tessitura.operators.midi import with_midi
-from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics
+from tessitura.operators.statistics import failures_as_requested, output_files, run_statistics, run_times
 from tessitura.plans.run import arguments, main, run
 from tessitura.plans.session import session
 from tessitura.sources.prompts import audio_files, chosen, given, id_list, lines_of, require_file
@@ -53,6 +53,13 @@ def test_statistics(spark):
     assert tuple(run_statistics(out.limit(0)).first()) == (0, 0, 0, 0, 0.0)
 
 
+def test_run_times(spark):
+    rows = [("a", datetime(2025, 1, 1, 10, 0, 0), 5.0), ("a", datetime(2025, 1, 1, 10, 0, 2), 1.5), ("b", datetime(2025, 1, 1, 9, 0, 0), 0.25), ("b", None, 9.0), ("b", datetime(2025, 1, 1, 8, 0, 0), None), ("c", None, None)]
+    out = spark.createDataFrame(rows, "run string, began timestamp, secs double")
+    assert {r.run: r.total_time for r in run_times(out, "run").collect()} == {"a": 5.0, "b": 0.25}
+    assert run_times(out.limit(0), "run").count() == 0
+
+
 def test_matching(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "id long, text string"), spark.createDataFrame([(1, b"m"), (3, b"n")], "id long, midi binary")
     assert [r.id for r in matched(a, b).collect()] == [1]
