@@ -277,6 +277,8 @@ def _joined(node: DataFrame, lists: DataFrame, links: DataFrame, k: int, thresho
     the nearest pieces are compared first, and all others only if these leave them apart."""
     found = written(components(links), "found")
     pieces = written(_pieces(node, lists, found, k, threshold), "pieces")
+    if pieces.first() is None:
+        return found, links
     close = written(_close(_balls(pieces), threshold), "close")
     nearest = close.groupBy("x", "y").agg(F.min(F.struct("angle", "a", "b")).alias("p")).select("p.a", "p.b")
     for final in (False, True):
@@ -292,13 +294,13 @@ def _joined(node: DataFrame, lists: DataFrame, links: DataFrame, k: int, thresho
     return found, links
 
 
-def _audited(node: DataFrame, found: DataFrame, step: int, part: int, threshold: float) -> DataFrame:
-    """c, w, n of every audited node c (one in `step`, the part-th of `step`) that links: w is null, and n the number of links, for
+def _audited(node: DataFrame, found: DataFrame, step: int, parts: list[int], threshold: float) -> DataFrame:
+    """c, w, n of every audited node c (of `step` parts these) that links: w is null, and n the number of links, for
     those in its component; for each other component (and block), w is a node that it links to there. Audited nodes and
     nodes of a label are compared block by block."""
     label = found.select(F.col("node").alias("c"), "component")
     rows = node.select("c", "label", "dim", "v").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    rows = rows.withColumn("asked", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(step)) == part)
+    rows = rows.withColumn("asked", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(step)).isin(parts))
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     size = rows.groupBy("label", "dim").agg(blocks(F.count_if("asked"), BLOCK).alias("n"), blocks(F.count("*"), 8 * BLOCK).alias("m"))
     rows = rows.join(size.where("n > 0"), ["label", "dim"])
@@ -380,13 +382,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
     def audited(attempt: int) -> tuple[list[DataFrame], float]:
         """The links that an audit adds, and the edge recall (1 where no links were seen)."""
         step, seen, links, lost, asked = max(audit, -(-total // AUDITED)), [], 0, 0, 0
-        for part in range(FURTHER):
-            # Other nodes at each attempt: links of those before are known by now.
-            table = written(_audited(node, found, step, (attempt * FURTHER + part) % step, threshold), "audit")
+        # Other nodes at each attempt: links of those before are known by now.
+        own = [(attempt * FURTHER + part) % step for part in range(min(FURTHER, step))]
+        for parts in (own[:1], own[1:]):
+            table = written(_audited(node, found, step, parts, threshold), "audit")
             row = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.col("n"))), F.lit(0))).first()
             seen.append(table.where("w is not null").select(F.col("c").alias("a"), F.col("w").alias("b")))
-            links, lost, asked = links + row[0], lost + row[1], asked + 1
-            if links >= ENOUGH or part + 1 >= step:
+            links, lost, asked = links + row[0], lost + row[1], asked + len(parts)
+            if links >= ENOUGH or len(own) == 1:
                 break
         told = {"attempt": attempt, "nodes": total * asked // step, "links": links, "lost": lost, "recall": 1 - lost / links if links else None}
         LOG.info("audit %s", told)
@@ -400,6 +403,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, k: int
         fresh = _bucket_lists(_coded(node, 7 + attempt, widths, usual, threshold, tables and tables << attempt), k, floor)
         lists = written(_best(fresh if lists is None else fresh.union(lists), k, 2 * k, threshold), "lists")
         for r in range(1, rounds + 1):
+            if lists.first() is None:  # no neighbours to follow
+                break
             further = _descent(lists, node, k, k << r, floor)
             lists = written(_best(lists.union(further), k, k << (r + 1), threshold), "lists")
         links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b"))
