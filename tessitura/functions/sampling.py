@@ -26,9 +26,9 @@ def ranked(logits: Column, temperature: float = 1.0, allowed: Allowed | None = N
     def weighed(own: Column) -> Column:
         most = F.array_max(F.transform(own, lambda e: e["x"]))
         if not temperature:
-            return F.transform(F.slice(F.array_sort(F.transform(own, lambda e: F.struct((-e["x"]).alias("w"), e["id"].alias("id")))), 1, 1), lambda e: F.struct(F.lit(-1.0).alias("w"), e["id"].alias("id")))
+            return F.transform(F.slice(F.sort_array(F.transform(own, lambda e: F.struct((-e["x"]).alias("w"), e["id"].alias("id")))), 1, 1), lambda e: F.struct(F.lit(-1.0).alias("w"), e["id"].alias("id")))
         weights = bound(most, lambda m: F.transform(own, lambda e: F.struct((-F.exp((e["x"] - m) / temperature)).alias("w"), e["id"].alias("id"))))
-        return F.array_sort(F.filter(weights, lambda e: e["w"] < 0))
+        return F.sort_array(F.filter(weights, lambda e: e["w"] < 0))
 
     return bound(named, weighed)
 

@@ -35,9 +35,18 @@ def _delta(ticks: Column) -> Column:
     return F.when(ticks < 128, _digits(ticks)).otherwise(F.concat(_digits(F.shiftright(ticks, 7) + 128), _digits(ticks.bitwiseAND(127))))
 
 
-def _event(tick: Column, kind: int, *parts: Column | str) -> Column:
+def _event(instrument: Column, tick: Column, kind: int, *parts: Column | str) -> Column:
     digits = F.concat(*[F.lit(p) if isinstance(p, str) else _digits(p) for p in parts])
-    return F.struct(tick.cast("int").alias("tick"), F.lit(kind).alias("kind"), digits.alias("m"))
+    return F.struct(instrument.alias("i"), tick.cast("int").alias("tick"), F.lit(kind).alias("kind"), digits.alias("m"))
+
+
+def _ordered(notes: Column) -> Column:
+    """Events of notes with their channels, by instrument and tick: an instrument's program, then ends before beginnings."""
+    i = lambda x: x["n"]["instrument"]
+    played = F.flatten(F.transform(notes, lambda x: F.array(_event(i(x), x["n"]["time"], 2, x["c"] + 0x90, x["n"]["pitch"], f"{VELOCITY:02X}"), _event(i(x), x["n"]["end"], 1, x["c"] + 0x80, x["n"]["pitch"], "00"))))
+    melodic = F.array_distinct(F.transform(F.filter(notes, lambda x: i(x) != DRUMS), lambda x: F.struct(i(x).alias("i"), x["c"].alias("c"))))
+    programs = F.transform(melodic, lambda x: _event(x["i"], F.lit(0), 0, x["c"] + 0xC0, x["i"]))
+    return F.sort_array(F.concat(programs, played))
 
 
 def _chunk(body: Column) -> Column:
@@ -52,31 +61,32 @@ def _notes(tokens: Column) -> Column:
     return F.transform(good, lambda x: F.struct(x["t"].alias("time"), (x["t"] + F.greatest(x["d"] - DURATIONS, F.lit(1))).alias("end"), F.floor((x["n"] - NOTES) / PITCHES).cast("int").alias("instrument"), ((x["n"] - NOTES) % PITCHES).alias("pitch")))
 
 
-def _track(notes: Column, instrument: Column, channel: Column) -> Column:
-    """An instrument's track: its events by tick, ends before beginnings."""
-    mine = F.filter(notes, lambda x: x["instrument"] == instrument)
-    played = F.transform(mine, lambda x: F.array(_event(x["time"], 2, channel + 0x90, x["pitch"], f"{VELOCITY:02X}"), _event(x["end"], 1, channel + 0x80, x["pitch"], "00")))
-    program = F.when(instrument != DRUMS, F.array(_event(F.lit(0), 0, channel + 0xC0, instrument))).otherwise(F.slice(F.array(_event(F.lit(0), 0, "")), 1, 0))
-    ordered = F.array_sort(F.concat(program, F.flatten(played)))
-    coded = lambda e: F.transform(e, lambda x, k: F.concat(_delta(x["tick"] - F.coalesce(F.get(e, k - 1)["tick"], F.lit(0))), x["m"]))
-    return bound(F.concat(F.array_join(bound(ordered, coded), ""), F.lit(TRACK_END)), _chunk)
+def _track(events: Column) -> Column:
+    """A track from its events, which are in order."""
+    coded = F.transform(events, lambda x, k: F.concat(_delta(x["tick"] - F.coalesce(F.get(events, k - 1)["tick"], F.lit(0))), x["m"]))
+    return bound(F.concat(F.array_join(coded, ""), F.lit(TRACK_END)), _chunk)
 
 
 def midi(tokens: Column) -> Column:
     """The bytes of a format 1 file: a tempo track, then a track for each instrument. Channels go round in order of the
     instruments' first notes where there are more than fifteen; drums have the tenth."""
 
+    free = F.array(*[F.lit(c) for c in FREE])
+
     def file(notes: Column) -> Column:
         melodic = F.array_distinct(F.transform(F.filter(notes, lambda x: x["instrument"] != DRUMS), lambda x: x["instrument"]))
-
-        def tracks(names: Column) -> Column:
-            free = F.array(*[F.lit(c) for c in FREE])
-            channel = lambda i: F.when(i == DRUMS, F.lit(DRUM_CHANNEL)).otherwise(F.get(free, ((F.array_position(names, i) - 1) % len(FREE)).cast("int")))
-            return F.transform(F.array_sort(F.array_distinct(F.transform(notes, lambda x: x["instrument"]))), lambda i: _track(notes, i, channel(i)))
-
+        # Each note's channel, by the place of its instrument among the melodic ones.
+        placed = lambda names: F.transform(notes, lambda x: F.struct(x.alias("n"), F.when(x["instrument"] == DRUMS, F.lit(DRUM_CHANNEL)).otherwise(F.get(free, ((F.array_position(names, x["instrument"]) - 1) % len(FREE)).cast("int"))).alias("c")))
+        return bound(bound(bound(melodic, placed), _ordered), tracks)
+
+    def tracks(events: Column) -> Column:
+        """Events of an instrument stand together; its track is a slice."""
+        starts = F.filter(F.transform(events, lambda x, k: F.when((k == 0) | (x["i"] != F.get(events, k - 1)["i"]), k)), lambda k: k.isNotNull())
+        ends = lambda at: F.transform(at, lambda k, j: F.struct(k.alias("a"), F.coalesce(F.get(at, j + 1), F.size(events)).alias("b")))
+        made = F.transform(bound(starts, ends), lambda s: bound(F.slice(events, s["a"] + 1, s["b"] - s["a"]), _track))
         tempo = _chunk(F.lit(f"00FF5103{MICROSECONDS:06X}{TRACK_END}"))
         head = lambda t: F.concat(F.lit(b"MThd".hex().upper() + "000000060001"), _digits(F.size(t) + 1, 2), F.lit(f"{TICKS:04X}"), tempo, F.array_join(t, ""))
-        return F.unhex(bound(bound(melodic, tracks), head))
+        return F.unhex(bound(made, head))
 
     return F.when(tokens.isNotNull(), bound(_notes(tokens), file))
 
@@ -176,9 +186,12 @@ def midi_notes(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("open", F.sum("step").over(run)).withColumn("low", F.least(F.lit(0), F.min("open").over(run)))
     rows = rows.withColumn("stray", F.coalesce(F.col("low") < F.least(F.lit(0), F.lag("low").over(Window.partitionBy(*key).orderBy("seq"))), F.col("low") < 0))
     rows = rows.withColumn("number", F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).over(run)).withColumn("ended", F.sum(F.when(F.col("step") < 0, 1).otherwise(0)).over(run) + F.col("low"))
-    on = rows.where("step > 0").select(*key, F.col("number").alias("k"), F.col("micros").alias("begin"), "program")
-    off = rows.where("step < 0 and not stray").select(*key, F.col("ended").alias("k"), F.col("micros").alias("end"))
+    rows = rows.where("step > 0 or not stray").withColumn("k", F.when(F.col("step") > 0, F.col("number")).otherwise(F.col("ended")))
+    # What begins and what ends as the k-th of its key; the key's rows are together by now.
+    begins, ends = (F.max(F.when(F.col("step") == s, F.col("micros"))) for s in (1, -1))
+    both = rows.groupBy(*key, "k").agg(begins.alias("begin"), ends.alias("end"), F.max(F.when(F.col("step") > 0, F.col("program"))).alias("program"))
+    both = both.where("begin is not null and end is not null")
     begin, end = F.round(F.col("begin") / 10_000).cast("int"), F.round(F.col("end") / 10_000).cast("int")
     instrument = F.when(F.col("channel") == DRUM_CHANNEL, DRUMS).otherwise(F.col("program"))
     dur = F.least(end - begin, F.lit(NOTES - DURATIONS - 1)) + DURATIONS
-    return on.join(off, [*key, "k"]).select("path", begin.alias("time"), dur.alias("dur"), (instrument * PITCHES + F.col("pitch") + NOTES).alias("note"))
+    return both.select("path", begin.alias("time"), dur.alias("dur"), (instrument * PITCHES + F.col("pitch") + NOTES).alias("note"))
