@@ -6,7 +6,8 @@ near_dup    of each group of documents linked by 5-gram Jaccard of 0.8 or more,
 decontam    benchmark passages are cut out; a document that is mostly such goes
 packing     the texts that are left, as token pieces in sequences of 2048
 
-SQL can't express the stages; tests compare each with a plain version.
+SQL can't express the stages. Tests hold each to its rules; near_dup, decontam and packing are compared with what the operators
+themselves find, and the operators' own tests compare that with plain versions.
 """
 
 from __future__ import annotations

@@ -25,11 +25,12 @@ SILENCE_DB, FRAME, STEP = 30.0, 2048, 512
 #: Fixed value: the loudness that audio is brought to.
 LOUDNESS = -18.0
 #: Fixed values of the loudness standard: its offset, gates, block and step in seconds, weights of channels (surround ones
-#: count more), and each filter's centre, gain and quality.
+#: count more), each filter's centre, gain and quality, and the power of the shelf's gain that its middle has.
 OFFSET, GATE, RELATIVE_GATE, BLOCK, BLOCK_STEP = -0.691, -70.0, -10.0, 0.4, 0.1
 CHANNELS = (1.0, 1.0, 1.0, 1.41, 1.41)
 SHELF = (1681.974450955533, 3.999843853973347, 0.7071752369554196)
 HIGH_PASS = (38.13547087602444, 0.5003270373238773)
+BAND = 0.4996667741545416
 #: Seconds after which nothing of the filters' response is left, and samples that are filtered at once.
 TAIL, PIECE = 1.0, 1 << 20
 
@@ -64,7 +65,7 @@ def _response(rate: int, n: int) -> np.ndarray:
 
     centre, gain, quality = SHELF
     k, high = np.tan(np.pi * centre / rate), 10 ** (gain / 20)
-    band = high**0.4996667741545416
+    band = high**BAND
     shelf = ratio((high + band * k / quality + k * k, 2 * (k * k - high), high - band * k / quality + k * k), (1 + k / quality + k * k, 2 * (k * k - 1), 1 - k / quality + k * k))
     centre, quality = HIGH_PASS
     k = np.tan(np.pi * centre / rate)
