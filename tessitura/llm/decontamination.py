@@ -13,19 +13,21 @@ empty); further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import apart, columns, raw_text, text_blocks
+from tessitura.llm.shared import apart, columns, discard, text_blocks, written
 from tessitura.llm.words import ALNUM, hashed_words
 
-#: Words of items in one automaton; more items make more automata, so what is broadcast stays bounded.
+#: Words of items in one automaton, about; more items make more automata, so what is broadcast stays bounded.
 BLOCK_WORDS = 100_000
-#: Automata that a worker holds at once.
+#: Automata of one round, which the driver and each worker hold at once.
 KEPT = 4
 
 
@@ -168,18 +170,69 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata over hash blocks of the items, each of a bounded number of words."""
-    items = columns(benchmark, "item_id", "text").where(F.col("text").isNotNull())
-    about = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + about // (4 * block_words)
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct()
-        rows = part.toArrow()
-        if rows.num_rows:
-            hashes, _, _, first = hashed_words(*raw_text(rows["text"]), ALNUM)
-            names = ["" if x is None else str(x) for x in rows["item_id"].to_pylist()]
-            yield SuffixAutomaton([(name, hashes[first[i] : first[i + 1]].tolist()) for i, name in enumerate(names)], window)
+def item_pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """name, words (hashes) of each item that has words. Items of more than `most` words are cut into pieces that overlap by
+    `window` - 1 words, so every window is whole in a piece and no piece has less than one."""
+    items = columns(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, at in text_blocks(batch.column(1)):
+                hashes, _, _, first = hashed_words(data, at, ALNUM)
+                rows, begins, ends = [], [], []
+                for row, (begin, end) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False), lo):
+                    last = end - window + 1 if end - begin > most else begin + (end > begin)
+                    for k in range(begin, last, most - window + 1):
+                        rows.append(row)
+                        begins.append(k)
+                        ends.append(min(end, k + most))
+                words = [hashes[i:j].view(np.int64) for i, j in zip(begins, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.list_(pa.int64()))], ["name", "words"])
+
+    return items.mapInArrow(work, "name string, words array<long>")
+
+
+def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """block, automaton (pickled): built by executors over hash blocks of pieces of items, each of about `block_words` words. The
+    benchmark is read once, however many blocks there are."""
+    pieces = written(item_pieces(benchmark, window, max(2 * window, block_words // 8)).distinct(), "items")
+    blocks = max(1, -(-(pieces.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
+
+    def build(table: pa.Table) -> pa.Table:
+        names, words = table["name"].to_pylist(), table["words"].to_pylist()
+        made = SuffixAutomaton([(name, np.array(ws, np.int64).view(np.uint64).tolist()) for name, ws in zip(names, words, strict=True)], window)
+        return pa.table({"block": table["block"].slice(0, 1), "automaton": pa.array([pickle.dumps(made)], pa.binary())})
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("name", "words"), F.lit(blocks)))
+    # As many partitions as blocks: these are small tables, which would otherwise be put together into a task or two.
+    made = written(dealt.repartition(blocks, "block").groupBy("block").applyInArrow(build, "block long, automaton binary"), "automata")
+    discard(pieces)
+    return made
+
+
+def hits(held: list[Broadcast], texts: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, tuple[list, set]]]:
+    """What the automata find in each block of words."""
+    found: list[dict[int, tuple[list, set]]] = [{} for _ in texts]
+    for a in held:
+        for out, block in zip(found, texts, strict=True):
+            for text, (spans, items) in a.value.matches(*block).items():
+                own = out.setdefault(text, ([], set()))
+                own[0].extend(spans)
+                own[1].update(items)
+    return found
+
+
+def less(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of merged spans and what stands between them."""
+    parts, last = [], 0
+    for lo, hi in spans:
+        parts.append(raw[last : starts[lo]])
+        last = int(ends[hi - 1])
+    return b"".join([*parts, raw[last:]])
+
+
+EMPTY = hashlib.sha256(b"").hexdigest()
+COUNTS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), max_coverage: float | None = None, block_words: int = BLOCK_WORDS, kept: int = KEPT) -> DataFrame:
@@ -187,27 +240,27 @@ def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: t
 
     With `max_coverage` also `cleaned`: the text without its hit spans, or null where more than that share of the words
     is hit or nothing is left; a span's removal that makes a new window is followed by another removal.
+
+    Up to `kept` automata stream through the documents together, in one pass without a shuffle. More go in rounds of `kept`, each
+    of which is one pass whose hits are written; so neither the driver nor a worker ever holds more than a round's.
     """
     spark = documents.sparkSession
-    held = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    made = automata(benchmark, window, block_words)
+    blocks = [r["block"] for r in made.select("block").orderBy("block").collect()]
     names = list(dict.fromkeys([*keep, "text"]))
     source = columns(documents, *names)
     types = dict(source.dtypes)
-    schema = ", ".join([*(f"`{n}` {types[n]}" for n in keep), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", *(["cleaned string"] if max_coverage is not None else [])])
-
-    def hits(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, tuple[list, set]]]:
-        """What the automata find in each block of words. Beyond KEPT of them, each is dropped after use and read again from
-        the executor's disk for the next batch, so a worker never holds them all."""
-        found: list[dict[int, tuple[list, set]]] = [{} for _ in texts]
-        for a in held:
-            for out, block in zip(found, texts, strict=True):
-                for text, (spans, items) in a.value.matches(*block).items():
-                    own = out.setdefault(text, ([], set()))
-                    own[0].extend(spans)
-                    own[1].update(items)
-            if len(held) > kept:
-                a.__dict__.pop("_value", None)
-        return found
+    schema = ", ".join([*(f"`{n}` {types[n]}" for n in keep), COUNTS, *(["cleaned string"] if max_coverage is not None else [])])
+
+    def loaded(some: list[int]) -> list[Broadcast]:
+        rows = made.where(F.col("block").isin(some)).collect() if some else []
+        return [spark.sparkContext.broadcast(pickle.loads(r["automaton"])) for r in rows]
+
+    rounds = [blocks[k : k + kept] for k in range(0, len(blocks), kept)]
+    if len(rounds) > 1:
+        return _in_rounds(source, rounds, loaded, keep, max_coverage, schema)
+    held = loaded(blocks)
+    discard(made)
 
     def clean(texts: dict[int, bytes]) -> dict[int, str]:
         """The texts without hit spans, until none is left."""
@@ -217,36 +270,27 @@ def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: t
             for i, raw in texts.items():
                 data = np.frombuffer(raw, np.uint8)
                 places[i] = hashed_words(data, np.array([0, len(data)]), ALNUM)
-            found = hits([(h, first) for h, _, _, first in places.values()])
+            found = hits(held, [(h, first) for h, _, _, first in places.values()])
             left = {}
             for (i, raw), own in zip(texts.items(), found, strict=True):
                 if not own:
                     out[i] = raw.decode("utf-8", "ignore")
                     continue
-                _, starts, ends, _ = places[i]
-                parts, last = [], 0
-                for lo, hi in merged(own[0][0]):
-                    parts.append(raw[last : starts[lo]])
-                    last = int(ends[hi - 1])
-                left[i] = b"".join([*parts, raw[last:]])
+                left[i] = less(raw, *places[i][1:3], merged(own[0][0]))
             texts = left
         return out
 
-    empty = hashlib.sha256(b"").hexdigest()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(names.index("text"))
             n = batch.num_rows
             words, hit, count = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            digest = [empty] * n
-            blocks, texts = [], {}
+            digest = [EMPTY] * n
+            texts = {}
             for lo, hi, data, at in text_blocks(text):
                 hashes, _, _, first = hashed_words(data, at, ALNUM)
                 words[lo:hi] = np.diff(first)
-                blocks.append((lo, data, at, hashes, first))
-            for (lo, data, at, *_), found in zip(blocks, hits([b[3:] for b in blocks]), strict=True):
-                for row, (spans, items) in found.items():
+                for row, (spans, items) in hits(held, [(hashes, first)])[0].items():
                     i = lo + row
                     hit[i] = sum(e - s for s, e in merged(spans))
                     count[i] = len(items)
@@ -268,6 +312,91 @@ def marked(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: t
     return source.mapInArrow(work, schema)
 
 
+def _in_rounds(source: DataFrame, rounds: list[list[int]], loaded: Callable[[list[int]], list[Broadcast]], keep: tuple[str, ...], max_coverage: float | None, schema: str) -> DataFrame:
+    """`marked` for more automata than are held at once. Rows are numbered in a written table, which makes the numbers lasting;
+    only texts with hits have rows in what a round finds, and only these are searched again after a cut."""
+    rows = written(source.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+    def search(texts: DataFrame) -> DataFrame:
+        """_row, spans (first word times 2^32, plus the word after the last), items of the texts (_row, text) with hits."""
+        tables = []
+        for some in rounds:
+            held = loaded(some)
+
+            def work(batches: Iterator[pa.RecordBatch], held: list[Broadcast] = held) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for lo, _, data, at in text_blocks(batch.column(1)):
+                        hashes, _, _, first = hashed_words(data, at, ALNUM)
+                        found = hits(held, [(hashes, first)])[0]
+                        at_rows = pa.array([lo + row for row in found], pa.int64())
+                        # Places are counted from the block's first word; what is kept counts from the text's.
+                        spans = [[(a - int(first[row]) << 32) + b - int(first[row]) for a, b in merged(spans)] for row, (spans, _) in found.items()]
+                        items = [sorted(items) for _, items in found.values()]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["_row", "spans", "items"])
+
+            tables.append(written(texts.select("_row", "text").mapInArrow(work, "_row long, spans array<long>, items array<string>"), "hits"))
+            for b in held:
+                b.destroy()
+        both = tables[0]
+        for t in tables[1:]:
+            both = both.union(t)
+        out = written(both.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "found")
+        for t in tables:
+            discard(t)
+        return out
+
+    def spans_of(values: list[int] | None) -> list[tuple[int, int]]:
+        return merged([(v >> 32, v & 0xFFFFFFFF) for v in values or []])
+
+    def cut(texts: DataFrame, coverage: float | None = None) -> DataFrame:
+        """(_row, text, spans) as _row and the text without its spans, empty where more than `coverage` of its words is hit."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for text, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    raw, spans = text.encode(), spans_of(values)
+                    hashes, starts, ends, _ = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+                    over = coverage is not None and sum(b - a for a, b in spans) > coverage * len(hashes)
+                    out.append("" if over else less(raw, starts, ends, spans).decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_row", "text"])
+
+        return written(texts.mapInArrow(work, "_row long, text string"), "cut")
+
+    found = search(rows)
+    joined = rows.join(found, "_row", "left")
+    if max_coverage is not None:
+        texts = cut(rows.select("_row", "text").join(found.select("_row", "spans"), "_row"), max_coverage)
+        done = None
+        while texts.first() is not None:
+            more = search(texts)
+            clear = texts.join(more, "_row", "left_anti")
+            done = clear if done is None else done.union(clear)
+            texts = cut(texts.join(more.select("_row", "spans"), "_row"))
+        done = texts if done is None else done
+        joined = joined.join(done.withColumnRenamed("text", "cleaned"), "_row", "left")
+    columns_in = joined.columns
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(columns_in.index("text"))
+            words = np.zeros(batch.num_rows, np.int64)
+            for lo, hi, data, at in text_blocks(text):
+                words[lo:hi] = np.diff(hashed_words(data, at, ALNUM)[3])
+            hit = np.array([sum(b - a for a, b in spans_of(v)) for v in batch.column(columns_in.index("spans")).to_pylist()], np.int64)
+            items = batch.column(columns_in.index("items")).to_pylist()
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else EMPTY for x in items]
+            out = [*(batch.column(columns_in.index(k)) for k in keep), pa.array(words), pa.array(hit), pa.array([len(x or ()) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(hit > 0)]
+            labels = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+            if max_coverage is not None:
+                cleaned = zip(hit.tolist(), text.to_pylist(), batch.column(columns_in.index("cleaned")).to_pylist(), strict=True)
+                out.append(pa.array([t if not n else c if c and c.strip() else None for n, t, c in cleaned], pa.string()))
+                labels.append("cleaned")
+            yield pa.RecordBatch.from_arrays(out, labels)
+
+    return joined.mapInArrow(tally, schema)
+
+
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
     """The documents without benchmark passages: hit spans are cut out, and a document goes if more than
     `max_coverage` of its words are hit or nothing is left. Documents without hits stay as they are, null texts too."""

@@ -1,11 +1,13 @@
 import hashlib
+import random
 import re
+import uuid
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessitura.llm.decontamination import SuffixAutomaton, decontaminated, marked
+from tessitura.llm.decontamination import SuffixAutomaton, automata, decontaminated, marked
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -78,3 +80,53 @@ def test_decontaminated(spark):
     assert rows[1].text == "x  y" and rows[1].n_chars == 4
     assert rows[3].text is None and rows[4].text == "" and rows[5].text == "LONE and lone"
     assert None not in rows or not marked(got.where("doc_id is null"), items, 4).first().contaminated
+
+
+def many_items():
+    """Items of 3 to 60 words, some of them alike, and texts that hold parts of them."""
+    r = random.Random(7)
+    item = [(k, " ".join(f"w{r.randrange(40)}" for _ in range(r.choice([3, 8, 12, 60])))) for k in range(60)]
+    docs = []
+    for k in range(80):
+        parts = [f"x{r.randrange(9)}" for _ in range(20)]
+        w = r.choice(item)[1].split()
+        at, n = r.randrange(len(w)), r.choice([2, 5, 9, 30])
+        docs.append((k, " ".join([*parts[:10], *w[at : at + n], *parts[10:]])))
+    return item, docs
+
+
+@pytest.mark.parametrize("kept", [4, 100])
+def test_many_blocks_and_cut_items(spark, kept):
+    items, texts = many_items()
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert automata(table, 5, 48).count() >= 15
+    got = marked(docs, table, 5, block_words=48, kept=kept).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(doc_id=i, n_words=w, n_hit=h, n_items=n, items_sha256=s, contaminated=c) for i, t in texts for w, h, n, s, c in [brute(t, items, 5)]]))
+    assert sum(r.contaminated for r in got) > 20
+
+
+def test_benchmark_is_read_once(spark, tmp_path):
+    """Each time a row of the benchmark is read, a file is made; many blocks read each row once."""
+    items, _ = many_items()
+
+    def work(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                (tmp_path / uuid.uuid4().hex).touch()
+            yield batch
+
+    table = spark.createDataFrame(items, "item_id long, text string").mapInArrow(work, "item_id long, text string")
+    assert automata(table, 5, 48).count() >= 15
+    assert len(list(tmp_path.iterdir())) == len(items)
+
+
+@pytest.mark.parametrize("coverage", [0.3, 0.8])
+def test_rounds_cut_as_one_pass_does(spark, coverage):
+    items, texts = many_items()
+    # A cut brings the halves of an item together, which makes a window that no document word was in before.
+    nested = items[0][1].split() if len(items[0][1].split()) > 8 else items[1][1].split()
+    whole = next(t for _, t in items if len(t.split()) == 12)
+    texts = [*texts, (900, " ".join(["y"] * 30 + nested[:4] + whole.split() + nested[4:8])), (901, whole), (902, ""), (903, None), (903, "x")]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, marked(docs, table, 5, max_coverage=coverage, block_words=b, kept=k).collect())) for b, k in ((100_000, 4), (150, 3)))
+    assert one == many
