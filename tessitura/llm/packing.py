@@ -4,7 +4,8 @@ A bin has three capacities: tokens, documents and attention cost (a piece of n t
 length are equal vectors, and bins with equal residuals are equal too, so the packing is planned over counts: longest
 pieces first, each into the class of bins that scores best among those with room in every capacity. The plan's size
 depends on the sequence length alone, never on the number of documents. Pieces then take their places by their rank
-among pieces of their length; ranks are counted in salted groups, so no length needs one task.
+among pieces of their length; ranks are counted in salted groups, as many of a length as the root of its number of pieces, so
+neither a group nor the number of groups of a length is large.
 
 Defined results: null and empty texts have no ids besides the end mark; repeated rows are packed each; rows with a null
 doc_id too; further columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,6 @@ from tessitura.llm.tokens import VOCABULARY, encoded_block
 
 #: Bytes of text tokenized together.
 TEXT_BLOCK = 1 << 20
-#: Salted groups of each length, within which ranks are counted.
-SALTS = 256
 PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -122,13 +122,15 @@ def _add(residual: np.ndarray, bins: list, rest: np.ndarray, ranges: list[tuple[
     return np.vstack([residual, rest[None, :]]), [*bins, ranges]
 
 
-def placed(cut: DataFrame, capacity: int = 2048, salts: int = SALTS, **limits) -> DataFrame:
-    """`cut` (see `pieces`, a table that can be read twice) with sequence_id and offset."""
+def placed(cut: DataFrame, capacity: int = 2048, **limits) -> DataFrame:
+    """`cut` (see `pieces`, a table that can be read several times) with sequence_id and offset."""
     spark = cut.sparkSession
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).persist()
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    counts.unpersist()
+    # At most `capacity` rows, one for each length.
+    total = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    sizes = spark.createDataFrame([(length, 1 + isqrt(n)) for length, n in total.items()], "length long, _salts long")
+    own = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int").alias("_salt")
+    salted = cut.join(F.broadcast(sizes), "length").select(*cut.columns, own)
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     rows = plan(total, capacity, **limits)
     by: dict[int, list] = {}
     for row in sorted(rows):
