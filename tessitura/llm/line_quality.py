@@ -5,12 +5,13 @@ the line itself and of both neighbours. The field's forward-backward marginals,
 of a document that is good; one logistic curve turns it into a score.
 
 It learns from documents whose labels are given: all lines of a good one are good; of a bad one those that a first,
-lineless fit finds bad, and the worst in any case. The sample is at most `SAMPLE` labelled documents, in the order of a
-hash of the id; scoring covers every text.
+lineless fit finds bad, and the worst in any case. The sample is at most `SAMPLE` labelled documents of `SAMPLE_BYTES` bytes
+together, in the order of a hash of the id; a document that would go beyond these bytes is left out whole. Scoring covers every
+text.
 
 Defined results: null and empty texts are one empty line; without usable labels of both kinds every score is 0.5; rows
-with null or conflicting labels count as bad if one label is 0 and are left out if all are null; further columns are
-ignored.
+with null or conflicting labels count as bad if one label is 0 and are left out if all are null; of an id's rows the smallest
+text is learned from; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.shared import apart, columns, text_blocks
+from tessitura.llm.shared import apart, columns, discard, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix, prefix_sums, span_hashes
 
 #: Labelled documents to learn from, at most.
 SAMPLE = 4000
+#: Bytes of their texts, at most.
+SAMPLE_BYTES = 1 << 27
 #: Score from which a document counts as good.
 GOOD = 0.7
 BINS = 10
@@ -243,12 +246,21 @@ def fitted(features: np.ndarray, weight: np.ndarray, first: np.ndarray, good: np
     return Field(cuts, unary, step, (float(a), float(b)))
 
 
-def learned(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field from at most `sample` labelled documents outside the held-out quarter, or None without both labels."""
+def learned(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field | None:
+    """A field from at most `sample` labelled documents outside the held-out quarter, of at most `sample_bytes` bytes together,
+    or None without both labels."""
     marks = columns(labels, "doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # The ids are picked before texts are looked up, so only the sample's texts move.
     picked = marks.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = columns(documents, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality").orderBy(F.xxhash64("text")).toArrow()
+    # One text for each id, however many rows it has, so the table has at most `sample` rows.
+    own = written(columns(documents, "doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")), "sample")
+    room, chosen = sample_bytes, []
+    for r in own.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= room:
+            chosen.append(r["doc_id"])
+            room -= r["n"]
+    rows = own.where(F.col("doc_id").isin(chosen)).select("text", "quality").orderBy(F.xxhash64("text")).toArrow()
+    discard(own)
     good = np.array(rows["quality"].to_pylist(), float) > 0
     if not good.any() or good.all():
         return None

@@ -69,3 +69,19 @@ def test_odd_rows(spark):
     got = scored(docs, both).collect()
     assert len(got) == 5 and all(0 <= x.score <= 1 for x in got)
     assert scored(docs.limit(0), both).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    """Rows that repeat an id make the sample no larger, and a text beyond the bytes is left out whole."""
+    good, bad = "a plain line of words\nand one more of them", "!!!! $$$$ 0000\n#### 1111 ////"
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, good if k % 2 else bad) for k in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    again = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string")
+    one, other = learned(docs, labels), learned(again, labels)
+    assert one.curve == other.curve and (one.unary == other.unary).all()
+    long = spark.createDataFrame([*((k, t) for k, t in rows if k != ids[0]), (ids[0], good * 10_000)], "doc_id long, text string")
+    less = learned(docs.where(f"doc_id <> {ids[0]}"), labels)
+    assert (learned(long, labels, sample_bytes=10_000).unary == less.unary).all()
+    assert learned(docs, labels, sample_bytes=10) is None
