@@ -14,8 +14,10 @@ or a pair might choose different segments.
 Equal sets are one class, so copies add no pairs. Entries meet by sorting; those of one class only are dropped. The
 classes of an entry are verified against its smallest. Where that leaves an entry with several components, its classes are
 compared by parity bitmaps, block by block in Arrow workers: entries with the same smallest class together, so a pair is
-compared once and not for each entry that it shares. Only pairs of different components whose bitmaps don't rule out a link
-become rows, and are verified on the whole sets. No link between different texts is lost.
+compared once and not for each entry that it shares. The classes with a close one in another component come together again
+with their whole sets; of the links found there, a worker returns those that join components, fewer than it has classes. The
+others lie within a component, so no pair of different texts is left out of account, and rows grow with the classes, not
+with their pairs.
 
 Classes are told apart by two 64-bit sums. Where two classes agree in the first, both are named by the second.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.components import components
-from tessitura.llm.shared import MEETINGS, apart, columns, discard, groups, meetings, text_blocks, written
+from tessitura.llm.shared import MEETINGS, apart, columns, digits, discard, groups, meetings, text_blocks, written
 from tessitura.llm.words import NOT_SPACE, chained, hashed_words, mix
 
 WIDTH, PERCENT = 5, 80
@@ -44,6 +46,8 @@ BAND = 1.6
 COSTED = 1 << 16
 #: Classes of entries with an equal smallest class that are compared at once.
 BLOCK = 1024
+#: Shingles of these classes, about; a larger set comes alone.
+SHINGLES = 1 << 22
 #: Rows of an Arrow batch.
 BATCH = 1 << 16
 #: Bits of a bitmap for each shingle, at least.
@@ -346,70 +350,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(a, "a").join(b, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).select("a", "b").distinct()
 
 
-def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes of a group g (class, n, component, sketch, first, second) in different components whose bitmaps don't
-    rule out a link. A group is compared within itself, or its `first` with its `second` rows."""
-
-    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        name, n, c, first, second = (table[k].to_numpy() for k in ("class", "n", "component", "first", "second"))
-        lists = table["sketch"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        wide = np.diff(lists.offsets.to_numpy())
-        for w in np.unique(wide).tolist():
-            right = np.flatnonzero((wide == w) & second)
-            if not len(right):
-                continue
-            right = right[np.argsort(n[right], kind="stable")]
-            b = _rows(lists, right)
-            for v in (w // 2, w, 2 * w):
-                left = np.flatnonzero((wide == v) & first)
-                for i in left.tolist():
-                    lo = np.searchsorted(n[right], -(-int(n[i]) * percent // 100), "left")
-                    hi = np.searchsorted(n[right], int(n[i]) * 100 // percent, "right")
-                    own = right[lo:hi]
-                    keep = np.flatnonzero((c[own] != c[i]) & (name[own] > name[i] if (first & second).all() else True))
-                    if not len(keep):
-                        continue
-                    x = folded(_rows(lists, np.array([i])), min(v, w))
-                    for cut in range(0, len(keep), 4096):
-                        k = keep[cut : cut + 4096]
-                        d = np.bitwise_count(folded(b[lo + k], min(v, w)) ^ x).sum(axis=1)
-                        hit = own[k[d <= differing(n[own[k]], n[i], percent)]]
-                        if len(hit):
-                            yield np.full(len(hit), name[i]), name[hit]
+def _close(table: pa.Table, lists: pa.ListArray, component: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(a row, rows close to it) of a group: those of other components whose bitmaps (`lists`) don't rule out a link. A group is
+    compared within itself, or its `first` with its `second` rows. What the caller changes in `component` holds from the next
+    row on."""
+    name, n, first, second = (table[k].to_numpy() for k in ("class", "n", "first", "second"))
+    within = (first & second).all()
+    wide = np.diff(lists.offsets.to_numpy())
+    for w in np.unique(wide).tolist():
+        right = np.flatnonzero((wide == w) & second)
+        if not len(right):
+            continue
+        right = right[np.argsort(n[right], kind="stable")]
+        b = _rows(lists, right)
+        for v in (w // 2, w, 2 * w):
+            left = np.flatnonzero((wide == v) & first)
+            for i in left.tolist():
+                lo = np.searchsorted(n[right], -(-int(n[i]) * percent // 100), "left")
+                hi = np.searchsorted(n[right], int(n[i]) * 100 // percent, "right")
+                own = right[lo:hi]
+                keep = np.flatnonzero((component[own] != component[i]) & (name[own] > name[i] if within else True))
+                if not len(keep):
+                    continue
+                x = folded(_rows(lists, np.array([i])), min(v, w))
+                for cut in range(0, len(keep), 4096):
+                    k = keep[cut : cut + 4096]
+                    d = np.bitwise_count(folded(b[lo + k], min(v, w)) ^ x).sum(axis=1)
+                    hit = own[k[d <= differing(n[own[k]], n[i], percent)]]
+                    if len(hit):
+                        yield i, hit
+
+
+def _whole(column: pa.ChunkedArray) -> pa.ListArray:
+    lists = column.combine_chunks()
+    return lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+
+
+def _joining(table: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    """Linked rows of a group that bring all its components together that any links do: one link less than components at most."""
+    component = table["component"].to_numpy().copy()
+    lists = _whole(table["grams"])
+    at, sets = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+    sets, at = sets[at[0] : at[-1]], at - at[0]
+    words, cuts = sketches(sets, at)
+    for i, hit in _close(table, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words)), component, percent):
+        own, n = sets[at[i] : at[i + 1]], at[hit + 1] - at[hit]
+        theirs = sets[np.repeat(at[hit], n) + digits(n)]
+        same = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, np.cumsum(n) - n, dtype=np.int64)
+        for k in hit[100 * same >= percent * (len(own) + n - same)].tolist():
+            if component[k] != component[i]:
+                component[component == component[k]] = component[i]
+                yield i, k
+
+
+def _more_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: linked classes that join the components of each group g of `rows` (g, class, n, component, first, second). Bitmaps
+    tell which rows have a close one; whole sets come together for these only. A group never makes more rows than it has."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            found = np.zeros(table.num_rows, bool)
+            for i, hit in _close(table, _whole(table["sketch"]), table["component"].to_numpy(), percent):
+                found[i] = found[hit] = True
+            if found.any():
+                yield from table.drop_columns("sketch").filter(pa.array(found)).combine_chunks().to_batches()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, held = [], [], 0
+        for table in groups(batches):
+            name = table["class"].to_numpy()
+            pairs = np.array(list(_joining(table, percent)), np.int64).reshape(-1, 2)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.sort(name[pairs], axis=1).T.copy()], ["a", "b"])
 
-        def told() -> pa.RecordBatch:
-            x, y = np.concatenate(a), np.concatenate(b)
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+    together = lambda df: df.repartition("g").sortWithinPartitions("g")
+    close = together(rows.join(sets.select("class", "sketch"), "class").select(*rows.columns, "sketch")).mapInArrow(near, rows.schema)
+    return together(close.join(sets.select("class", "grams"), "class").select(*rows.columns, "grams")).mapInArrow(work, "a long, b long").distinct()
 
-        for table in groups(batches):
-            for x, y in pairs(table):
-                a.append(x)
-                b.append(y)
-                held += len(x)
-            if held > BATCH:
-                yield told()
-                a, b, held = [], [], 0
-        if held:
-            yield told()
-
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(work, "a long, b long").distinct()
-
-
-def _apart(shared: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Groups (see `_close_pairs`) of the entries whose classes are not all in one component."""
-    label = shared.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "low", F.coalesce("component", "class").alias("component"))
+
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups (see `_more_links`) of the entries whose classes are not all in one component."""
+    label = shared.join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n", "low", F.coalesce("component", "class").alias("component"))
     mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    member = written(label.join(mixed, "key").select("low", "class", "component").distinct(), "mixed")
-    blocks = member.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = written(label.join(mixed, "key").select("low", "class", F.col("n").cast("long").alias("n"), "component").distinct(), "mixed")
+    blocks = member.groupBy("low").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     member = member.join(blocks, "low").withColumn("i", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     member = member.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select(F.xxhash64("low", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "class", "component", (F.col("i") <= F.col("j")).alias("first"), (F.col("i") >= F.col("j")).alias("second"))
-    return member.join(sets.select("class", "n", "sketch"), "class").select("g", "class", "n", "component", "first", "second", "sketch")
+    return member.select(F.xxhash64("low", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "class", "n", "component", (F.col("i") <= F.col("j")).alias("first"), (F.col("i") >= F.col("j")).alias("second"))
 
 
 def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -448,7 +474,7 @@ def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
     sets = written(texts.join(one, ["_k", "mark"]).dropDuplicates(["class"]).select("class", "text").mapInArrow(grams, "class long, n long, grams array<long>, sketch array<long>"), "sets")
     links = written(_verified(stars, sets, percent), "links")
     found = written(components(links), "found")
-    more = written(_verified(_close_pairs(_apart(shared, found, sets), percent), sets, percent), "more")
+    more = written(_more_links(_apart(shared, found), sets, percent), "more")
     if more.take(1):
         found = written(components(links.union(more)), "found")
     for table in (shared, stars, sets):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessitura.llm.components import components
+from tessitura.llm import ngram_join
 from tessitura.llm.ngram_join import Order, band_segments, folded, index, limits, near_duplicates, one_of_each, sketches
 
 
@@ -97,6 +98,39 @@ def test_near_duplicates_against_brute_force(spark, rows):
     assert sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got) == brute(rows)
 
 
+def test_a_group_makes_fewer_links_than_it_has_classes(spark):
+    """90 classes, each its own component, in three families of which all pairs link: 1,305 pairs of close classes in the first
+    group, whose links join them to three; the second compares one half of a family with the other."""
+    r = random.Random(4)
+    family = [[r.getrandbits(63) for _ in range(200)] for _ in range(3)]
+    sets = [np.array(sorted(family[k % 3][:190] + [r.getrandbits(63) for _ in range(k % 7)]), np.uint64) for k in range(90)]
+    held = spark.createDataFrame([(k, len(s), s.view(np.int64).tolist(), sketches(s, np.array([0, len(s)]))[0].tolist()) for k, s in enumerate(sets)], "class long, n long, grams array<long>, sketch array<long>")
+    rows = [(1, k, len(sets[k]), k, True, True) for k in range(90)] + [(2, k, len(sets[k]), k, k < 45, k >= 45) for k in range(0, 90, 3)]
+    groups = spark.createDataFrame(rows, "g long, class long, n long, component long, first boolean, second boolean")
+    for g, few in ((1, 87), (2, 29)):
+        got = ngram_join._more_links(groups.where(f"g = {g}"), held, 80).collect()
+        assert len(got) == few and all(x.a < x.b and x.a % 3 == x.b % 3 for x in got)
+        label = {x.node: x.component for x in components(spark.createDataFrame(got)).collect()}
+        assert set(label.values()) == ({0, 1, 2} if g == 1 else {0}) and len(label) == (90 if g == 1 else 30)
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """Texts that link with few of those they share entries with, in blocks of a few classes or shingles."""
+    r = random.Random(4)
+    rows = []
+    for i in range(120):
+        text = [f"b{k}" for k in range(60)]
+        for p in r.sample(range(60), 1 + i % 2):
+            text[p] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    for name, value in (("BLOCK", 9), ("SHINGLES", 500)):
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, name, value)
+            got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got) == brute(rows)
+    assert len({x.component_id for x in got}) > 10
+
+
 def test_one_of_each(spark, rows):
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, mark int")
     kept = one_of_each(docs)
