@@ -8,10 +8,11 @@ Fixed values of the vocabulary: times count 10 ms; durations follow from 10000;
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ TICKS, MICROSECONDS, VELOCITY = 50, 500_000, 90
 #: Fixed values of the format: the drums' channel, and the end of a track.
 DRUM_CHANNEL, TRACK_END = 9, "00FF2F00"
 FREE = [c for c in range(16) if c != DRUM_CHANNEL]
+#: Rows of read files that leave a worker at once, about.
+ROWS = 1 << 14
 
 
 def _digits(x: Column, bytes_: int = 1) -> Column:
@@ -95,13 +98,13 @@ def with_midi(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("midi", midi(F.col("tokens")))
 
 
-def _events(data: bytes) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(track, place in it, microseconds, channel, pitch, velocity, program) of a file's notes; velocity 0 ends one. Messages
-    without a status byte have that of the one before. Changes of tempo hold for all tracks."""
+def _events(data: bytes) -> np.ndarray:
+    """Rows (track, place in the file, microseconds, channel, pitch, velocity, program) of a file's notes; velocity 0 ends one.
+    Messages without a status byte have that of the one before. Changes of tempo hold for all tracks."""
     if data[:4] != b"MThd":
         raise ValueError("not a MIDI file")
     division = int.from_bytes(data[12:14], "big")
-    at, found, tempos = 8 + int.from_bytes(data[4:8], "big"), [], [(0, 500_000)]
+    at, found, tempos = 8 + int.from_bytes(data[4:8], "big"), array("q"), [(0, 500_000)]
     track = 0
     while at + 8 <= len(data):
         kind, end = data[at : at + 4], at + 8 + int.from_bytes(data[at + 4 : at + 8], "big")
@@ -136,14 +139,15 @@ def _events(data: bytes) -> list[tuple[int, int, int, int, int, int, int]]:
                 continue
             channel, what = status & 15, status >> 4
             if what in (8, 9):
-                found.append((track, len(found), tick, channel, data[at], data[at + 1] if what == 9 else 0, program[channel]))
+                found.extend((track, len(found) // 7, tick, channel, data[at], data[at + 1] if what == 9 else 0, program[channel]))
             elif what == 12:
                 program[channel] = data[at]
             at += 1 if what in (12, 13) else 2
         at, track = end, track + 1
-    if not found:
-        return []
-    ticks = np.array([x[2] for x in found], float)
+    rows = np.array(found, np.int64).reshape(-1, 7)
+    if not len(rows):
+        return rows
+    ticks = rows[:, 2].astype(float)
     if division & 0x8000:  # frames a second, and ticks of each
         micros = ticks * 1e6 / ((256 - (division >> 8)) * (division & 255))
     else:
@@ -153,27 +157,47 @@ def _events(data: bytes) -> list[tuple[int, int, int, int, int, int, int]]:
         begun = np.concatenate([[0.0], np.cumsum(np.diff(edge) * each[:-1])])
         own = np.searchsorted(edge, ticks, "right") - 1
         micros = begun[own] + (ticks - edge[own]) * each[own]
-    return [(*x[:2], int(round(m)), *x[3:]) for x, m in zip(found, micros, strict=True)]
+    if not (micros < 1 << 62).all():  # a division of 0, or a time beyond all measure
+        raise ValueError("times out of range")
+    rows[:, 2] = np.rint(micros)
+    return rows
 
 
 EVENTS = "path string, track int, seq int, micros long, channel int, pitch int, velocity int, program int, error string"
 
 
+def _told(held: list[tuple[str, np.ndarray, str | None]]) -> pa.RecordBatch:
+    size = [len(rows) for _, rows, _ in held]
+    of = pa.array(np.repeat(np.arange(len(held)), size))
+    path, error = (pa.array(x, pa.string()).take(of) for x in ([h[0] for h in held], [h[2] for h in held]))
+    bad, values = np.repeat([h[2] is not None for h in held], size), np.concatenate([h[1] for h in held])
+    numbers = [pa.array(v.astype(np.int64 if k == 2 else np.int32), mask=bad) for k, v in enumerate(values.T)]
+    return pa.RecordBatch.from_arrays([path, *numbers, error], [c.split()[0] for c in EVENTS.split(", ")])
+
+
+def read_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of EVENTS from batches of path and content. Batches come out by their rows, so a batch of many files isn't held as rows."""
+    held, n = [], 0
+    for batch in batches:
+        for path, content in zip(*batch.columns, strict=True):
+            try:
+                rows, error = _events(bytes(content.as_py())), None
+            except (ValueError, IndexError, TypeError, OverflowError) as e:
+                rows, error = np.zeros((1, 7), np.int64), str(e) or type(e).__name__
+            for lo in range(0, len(rows), ROWS):
+                held.append((path.as_py(), rows[lo : lo + ROWS], error))
+                n += len(held[-1][1])
+                if n >= ROWS:
+                    yield _told(held)
+                    held, n = [], 0
+    if held:
+        yield _told(held)
+
+
 def midi_events(files: DataFrame) -> DataFrame:
     """A row for each beginning or end of a note in MIDI files (path, content); of a file that can't be read, one row with the
     error and nulls."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows += [(path, *x, None) for x in _events(bytes(content))]
-                except (ValueError, IndexError, TypeError) as e:
-                    rows.append((path, *[None] * 7, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "track", "seq", "micros", "channel", "pitch", "velocity", "program", "error"]).astype({c: "Int64" for c in ("track", "seq", "micros", "channel", "pitch", "velocity", "program")})
-
-    return files.select("path", "content").mapInPandas(work, EVENTS)
+    return files.select("path", "content").mapInArrow(read_events, EVENTS)
 
 
 def midi_notes(files: DataFrame) -> DataFrame:

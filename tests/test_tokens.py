@@ -1,6 +1,7 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.text import strip, swapped_suffix, templated
 from tessitura.functions.tokens import crowded, density_status, limited, peak, shifted, times, triples, unshifted, with_begin, without_prompt
-from tessitura.operators.midi import DRUMS, DURATIONS, MICROSECONDS, NOTES, PITCHES, REST, TICKS, TIMES, VELOCITY, midi_events, midi_notes, with_midi
+from tessitura.operators.midi import DRUMS, DURATIONS, MICROSECONDS, NOTES, PITCHES, REST, ROWS, TICKS, TIMES, VELOCITY, midi_events, midi_notes, read_events, with_midi
 from tessitura.operators.notes import checked, notes_per_time, unpacked
 
 TRIPLE = [5, 10000, 11000]
@@ -208,6 +209,28 @@ def test_midi_files_of_others(spark):
     assert {r.path for r in midi_events(table).where("error is not null").collect()} >= {"b", "d", "e"}
 
 
+def test_midi_events_leave_in_small_batches():
+    """2,000 files of 40 notes and a long one: what a worker gives back at once is bounded in rows, not in files."""
+    files = {str(k): encoded([x for i in range(40) for x in (i, 10005, 11000 + (i + k) % 16512)]) for k in range(2000)}
+    files["long"] = encoded([x for i in range(20_000) for x in (i % 9999, 10005, 11000 + i % 128)])
+    batch = pa.RecordBatch.from_pydict({"path": [*files, "bad"], "content": [*files.values(), b"RIFF"]})
+    made = list(read_events(iter([batch])))
+    assert len(made) > 10 and max(b.num_rows for b in made) < 2 * ROWS
+    got = {}
+    for r in pa.Table.from_batches(made).to_pylist():
+        got.setdefault(r["path"], []).append((r["seq"], r["error"]))
+    assert got.pop("bad") == [(None, "not a MIDI file")]
+    assert got == {p: [(k, None) for k in range(40_000 if p == "long" else 80)] for p in files}
+
+
+def test_midi_times_out_of_range():
+    """A division of 0, and a time of more than 64 bits: an error of the file, not of the job."""
+    note, late = b"\x01\x90\x3c\x40", b"\xff" * 12 + b"\x7f\x90\x3c\x40"
+    heads = [b"MThd" + struct.pack(">IHHH", 6, 1, 1, d) for d in (0, 100)]
+    batch = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "content": [heads[0] + track(note), heads[1] + track(late), heads[0] + track()]})
+    assert [(r["path"], r["error"] is None) for b in read_events(iter([batch])) for r in b.to_pylist()] == [("a", False), ("b", False)]
+
+
 @pytest.mark.parametrize("limit", [1, 64])
 def test_empty_table(spark, limit):
     rows = frame(spark, []).where("seq_id is not null")
